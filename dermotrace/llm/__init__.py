@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name -> module with ``query(spark, sf_dir)`` and, where SQL can express it, ``SQL``.
 MODULES = {
+    "op2_decontaminate": "decontaminate",
     "op3_url_filter": "url_filter",
 }
 
