@@ -8,6 +8,10 @@ from importlib import import_module
 MODULES = {
     "op2_decontaminate": "decontaminate",
     "op3_url_filter": "url_filter",
+    "op4_token_shards": "token_output",
+    "op6_exact_dedup": "exact_dedup",
+    "op7_simhash": "simhash",
+    "op10_packing": "packing",
 }
 
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """The named columns of a table; any others are pruned, so their names can't clash."""
+    """The named columns of a table; any others are pruned, so their names can't clash. Workers import from the repository's root."""
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [known])])
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
@@ -41,3 +47,15 @@ def partitions(spark: SparkSession) -> int:
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def slices(batches, column: str, most: int = 8 << 20):
+    """Slices of record batches with about ``most`` bytes of a text column each, one row at least."""
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            rows = batch.num_rows - at
+            while rows > 1 and batch.column(column).slice(at, rows).nbytes > most:
+                rows = (rows + 1) // 2
+            yield batch.slice(at, rows)
+            at += rows
