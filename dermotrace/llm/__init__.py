@@ -6,11 +6,15 @@ from importlib import import_module
 
 #: Query name -> module with ``query(spark, sf_dir)`` and, where SQL can express it, ``SQL``.
 MODULES = {
+    "op1_suffix_dedup": "suffix_dedup",
     "op2_decontaminate": "decontaminate",
     "op3_url_filter": "url_filter",
     "op4_token_shards": "token_output",
+    "op5_cotraining": "cotraining",
     "op6_exact_dedup": "exact_dedup",
     "op7_simhash": "simhash",
+    "op8_license_scan": "license_scan",
+    "op9_language_id": "language_id",
     "op10_packing": "packing",
 }
 

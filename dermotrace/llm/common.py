@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -59,3 +60,9 @@ def slices(batches, column: str, most: int = 8 << 20):
                 rows = (rows + 1) // 2
             yield batch.slice(at, rows)
             at += rows
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished steps, which wait for a collection on the driver."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
