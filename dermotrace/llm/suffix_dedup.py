@@ -6,8 +6,9 @@ gram hash occurs again. An anchor stands for the strings that start from ``lo``
 
 1. Contexts, turned so that they lead with the gram, are range-partitioned by sampled splitters and sorted in each
    bucket by multikey quicksort. A context equal to the one before it repeats all its strings.
-2. Where one gram has different contexts (or meets the edge of a bucket), their strings are sorted the same way, one
-   by one. A string equal to the one before it is a repeat; the first of a bucket is compared across the boundary.
+2. Where one gram has different contexts, their strings are sorted the same way, one by one: within the bucket, or, for
+   a gram at a bucket's edge, dealt to buckets again. A string equal to the one before it is a repeat; the first of a
+   bucket is compared across the boundary.
 
 Position is the last part of a sort key, so the splitters cut through a string that a third of all rows hold, and no
 group is ever gathered. Hashes only select: all decisions compare bytes.
@@ -34,6 +35,8 @@ GRAM = 32
 #: Bytes hashed at once, so that work arrays stay in the cache.
 CHUNK = 1 << 17
 _SMALL = 1024
+#: Strings sorted at once where contexts of a gram differ, about.
+_STRINGS = 100_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _BYTES = np.random.default_rng(20).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -197,14 +200,21 @@ def _sort_contexts(length: int):
         groups = np.cumsum(np.append(True, ~gram))
         heads = np.bincount(groups, weights=~repeat)[groups]
         edge = (groups == 1) | (groups == groups[-1])
-        alike = ~repeat & ((heads > 1) | edge)
+        text = lambda k: (key := keys[int(by[k])].as_py())[len(key) - before[k] :] + key[: len(key) - before[k]]
+        inner = np.flatnonzero(~repeat & (heads > 1) & ~edge)
+        room = np.cumsum(size[inner] - length + 1) // _STRINGS
+        cuts = np.flatnonzero(np.append(True, (groups[inner][1:] != groups[inner][:-1]) & (room[1:] != room[:-1]))) if inner.size else []
+        for at in np.split(inner, cuts[1:]) if inner.size else []:
+            which, start = _repeats([text(k) for k in at.tolist()], [order[at], rid[at], lo[at]], length)
+            if which.size:
+                new = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+                first, last = start[new], start[np.append(new[1:], which.size) - 1]  # all hold the anchor's gram: one stretch
+                rows = at[which[new]]
+                yield pa.RecordBatch.from_arrays([pa.array(rid[rows]), pa.array(lo[rows] + first), pa.array(lo[rows] + last + length), pa.nulls(rows.size, pa.binary()), pa.array(order[rows])], ["rid", "start", "end", "string", "ord"])
+        alike = ~repeat & edge
         alike[[0, -1]] = True
         for at in np.array_split(np.flatnonzero(alike), max(1, int(alike.sum()) // 2000)):
-            rows = []
-            for k in at.tolist():
-                key, b = keys[int(by[k])].as_py(), int(before[k])
-                text = key[len(key) - b :] + key[: len(key) - b]
-                rows += [(int(rid[k]), int(lo[k]) + p, text[p : p + length], int(order[k])) for p in range(len(text) - length + 1)]
+            rows = [(int(rid[k]), int(lo[k]) + p, t[p : p + length], int(order[k])) for k in at.tolist() for t in (text(k),) for p in range(len(t) - length + 1)]
             r, p, s, o = zip(*rows, strict=True)
             start = np.array(p, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(start), pa.array(start + length), pa.array(s, pa.binary()), pa.array(o, pa.int64())], ["rid", "start", "end", "string", "ord"])
@@ -212,6 +222,23 @@ def _sort_contexts(length: int):
     return run
 
 
+def _repeats(texts: list[bytes], place: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, start) of each string that also starts earlier in these texts, sorted."""
+    n = np.array([len(t) - length + 1 for t in texts])
+    which = np.repeat(np.arange(n.size), n)
+    start = np.arange(which.size) - np.repeat(np.cumsum(n) - n, n)
+    all_ = np.frombuffer(b"".join(texts), np.uint8)
+    at = np.repeat(np.cumsum(n + length - 1) - (n + length - 1), n) + start
+    wide = np.zeros((at.size, -(-length // 8) * 8), np.uint8)
+    wide[:, :length] = np.lib.stride_tricks.sliding_window_view(all_, length)[at]
+    words = wide.view(">u8").astype(np.uint64)
+    order, rid, lo = place
+    by = multikey_quicksort(words, [order[which], rid[which], lo[which] + start])
+    words = words[by]
+    found = np.sort(by[1:][(words[1:] == words[:-1]).all(axis=1)])
+    return which[found], start[found]
+
+
 def _sort_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A bucket of strings: (rid, start, end) of repeats; its first row with its first and last string, for the boundary."""
     table = _whole(batches)
