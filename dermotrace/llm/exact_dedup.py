@@ -1,7 +1,7 @@
 """Operator 6: exact duplicates by deterministic block naming; DataFrame operations only.
 
 Texts are normalised (white space deleted) and only those whose length and 64-bit hash are shared go further: any other
-text has no equal. The rest are cut into fixed-size blocks; distinct blocks are sorted and numbered, which gives each
+text has no equal. The rest are cut into fixed-size blocks; distinct blocks are sorted (a hash first) and numbered, which gives each
 block an integer name; then adjacent pairs of names are sorted and numbered in turn, until each text has one name. Equal
 length and name mean equal texts: the hash only selects, it decides nothing. A name table is written before it is used,
 so that a task that runs again sees the same names.
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, scratch
+from .common import partitions, read_table, scratch
 
 BLOCK = 4096
 #: Up to so many shared (length, hash) keys of 16 bytes are broadcast; more are joined by shuffle.
@@ -39,8 +39,13 @@ def _kept(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 def _named(rows: DataFrame, keys: list[str], folder: str, name: str) -> DataFrame:
-    """``rows`` with ``name`` in place of the keys: equal keys, equal integer, in the order of the keys."""
-    names = _kept(rows.select(keys).distinct().orderBy(keys).withColumn("name", F.monotonically_increasing_id()), folder, f"{name}-names")
+    """``rows`` with ``name`` in place of the keys: equal keys, equal integer, in the order of (hash, keys).
+
+    The hash leads so that the splitters sampled for the sort are short and even; it decides no equality.
+    """
+    distinct = rows.select(keys).distinct().withColumn("lead", F.xxhash64(*keys))
+    ordered = distinct.repartitionByRange(partitions(rows.sparkSession), "lead").sortWithinPartitions("lead", *keys)
+    names = _kept(ordered.select(*keys, F.monotonically_increasing_id().alias("name")), folder, f"{name}-names")
     return _kept(rows.join(names, keys).select("rid", "n_bytes", "n_blocks", "at", "name"), folder, name)
 
 
