@@ -236,9 +236,10 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
 
 def lookup(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, ids) of the wanted ``doc_id`` by binary search in the shards whose range holds them."""
+    """(doc_id, ids) of the wanted ``doc_id`` by binary search in the shards whose range holds them; a null finds nothing."""
     asked = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    pairs = asked.join(F.broadcast(manifest), F.col("doc_id").between(F.col("first_id"), F.col("last_id")))
+    first = F.coalesce("first_id", F.lit(-(1 << 63)))  # a shard may begin with null identifiers
+    pairs = asked.join(F.broadcast(manifest), F.col("doc_id").between(first, F.col("last_id")))  # a row for each shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
