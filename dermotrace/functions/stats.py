@@ -45,7 +45,7 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
         f *= c * d
         if abs(1 - c * d) < 1e-13:
             break
-    return front * f
+    return front * (f - 1)
 
 
 def t_p_value(t: float | None, df: float | None) -> float | None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.stats import fisher_z, t_p_value
 from ..sources.tables import EVENTS_SQL, events
@@ -54,7 +55,7 @@ def welch(df: DataFrame, key: str, x: str, group: str, a, b) -> DataFrame:
     return s.where("n_a > 1 and n_b > 1 and v_a + v_b > 0").select(key, t.alias("t"), freedom.alias("df"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_p_value(a, b) for a, b in zip(t, df, strict=True)])
 

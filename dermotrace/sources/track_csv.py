@@ -7,11 +7,13 @@ Python. The trailer check needs a whole file and is a query of its own.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The columns of a device file, their types, and values that mean "missing".
 COLUMNS = (("timestamp", "string"), ("lat", "double"), ("lon", "double"), ("hdop", "double"), ("pdop", "double"), ("sats", "int"), ("fix_type", "int"), ("speed_kts", "double"), ("course_deg", "double"), ("gsr_raw", "double"), ("hacc_m", "double"), ("rssi_815", "double"), ("rssi_868", "double"), ("rssi_915", "double"))
@@ -61,13 +63,11 @@ def tracks(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumns({"t": F.round(F.col("t") - F.col("t0"), 6), "gsr": F.when(F.col("level") > 1000, F.col("gsr_raw") / 1000).otherwise(F.col("gsr_raw"))}).drop("t0", "level")
 
 
-@F.pandas_udf("struct<status:string,rows:long>")
+@F.pandas_udf(T.StructType([T.StructField("status", T.StringType()), T.StructField("rows", T.LongType())]))
 def _verified(content: pd.Series) -> pd.DataFrame:
     out = []
     for raw in content:
         body, _, tail = raw.rstrip(b"\r\n").rpartition(b"\n")
-        import re
-
         m = re.match(TRAILER, tail.decode("latin-1"))
         if not m:
             out.append(("none", None))
@@ -88,8 +88,6 @@ def integrity(spark: SparkSession, path: str) -> DataFrame:
 
 def sample_rate(df: DataFrame) -> DataFrame:
     """(file, fs): one over the upper median of the positive gaps among the first 100 rows; 1 if there are none."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("file").orderBy("t")
     gaps = df.withColumns({"gap": F.col("t") - F.lag("t").over(w), "n": F.row_number().over(w)}).where("n <= 100")
     positive = F.array_sort(F.collect_list(F.when(F.col("gap") > 0, F.col("gap"))))
