@@ -201,23 +201,31 @@ def _sort_contexts(length: int):
         heads = np.bincount(groups, weights=~repeat)[groups]
         edge = (groups == 1) | (groups == groups[-1])
         text = lambda k: (key := keys[int(by[k])].as_py())[len(key) - before[k] :] + key[: len(key) - before[k]]
+
+        def stretches(at: np.ndarray, which: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+            """Of repeats (context, start), in order: one stretch a context, as all of them hold its gram."""
+            new = np.flatnonzero(np.append(True, which[1:] != which[:-1])) if which.size else np.empty(0, np.int64)
+            first, last = start[new], start[np.append(new[1:], which.size) - 1] if which.size else start
+            own = at[which[new]]
+            return pa.RecordBatch.from_arrays([pa.array(rid[own]), pa.array(lo[own] + first), pa.array(lo[own] + last + length), pa.nulls(own.size, pa.binary()), pa.array(order[own])], ["rid", "start", "end", "string", "ord"])
+
         inner = np.flatnonzero(~repeat & (heads > 1) & ~edge)
         room = np.cumsum(size[inner] - length + 1) // _STRINGS
         cuts = np.flatnonzero(np.append(True, (groups[inner][1:] != groups[inner][:-1]) & (room[1:] != room[:-1]))) if inner.size else []
         for at in np.split(inner, cuts[1:]) if inner.size else []:
             which, start = _repeats([text(k) for k in at.tolist()], [order[at], rid[at], lo[at]], length)
-            if which.size:
-                new = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
-                first, last = start[new], start[np.append(new[1:], which.size) - 1]  # all hold the anchor's gram: one stretch
-                rows = at[which[new]]
-                yield pa.RecordBatch.from_arrays([pa.array(rid[rows]), pa.array(lo[rows] + first), pa.array(lo[rows] + last + length), pa.nulls(rows.size, pa.binary()), pa.array(order[rows])], ["rid", "start", "end", "string", "ord"])
+            yield stretches(at, which, start)
         alike = ~repeat & edge
         alike[[0, -1]] = True
         for at in np.array_split(np.flatnonzero(alike), max(1, int(alike.sum()) // 2000)):
-            rows = [(int(rid[k]), int(lo[k]) + p, t[p : p + length], int(order[k])) for k in at.tolist() for t in (text(k),) for p in range(len(t) - length + 1)]
-            r, p, s, o = zip(*rows, strict=True)
-            start = np.array(p, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(start), pa.array(start + length), pa.array(s, pa.binary()), pa.array(o, pa.int64())], ["rid", "start", "end", "string", "ord"])
+            texts = [text(k) for k in at.tolist()]
+            which, start = _repeats(texts, [order[at], rid[at], lo[at]], length)
+            yield stretches(at, which, start)
+            known = set(zip(which.tolist(), start.tolist(), strict=True))  # the first of equal strings stands for them elsewhere
+            rows = [(i, p, t[p : p + length]) for i, t in enumerate(texts) for p in range(len(t) - length + 1) if (i, p) not in known]
+            i, p, strings = zip(*rows, strict=True)
+            own, begin = at[list(i)], lo[at[list(i)]] + np.array(p, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(rid[own]), pa.array(begin), pa.array(begin + length), pa.array(strings, pa.binary()), pa.array(order[own])], ["rid", "start", "end", "string", "ord"])
 
     return run
 
@@ -264,7 +272,7 @@ def _rows(documents: DataFrame) -> DataFrame:
 def repeated_runs(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """(rid, runs): for the rows of ``documents`` that repeat something, all repeated stretches (start, end) in bytes."""
     spark, rows = documents.sparkSession, _rows(documents)
-    folder, n = scratch(spark, "suffixes"), partitions(spark)
+    folder, n = scratch(spark, "suffixes"), 2 * partitions(spark)  # a bucket is held in memory
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
