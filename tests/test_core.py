@@ -191,3 +191,34 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_crc():
     text = track_csv.with_trailer("a\n1")
     assert f"{zlib.crc32(b'a' + chr(10).encode() + b'1' + chr(10).encode()):08x}" in text
+
+
+def test_map_matching_follows_the_street(spark):
+    """A noisy walk along a street, round a corner: never on the parallel street, and in order."""
+    from dermotrace.operators import spatial
+
+    m = 1 / geo.DEGREE_M
+    ways = [(1, [(0.0, x * 50 * m) for x in range(7)]), (2, [(y * 50 * m, 300 * m) for y in range(7)]), (3, [(25 * m, x * 50 * m) for x in range(5)])]
+    rng = np.random.default_rng(5)
+    walk = [(0.0, x) for x in range(0, 301, 10)] + [(y, 300.0) for y in range(10, 251, 10)]
+    rows = [(1, float(i * 8), i, (y + rng.normal() * 3) * m, (x + rng.normal() * 3) * m) for i, (y, x) in enumerate(walk)]
+    got = spatial.map_matched(spark.createDataFrame(rows, "track long, t double, idx long, lat double, lon double"), spark.createDataFrame(ways, "way long, nodes array<struct<lat:double,lon:double>>")).orderBy("idx").collect()
+    assert len(got) == len(walk)
+    assert [r.way for r in got][:28] == [1] * 28 and [r.way for r in got][34:] == [2] * (len(walk) - 34)
+    assert np.mean([r.off_m for r in got]) < 4
+
+
+def test_hotspots_are_apart(spark):
+    from dermotrace.operators import spatial
+
+    m = 1 / geo.DEGREE_M
+    rows = [(1, i, i * m, 0.0, float(-abs(i - 50))) for i in range(100)]
+    got = spatial.hotspots(spark.createDataFrame(rows, "track long, idx long, lat double, lon double, value double"), share=0.03).orderBy("rank").collect()
+    assert [r.idx for r in got] == [50, 20, 80]
+
+
+def test_indices(spark):
+    from dermotrace.operators import indices
+
+    r = spark.range(1).select(indices.fog([F.lit(-30.0).cast("double") * 1.0, F.lit(None).cast("double")]).alias("a"), indices.microsiemens(F.lit(1e6), "ohm").alias("b"), indices.band_level(F.lit(-65.0), -100.0).alias("c"), indices.speed_band(F.lit(1.2)).alias("d")).first()
+    assert (r.a, r.b, r.c, r.d) == (3000.0, 1.0, 0.5, "walking")
