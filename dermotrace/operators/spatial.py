@@ -190,7 +190,7 @@ def street_grid(spark) -> DataFrame:
 
 QUERIES = {
     "cell_means": lambda s, d: cell_means(positions(s, d), 0.001).select("cy", "cx", "tracks", "n", F.round(F.col("mean") + F.lit(1e-7), 4).alias("mean")),
-    "surface": lambda s, d: surface(positions(s, d).where("idx % 4 = 0"), 0.001).select("cy", "cx", "votes", F.round("level", 4).alias("level")),
+    "surface": lambda s, d: surface(positions(s, d).where("idx % 4 = 0"), 0.001).select("cy", "cx", "votes", F.round(F.col("level") + F.lit(1e-7), 4).alias("level")),
     "hotspots": lambda s, d: hotspots(positions(s, d)),
     "map_candidates": lambda s, d: candidates(positions(s, d).where("idx % 5 = 0"), segments(street_grid(s))).select("track", "idx", "way", "seg", F.round("d", 3).alias("d")),
     "map_matched": lambda s, d: map_matched(positions(s, d), street_grid(s)),
@@ -205,7 +205,7 @@ SELECT cy, cx, count(*) AS tracks, sum(n)::bigint AS n, round(avg(v) + 1e-7, 4)
 c AS (SELECT track, lat, lon, value, y0 + i AS cy, x0 + j AS cx FROM q, range(-2, 3) a(i), range(-4, 5) b(j)),
 d AS (SELECT *, sqrt((((cy + 0.5) * 0.001 - lat) * 111320) ** 2 + (((cx + 0.5) * 0.001 - lon) * 111320 * cos(radians(lat))) ** 2) AS d FROM c),
 v AS (SELECT cy, cx, track, sum(value / (d + 25) ** 2) / sum(1 / (d + 25) ** 2) AS vote FROM d WHERE d <= 75 GROUP BY ALL)
-SELECT cy, cx, count(*) AS votes, round(sum(vote) / (count(*) + 3), 4) AS level FROM v GROUP BY cy, cx""",
+SELECT cy, cx, count(*) AS votes, round(sum(vote) / (count(*) + 3) + 1e-7, 4) AS level FROM v GROUP BY cy, cx""",
     "map_candidates": f"""WITH {POSITIONS_SQL}, {_GRID},
 x AS (SELECT track, idx, way, seg, 111320 * cos(radians(lat)) AS k, (a_lon - lon) * 111320 * cos(radians(lat)) AS ax, (a_lat - lat) * 111320 AS ay,
   (b_lon - a_lon) * 111320 * cos(radians(lat)) AS dx, (b_lat - a_lat) * 111320 AS dy FROM p, ways WHERE idx % 5 = 0),

@@ -212,7 +212,7 @@ def test_hotspots_are_apart(spark):
     from dermotrace.operators import spatial
 
     m = 1 / geo.DEGREE_M
-    rows = [(1, i, i * m, 0.0, float(-abs(i - 50))) for i in range(100)]
+    rows = [(1, i, i * 1.01 * m, 0.0, float(-abs(i - 50))) for i in range(100)]
     got = spatial.hotspots(spark.createDataFrame(rows, "track long, idx long, lat double, lon double, value double"), share=0.03).orderBy("rank").collect()
     assert [r.idx for r in got] == [50, 20, 80]
 
