@@ -106,7 +106,7 @@ def _rounded(c: Column, name: str) -> Column:
 QUERIES = {
     "window_hampel": _query(lambda e: hampel(e, "value", 5, out="clean").select("track", "idx", _rounded(F.col("clean"), "clean"))),
     "window_percentile": _query(lambda e: e.select("track", "idx", _rounded(rolling_percentile(F.col("value"), 10, 0.1), "p10"), _rounded(rolling_percentile(F.col("value"), 3, 0.5), "median"), _rounded(rolling_min(F.col("value"), 6), "low"))),
-    "window_standardise": _query(lambda e: e.select("track", "idx", _rounded(standardise(F.col("value")), "z"), _rounded(percentile_rank(F.col("value")), "rank"), _rounded(moving_average(F.col("value"), 4) + F.lit(1e-7), "smooth"))),
+    "window_standardise": _query(lambda e: e.select("track", "idx", (F.round(standardise(F.col("value")), 4) + F.lit(0.0)).alias("z"), _rounded(percentile_rank(F.col("value")), "rank"), _rounded(moving_average(F.col("value"), 4) + F.lit(1e-7), "smooth"))),
     "window_noise_floor": _query(lambda e: noise_floor(e, "value", 8).select("track", "idx", _rounded(F.col("noise"), "noise"))),
     "window_area": _query(lambda e: e.select("track", "idx", _rounded(area("value", 43200.0), "area"))),
     "response_summary": _query(response_summary),
@@ -127,7 +127,7 @@ f AS (SELECT track, idx, list(value) OVER ({_W} ROWS BETWEEN 10 PRECEDING AND 10
   min(value) OVER ({_W} ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS low FROM e)
 SELECT track, idx, round({_RANK.format("a", 0.1)}, 4) AS p10, round({_RANK.format("b", 0.5)}, 4) AS median, round(low, 4) AS low FROM f""",
     "window_standardise": f"""WITH {EVENTS_SQL}
-SELECT track, idx, round((value - avg(value) OVER p) / CASE WHEN stddev_pop(value) OVER p > 0 THEN stddev_pop(value) OVER p ELSE 1 END, 4) AS z,
+SELECT track, idx, round((value - avg(value) OVER p) / CASE WHEN stddev_pop(value) OVER p > 0 THEN stddev_pop(value) OVER p ELSE 1 END, 4) + 0.0 AS z,
   round(CASE WHEN count(value) OVER p <= 1 THEN 0.5 ELSE cume_dist() OVER (PARTITION BY track ORDER BY value) END, 4) AS rank,
   round(avg(value) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) + 1e-7, 4) AS smooth FROM e WINDOW p AS (PARTITION BY track)""",
     "window_noise_floor": f"""WITH {EVENTS_SQL}, d AS (SELECT track, idx, t, value - lag(value) OVER ({_W}) AS d FROM e)
