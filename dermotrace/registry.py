@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES (name -> callable) and ORACLE_SQL (name -> SQL).
-MODULES: tuple[str, ...] = ("operators.windows", "operators.islands", "operators.joins", "operators.statistics", "operators.signal", "operators.trajectory", "operators.indices", "operators.spatial", "operators.enrichment")
+MODULES: tuple[str, ...] = ("operators.windows", "operators.islands", "operators.joins", "operators.statistics", "operators.signal", "operators.trajectory", "operators.indices", "operators.spatial", "operators.enrichment", "operators.spectral")
 
 
 def _all(attribute: str) -> dict:

@@ -222,3 +222,28 @@ def test_indices(spark):
 
     r = spark.range(1).select(indices.fog([F.lit(-30.0).cast("double") * 1.0, F.lit(None).cast("double")]).alias("a"), indices.microsiemens(F.lit(1e6), "ohm").alias("b"), indices.band_level(F.lit(-65.0), -100.0).alias("c"), indices.speed_band(F.lit(1.2)).alias("d")).first()
     assert (r.a, r.b, r.c, r.d) == (3000.0, 1.0, 0.5, "walking")
+
+
+def test_spectral():
+    from dermotrace.operators import spectral
+
+    t = np.arange(2560) / 4
+    x = np.sin(2 * np.pi * 0.1 * t)
+    f, p = spectral.welch(x, 4.0, 256)
+    assert abs(f[np.argmax(p)] - 0.1) < 0.02 and spectral.band_power(f, p) == pytest.approx(0.5, rel=0.05)
+    at, power = spectral.band_series(t, x, 4.0)
+    assert len(at) == (2560 - 256) // 20 + 1 and np.ptp(power) < 0.05
+
+
+def test_sparse_driver_meets_its_conditions():
+    """Optimality: no gain over the penalty where the driver is zero, equal to it elsewhere."""
+    from dermotrace.operators import spectral
+
+    k, rng = signal.kernel(4.0), np.random.default_rng(6)
+    true = np.zeros(120)
+    true[[20, 50, 55]] = [1.0, 0.6, 0.9]
+    x = np.convolve(true, k)[:120] + rng.normal(size=120) * 0.01
+    d = spectral.sparse_driver(x, k, 0.05, rounds=3000)
+    rest = x - np.convolve(d, k)[:120]
+    gain = np.array([k[: 120 - i] @ rest[i : i + k.size] for i in range(120)])
+    assert (gain <= 0.05 + 1e-3).all() and np.allclose(gain[d > 1e-6], 0.05, atol=1e-3) and (d >= 0).all()
