@@ -83,8 +83,8 @@ def forward_filled(df: DataFrame, value: str) -> DataFrame:
     return df.withColumn(value, F.last(value, True).over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def _features(spark, d):
-    return positions(spark, d).where("idx % 7 = 0").select(F.col("kind").alias("class"), "lat", "lon").distinct()
+def _features(spark, d, rows="idx % 7 = 0"):
+    return positions(spark, d).where(rows).select(F.col("kind").alias("class"), "lat", "lon").distinct()
 
 
 def _areas(spark, d):
@@ -97,10 +97,21 @@ def _raster(spark, d):
     return positions(spark, d).groupBy(cy.alias("cy"), cx.alias("cx")).agg(F.max("value").alias("v"))
 
 
+def _around(points, features):
+    return around(points, features, 80.0).select("track", "idx", "class", "n", F.round("nearest", 3).alias("nearest"))
+
+
+def _sampled(points, raster):
+    return sampled(points, raster, 0.0005).select("track", "idx", "at", F.round(F.col("mean") + F.lit(1e-7), 4).alias("mean"))
+
+
+#: Names in ``_all`` run over every position; those without keep the rows that their SQL states.
 QUERIES = {
-    "env_around": lambda s, d: around(positions(s, d).where("idx % 10 = 1"), _features(s, d), 80.0).select("track", "idx", "class", "n", F.round("nearest", 3).alias("nearest")),
+    "env_around": lambda s, d: _around(positions(s, d).where("idx % 10 = 1"), _features(s, d)),
+    "env_around_all": lambda s, d: _around(positions(s, d), _features(s, d, "true")),
     "env_inside": lambda s, d: inside(positions(s, d), _areas(s, d)),
-    "env_raster": lambda s, d: sampled(positions(s, d).where("idx % 10 = 2"), _raster(s, d), 0.0005).select("track", "idx", "at", F.round(F.col("mean") + F.lit(1e-7), 4).alias("mean")),
+    "env_raster": lambda s, d: _sampled(positions(s, d).where("idx % 10 = 2"), _raster(s, d)),
+    "env_raster_all": lambda s, d: _sampled(positions(s, d), _raster(s, d)),
     "env_turns": lambda s, d: turns(positions(s, d)).select("track", "idx", (F.round("turn", 3) + F.lit(0.0)).alias("turn"), "label"),
     "env_exposure": lambda s, d: exposure(positions(s, d), "kind", "value").select("kind", "n", "tracks", *(F.round(c, 3).alias(c) for c in ("mean", "sigma", "low", "high"))),
 }

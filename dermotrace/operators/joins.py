@@ -28,8 +28,27 @@ def asof(left: DataFrame, right: DataFrame, value: str, direction: str = "backwa
 
 def nearest(left: DataFrame, right: DataFrame, value: str, tolerance: float) -> DataFrame:
     """The right row nearest in time within the tolerance; the earlier of two as near."""
-    b = asof(left, right, value)
-    f = asof(left, right, value, "forward").select("track", "idx", F.col("right_t").alias("_t"), F.col(value).alias("_value"))
+    return _nearer(asof(left, right, value), asof(left, right, value, "forward"), value, tolerance)
+
+
+def asof_other(rows: DataFrame, value: str, direction: str = "backward") -> DataFrame:
+    """``asof`` of each row with all other rows of its track: no row meets itself."""
+    row = F.struct("idx", F.col("t").alias("right_t"), value)
+    w, same = Window.partitionBy("track").orderBy("t", "idx"), Window.partitionBy("track", "t").orderBy("idx")
+    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tied, beside = (F.last(row).over(whole), F.lag(row).over(w)) if direction == "backward" else (F.first(row).over(whole), F.lead(row).over(w))
+    met = rows.withColumns({"_tied": tied, "_beside": beside})
+    met = met.withColumn("_row", F.when(F.col("_tied.idx") != F.col("idx"), F.col("_tied")).otherwise(F.col("_beside")))
+    return met.select("track", "t", "idx", "_row.right_t", f"_row.{value}")
+
+
+def nearest_other(rows: DataFrame, value: str, tolerance: float) -> DataFrame:
+    """``nearest`` of each row among all other rows of its track."""
+    return _nearer(asof_other(rows, value), asof_other(rows, value, "forward"), value, tolerance)
+
+
+def _nearer(b: DataFrame, f: DataFrame, value: str, tolerance: float) -> DataFrame:
+    f = f.select("track", "idx", F.col("right_t").alias("_t"), F.col(value).alias("_value"))
     both = b.join(f, ["track", "idx"])
     later = F.col("right_t").isNull() | (F.col("_t") - F.col("t") < F.col("t") - F.col("right_t"))
     out = both.withColumn("_pick", F.when(later, F.struct(F.col("_t").alias("right_t"), F.col("_value").alias(value))).otherwise(F.struct("right_t", value)))
@@ -77,19 +96,32 @@ def _sides(spark, d):
     return e.where("idx % 2 = 0"), e.where("idx % 2 = 1")
 
 
+def _met(df):
+    return df.select("track", "idx", F.round("right_t", 3).alias("right_t"), F.round("value", 4).alias("value"))
+
+
 def _asof(spark, d):
     a, b = _sides(spark, d)
-    return asof(a, b, "value").select("track", "idx", F.round("right_t", 3).alias("right_t"), F.round("value", 4).alias("value"))
+    return _met(asof(a, b, "value"))
 
 
 def _nearest(spark, d):
     a, b = _sides(spark, d)
-    return nearest(a, b, "value", 7200.0).select("track", "idx", F.round("right_t", 3).alias("right_t"), F.round("value", 4).alias("value"))
+    return _met(nearest(a, b, "value", 7200.0))
+
+
+def _pairs(a, b):
+    return matched(within(a, b, 14400.0).where("left_idx != right_idx")).select("track", "left_idx", "right_idx", F.round("dt", 3).alias("dt"))
 
 
 def _matched(spark, d):
-    a, b = _sides(spark, d)
-    return matched(within(a, b, 14400.0)).select("track", "left_idx", "right_idx", F.round("dt", 3).alias("dt"))
+    return _pairs(*_sides(spark, d))
+
+
+def _matched_all(spark, d):
+    """Every row against all others; a pair counts once, with the smaller idx on the left."""
+    e = events(spark, d)
+    return _pairs(e, e).where("left_idx < right_idx")
 
 
 def _density(spark, d):
@@ -97,12 +129,19 @@ def _density(spark, d):
     return density(e, e.where("value > 60"), 28800.0).select("track", "idx", F.round("density", 6).alias("density"))
 
 
-def _radius(spark, d):
+def _radius(spark, d, rows="idx % 10 = 0"):
     p = positions(spark, d)
-    return radius_counts(p.where("idx % 10 = 0"), p.where("kind = 'purchase'").select("lat", "lon").distinct(), 60.0).select("idx", "n", F.round("nearest", 3).alias("nearest"))
+    return radius_counts(p.where(rows), p.where("kind = 'purchase'").select("lat", "lon").distinct(), 60.0).select("idx", "n", F.round("nearest", 3).alias("nearest"))
 
 
+#: Names in ``_all`` join every row or position; those without keep the rows that their SQL states.
 QUERIES = {"join_asof": _asof, "join_nearest": _nearest, "join_matched": _matched, "join_density": _density, "join_radius": _radius}
+QUERIES |= {
+    "join_asof_all": lambda s, d: _met(asof_other(events(s, d), "value")),
+    "join_nearest_all": lambda s, d: _met(nearest_other(events(s, d), "value", 7200.0)),
+    "join_matched_all": _matched_all,
+    "join_radius_all": lambda s, d: _radius(s, d, "true"),
+}
 
 _SIDES = f"{EVENTS_SQL}, a AS (SELECT * FROM e WHERE idx % 2 = 0), b AS (SELECT * FROM e WHERE idx % 2 = 1)"
 ORACLE_SQL = {

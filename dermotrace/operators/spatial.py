@@ -188,11 +188,22 @@ def street_grid(spark) -> DataFrame:
     return spark.createDataFrame([(2 * k + along, line(k, bool(along))) for k in range(9) for along in (0, 1)], "way long, nodes array<struct<lat:double,lon:double>>")
 
 
+def _surface(points):
+    return surface(points, 0.001).select("cy", "cx", "votes", F.round(F.col("level") + F.lit(1e-7), 4).alias("level"))
+
+
+def _candidates(points):
+    return candidates(points, segments(street_grid(points.sparkSession))).select("track", "idx", "way", "seg", F.round("d", 3).alias("d"))
+
+
+#: Names in ``_all`` run over every position; those without keep the rows that their SQL states.
 QUERIES = {
     "cell_means": lambda s, d: cell_means(positions(s, d), 0.001).select("cy", "cx", "tracks", "n", F.round(F.col("mean") + F.lit(1e-7), 4).alias("mean")),
-    "surface": lambda s, d: surface(positions(s, d).where("idx % 4 = 0"), 0.001).select("cy", "cx", "votes", F.round(F.col("level") + F.lit(1e-7), 4).alias("level")),
+    "surface": lambda s, d: _surface(positions(s, d).where("idx % 4 = 0")),
+    "surface_all": lambda s, d: _surface(positions(s, d)),
     "hotspots": lambda s, d: hotspots(positions(s, d)),
-    "map_candidates": lambda s, d: candidates(positions(s, d).where("idx % 5 = 0"), segments(street_grid(s))).select("track", "idx", "way", "seg", F.round("d", 3).alias("d")),
+    "map_candidates": lambda s, d: _candidates(positions(s, d).where("idx % 5 = 0")),
+    "map_candidates_all": lambda s, d: _candidates(positions(s, d)),
     "map_matched": lambda s, d: map_matched(positions(s, d), street_grid(s)),
 }
 _GRID = """ways AS (SELECT 2 * k + a AS way, j AS seg, 51.5 + 0.0012 * CASE a WHEN 1 THEN k ELSE j END AS a_lat, -0.1 + 0.0012 * CASE a WHEN 1 THEN j ELSE k END AS a_lon,
