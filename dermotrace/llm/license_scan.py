@@ -1,9 +1,11 @@
 """Operator 8: license scans by patience alignment.
 
 A text and each license template are lower-cased words. Stretches of the text where a template's words lie close
-together are aligned with it: equal heads and tails first, then words that are unique in both, whose longest increasing
-subsequence fixes the alignment; the gaps between are aligned in turn. What has no unique word and is small is aligned
-by longest common subsequence. Coverage is the share of the template's words that are matched; 0.8 or more is a hit.
+together are cut into windows, each a best chain of the template's words in order in which words between cost a share
+of a match, so that copies that follow one another are windows of their own. A window is aligned with the template:
+equal heads and tails first, then words that are unique in both, whose longest increasing subsequence fixes the
+alignment; the gaps between are aligned in turn, and those without a unique word by longest common subsequence, at any
+size. Coverage is the share of the template's words that are matched; 0.8 or more is a hit.
 
 A text that lacks all trigger words of all templates can't reach that coverage and isn't split into words.
 
@@ -43,8 +45,8 @@ TEMPLATES = (
 COVERAGE = 0.8
 #: Words of a template lie in one stretch if no more than so many other words are between them.
 GAP = 8
-#: Gaps of up to so many pairs of words are aligned by longest common subsequence.
-SMALL = 4096
+#: Matches are worth so many words between them: first for copies that lie close together, then for loose ones.
+WORTH = (4, GAP + 1)
 
 _WORD = re.compile(r"\w+")
 
@@ -67,21 +69,12 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _common(a: list[str], b: list[str], at: int, to: int) -> list[tuple[int, int]]:
-    n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            n[i][j] = n[i + 1][j + 1] + 1 if a[i] == b[j] else max(n[i + 1][j], n[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append((at + i, to + j))
-            i, j = i + 1, j + 1
-        elif n[i + 1][j] >= n[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
+def _common(text: list[str], template: list[str], a: int, b: int, x: int, y: int) -> list[tuple[int, int]]:
+    """Longest common subsequence of text[a:b] and template[x:y] (Hunt and Szymanski)."""
+    places: dict[str, list[int]] = {}
+    for j in range(y - 1, x - 1, -1):
+        places.setdefault(template[j], []).append(j)
+    return _increasing([(i, j) for i in range(a, b) for j in places.get(text[i], ())])
 
 
 def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
@@ -104,8 +97,8 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
             for (i, j), (k, m) in zip([(a - 1, x - 1), *anchors], [*anchors, (b, y)], strict=True):
                 stack.append((i + 1, k, j + 1, m))
             out += anchors
-        elif (b - a) * (y - x) <= SMALL:
-            out += _common(text[a:b], template[x:y], a, x)
+        else:
+            out += _common(text, template, a, b, x, y)
     return sorted(out)
 
 
@@ -124,6 +117,66 @@ def stretches(text: list[str], vocabulary: set[str], least: int) -> Iterator[tup
         yield first, last + 1
 
 
+def windows(text: list[str], template: list[str], need: int, worth: int) -> list[tuple[int, int, int]]:
+    """(start, end, words matched) of chains of ``need`` matches or more that don't overlap, with the largest sum of scores.
+
+    A match scores ``worth``, a text word between matches costs 1; a chain whose score is used up begins anew.
+    """
+    places: dict[str, list[int]] = {}
+    for j in range(len(template) - 1, -1, -1):
+        places.setdefault(template[j], []).append(j)
+    size = len(template) + 1
+    # the best chain before each template word: score with its last place added, start, words
+    top, start, words_ = [-(1 << 60)] * size, [0] * size, [0] * size
+    ends, found = [], []
+    for i, w in enumerate(text):
+        best = None
+        for j in places.get(w, ()):  # the last place first, so that a text word counts once
+            score, s, n = top[j] - i + 1, start[j], words_[j]
+            score, s, n = (score + worth, s, n + 1) if score > 0 else (worth, i, 1)
+            if n >= need and (best is None or score > best[0]):
+                best = (score, s, n)
+            if top[j + 1] < score + i:
+                k = bisect_left(top, score + i, j + 1)
+                top[j + 1 : k], start[j + 1 : k], words_[j + 1 : k] = [score + i] * (k - j - 1), [s] * (k - j - 1), [n] * (k - j - 1)
+        if best:
+            ends.append(i)
+            found.append(best)
+    total, take = [0], []
+    for k, (score, s, _) in enumerate(found):
+        before = total[bisect_left(ends, s, 0, k)]
+        take.append(before + score > total[-1])
+        total.append(max(total[-1], before + score))
+    out, k = [], len(found)
+    while k:
+        if take[k - 1]:
+            _, s, n = found[k - 1]
+            out.append((s, ends[k - 1] + 1, n))
+            k = bisect_left(ends, s, 0, k - 1)
+        else:
+            k -= 1
+    return out[::-1]
+
+
+def copies(text: list[str], template: list[str], need: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, words matched) of all places of the template; what lies beside a place is searched again."""
+    held, stack = Counter(template), [(0, len(text))]
+    while stack:
+        a, b = stack.pop()
+        if b - a < need or sum(min(n, held[w]) for w, n in Counter(text[a:b]).items() if w in held) < need:
+            continue
+        got = next((g for worth in WORTH if (g := windows(text[a:b], template, need, worth))), [])
+        if not got:
+            pairs = align(text[a:b], template)
+            if len(pairs) >= need and pairs[-1][0] - pairs[0][0] < (GAP + 1) * len(template):
+                got = [(pairs[0][0], pairs[-1][0] + 1, len(pairs))]
+        for s, e, n in got:
+            pairs = align(text[a + s : a + e], template)
+            yield a + s, a + e, max(n, len(pairs))
+        if got:
+            stack += zip([a, *(a + e for _, e, _ in got)], [*(a + s for s, _, _ in got), b], strict=True)
+
+
 def _prepared(templates) -> tuple[list, list[str]]:
     """(name, words, vocabulary, words needed) of each template; trigger words: one of them is in any text with a hit."""
     ready, triggers = [], set()
@@ -150,16 +203,12 @@ def scan(text: str | None, ready: list, triggers: list[str]) -> list[dict]:
     best: dict[tuple[int, int], dict] = {}
     for name, template, vocabulary, need in ready:
         for a, b in stretches(w, vocabulary, need):
-            while b - a >= need:
-                pairs = align(w[a:b], template)
-                if len(pairs) < need:
-                    break
-                i, j = a + pairs[0][0], a + pairs[-1][0]
-                hit = {"license": name, "coverage": round(len(pairs) / len(template), 4), "start": at[i][0], "end": at[j][1], "words": len(pairs)}
+            for i, j, n in copies(w[a:b], template, need):
+                i, j = a + i, a + j - 1
+                hit = {"license": name, "coverage": round(n / len(template), 4), "start": at[i][0], "end": at[j][1], "words": n}
                 known = best.get((i, j))
                 if known is None or (hit["coverage"], hit["words"]) > (known["coverage"], known["words"]):
                     best[i, j] = hit
-                a = j + 1
     hits = sorted(best.values(), key=lambda h: (-h["words"], -h["coverage"], h["start"]))
     kept: list[dict] = []
     for h in hits:  # of overlapping hits the one with most words
