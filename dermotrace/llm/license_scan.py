@@ -9,8 +9,8 @@ size. Coverage is the share of the template's words that are matched; 0.8 or mor
 
 A text that lacks all trigger words of all templates can't reach that coverage and isn't split into words.
 
-Nulls and empty texts have no license. Repeated rows give a result row each; of equal coverage the first template in
-order of name wins. An empty table gives no rows.
+Nulls and empty texts have no license. Repeated rows give a result row each. Of overlapping hits the one with most
+words wins, each counted with its template's coverage; of equal ones the first template in order of name. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,20 +27,30 @@ from pyspark.sql import functions as F
 
 from .common import read_table, slices
 
-#: Statements and headers of public licenses.
+#: Whole texts of short public licenses, whole notices of long ones, one-line statements.
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_WARRANTY = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the"
+#: (name, license in words, version) of the GNU licenses.
+_GNU = (("AGPL-3.0", "Affero General Public License", "3"), ("GPL-2.0", "General Public License", "2"), ("GPL-3.0", "General Public License", "3"), ("LGPL-2.1", "Lesser General Public License", "2.1"), ("LGPL-3.0", "Lesser General Public License", "3"))
+_CC = (("CC-BY-4.0", "BY", "Attribution"), ("CC-BY-NC-4.0", "BY-NC", "Attribution-NonCommercial"), ("CC-BY-NC-ND-4.0", "BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"), ("CC-BY-NC-SA-4.0", "BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("CC-BY-ND-4.0", "BY-ND", "Attribution-NoDerivatives"), ("CC-BY-SA-4.0", "BY-SA", "Attribution-ShareAlike"))
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("BSD-2-Clause", f"{_BSD} {_BSD_END}"),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_NAMES} {_BSD_END}"),
+    *((name, f"Licensed under CC {short} 4.0.") for name, short, _ in _CC),
+    *((name, f"This work is licensed under a Creative Commons {long} 4.0 International License.") for name, _, long in _CC),
+    *((name, f"This work is licensed under the GNU {long}, version {v}.") for name, long, v in _GNU),
+    *((name, f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {long} as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version. {_WARRANTY} GNU {long} for more details. You should have received a copy of the GNU {long} along with this program. If not, see https://www.gnu.org/licenses/.") for name, long, v in _GNU),
+    *((name, f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {long} as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version.") for name, long, v in _GNU),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("ISC", "Released under the ISC License."),
     ("MIT", "Released under the MIT License."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 )
 COVERAGE = 0.8
 #: Words of a template lie in one stretch if no more than so many other words are between them.
@@ -200,18 +210,15 @@ def scan(text: str | None, ready: list, triggers: list[str]) -> list[dict]:
         return []
     at = [m.span() for m in _WORD.finditer(text)]
     w = [text[a:b].lower() for a, b in at]
-    best: dict[tuple[int, int], dict] = {}
+    found: list[dict] = []
     for name, template, vocabulary, need in ready:
         for a, b in stretches(w, vocabulary, need):
             for i, j, n in copies(w[a:b], template, need):
                 i, j = a + i, a + j - 1
-                hit = {"license": name, "coverage": round(n / len(template), 4), "start": at[i][0], "end": at[j][1], "words": n}
-                known = best.get((i, j))
-                if known is None or (hit["coverage"], hit["words"]) > (known["coverage"], known["words"]):
-                    best[i, j] = hit
-    hits = sorted(best.values(), key=lambda h: (-h["words"], -h["coverage"], h["start"]))
+                found.append({"license": name, "coverage": round(n / len(template), 4), "start": at[i][0], "end": at[j][1], "words": n})
+    hits = sorted(found, key=lambda h: (-h["words"] * h["coverage"], -h["words"], h["start"]))
     kept: list[dict] = []
-    for h in hits:  # of overlapping hits the one with most words
+    for h in hits:  # of overlapping hits the one with most words, each counted with the coverage of its whole template
         if all(h["end"] <= k["start"] or h["start"] >= k["end"] for k in kept):
             kept.append(h)
     return sorted(kept, key=lambda h: h["start"])

@@ -1,6 +1,7 @@
 """Copies of a license in one stretch, and gaps of any size."""
 
 import random
+import re
 
 from dermotrace.llm import license_scan
 
@@ -41,7 +42,7 @@ def test_a_failed_place_is_not_the_end():
 
 
 def test_loose_copy():
-    loose = " ".join(f"{w} one two three four five" for w in MIT.split()[:29])
+    loose = " ".join(f"{w} one two three four five" for w in MIT.split())
     assert [h["license"] for h in hits(loose + " " + loose)] == ["MIT", "MIT"]
 
 
@@ -56,3 +57,23 @@ def test_gap_of_any_size():
         pairs = license_scan._common(a, b, 0, n, 0, n)
         assert len(pairs) == table[n][n] and all(a[i] == b[j] for i, j in pairs)
         assert license_scan.align(["x", *a, "y"], ["z", *b, "w"])
+
+
+def test_rivals():
+    """Each license is told from its relatives, whole and with words missing; a part of a license isn't the license."""
+    texts = dict(license_scan.TEMPLATES[::-1])
+    bsd3 = next(t for n, t in license_scan.TEMPLATES if n == "BSD-3-Clause")
+    names = license_scan._BSD_NAMES
+    bsd2 = bsd3.replace(names + " ", "")
+    assert len(bsd2) < len(bsd3) and {"BSD-2-Clause", "ISC", "GPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"} <= set(texts)
+    assert [h["license"] for h in hits(bsd2)] == ["BSD-2-Clause"]
+    assert [h["license"] for h in hits(bsd3)] == ["BSD-3-Clause"]
+    assert hits(bsd2[:250]) == []  # both BSD licenses begin with it
+    for name, long, v in (("LGPL-2.1", "Lesser General", "2.1"), ("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("AGPL-3.0", "Affero General", "3")):
+        notice = f"This library is free software; you can redistribute it and/or modify it under the terms of the GNU {long} Public License as published by the Free Software Foundation; either version {v} of the License, or (at your option) any later version."
+        assert [h["license"] for h in hits(notice)] == [name]
+        assert [h["license"] for h in hits(f"This work is licensed under the GNU {long} Public License, version {v}.")] == [name]
+    for name, text in license_scan.TEMPLATES:
+        if len(text.split()) > 60:
+            noisy = " ".join(w for i, w in enumerate(text.split()) if i % 12 != 7 or re.search(r"\d", w))  # the version alone tells some apart
+            assert {h["license"] for h in hits(noisy)} == {name}
