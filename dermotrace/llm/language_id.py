@@ -3,8 +3,10 @@
 A text's letters give hashed 1-, 2- and 3-gram counts; log counts times inverse document frequency, scaled to length one.
 Document frequencies cover every training document. Each language has a few centroids: spherical k-means over a sample
 of its training documents of about ``per_language`` rows, one Spark group a language. A text gets the language of the
-nearest centroid by cosine; it is rejected where it lies further away than almost all of that centroid's own sample
-(``und`` if there is no letter at all, or nothing to learn from).
+nearest centroid by cosine; it is rejected under the floor of its size (``und`` if there is no letter at all, or nothing
+to learn from). Floors come from texts that no centroid learned, whole and cut short: halfway between the cosines that
+almost all of them reach with their own language and those that they reach with the best other language, as if their
+own had been left out. Where the two overlap, as in short texts, the lower own cosine is the floor.
 
 Nulls: a null text is ``und`` with score 0; rows with a null lang or a null doc_id teach nothing and are predicted.
 Repeated rows are predicted each. An empty table gives no rows. Texts are read whole, a million characters at a time.
@@ -28,8 +30,8 @@ from .common import read_table, slices
 BITS = 12
 CENTROIDS = 4
 PER_LANGUAGE = 1500
-#: A text is rejected under this share of the cosine that 99 of 100 members of the centroid reach.
-LENIENCY = 0.25
+#: Every so manieth text of the sample measures floors and teaches no centroid; lengths to which it is also cut; share of own texts under a floor.
+MEASURED, CUTS, TAIL = 4, (30, 100, 300, 1000), 0.01
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -113,13 +115,48 @@ def _cluster(shared, bits: int, k: int):
             dense[at] = n
             x[i] = vector(dense, shared.value)
         c, cos = spherical_kmeans(x, k)
-        own = np.argmax(cos, axis=1)
-        floor = [float(np.quantile(cos[own == i, i], 0.01)) if (own == i).any() else 1.0 for i in range(len(c))]
-        return pd.DataFrame({"lang": rows["lang"].iloc[0], "centroid": [v.astype("<f4").tobytes() for v in c], "floor": floor})
+        return pd.DataFrame({"lang": rows["lang"].iloc[0], "centroid": [v.astype("<f4").tobytes() for v in c]})
 
     return run
 
 
+def size(n: np.ndarray) -> int:
+    """Class of a text's size: the power of two of its distinct n-grams."""
+    return int(np.count_nonzero(n)).bit_length()
+
+
+def _measured(shared):
+    """(size, own, other): cosines of each text and its beginnings with its own language and the best other one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        langs = np.array(model["langs"])
+        for part in slices(batches, "text"):
+            out = []
+            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
+                mine = langs == lang
+                for cut in (*(c for c in CUTS if c < len(text)), len(text)):
+                    n = counts(text[:cut], model["bits"])
+                    if mine.any() and n.any():
+                        cos = model["centroids"] @ vector(n, model["idf"])
+                        out.append((size(n), float(cos[mine].max()), float(cos[~mine].max(initial=0.0))))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.float64(), pa.float64()))], ["size", "own", "other"])
+
+    return run
+
+
+def floors(rows: list, sizes: int) -> np.ndarray:
+    """The floor of each size, from (size, q, other): own cosine at the tail, other cosine at the opposite tail."""
+    out = np.full(sizes, np.nan)
+    for r in rows:
+        out[r[0]] = (r[1] + r[2]) / 2 if r[1] > r[2] > 0 else r[1] / 2 if not r[2] else r[1]
+    known = np.flatnonzero(~np.isnan(out))
+    if not known.size:
+        return np.zeros(sizes)
+    # a size without texts has the floor of the nearest smaller one; none is measured under the smallest
+    return np.array([out[known[known <= i][-1]] if (known <= i).any() else 0.0 for i in range(sizes)])
+
+
 def fit(training: DataFrame, per_language: int = PER_LANGUAGE, k: int = CENTROIDS, bits: int = BITS) -> dict:
     """The model: languages, centroids, floors and idf. ``training`` has doc_id, text and lang."""
     spark = training.sparkSession
@@ -132,21 +169,27 @@ def fit(training: DataFrame, per_language: int = PER_LANGUAGE, k: int = CENTROID
     docs = max([r.n for r in sums if r.bucket < 0], default=0)
     idf = np.log((1 + docs) / (1 + n)) + 1
     sizes = rows.groupBy("lang").count()
-    share = F.pmod(F.xxhash64("doc_id", F.lit("centroids")), F.lit(1 << 20)) < F.lit(per_language * (1 << 20)) / F.col("count")
-    chosen = rows.join(F.broadcast(sizes), "lang").where(share).select("lang", "text")  # one row for each language
-    groups = chosen.mapInArrow(_sampled(bits), "lang string, at array<int>, n array<int>").groupBy("lang")
-    made = groups.applyInPandas(_cluster(spark.sparkContext.broadcast(idf), bits, k), "lang string, centroid binary, floor double").collect()
+    place = F.pmod(F.xxhash64("doc_id", F.lit("centroids")), F.lit(1 << 20))
+    share = place < F.lit(per_language * (1 << 20)) / F.col("count")
+    chosen = rows.join(F.broadcast(sizes), "lang").where(share)  # one row for each language
+    apart = F.pmod(F.xxhash64("doc_id", F.lit("floors")), F.lit(MEASURED)) == 0
+    groups = chosen.where(~apart).select("lang", "text").mapInArrow(_sampled(bits), "lang string, at array<int>, n array<int>").groupBy("lang")
+    made = groups.applyInPandas(_cluster(spark.sparkContext.broadcast(idf), bits, k), "lang string, centroid binary").collect()
     made.sort(key=lambda r: (r.lang, r.centroid))
-    return {"idf": idf, "bits": bits, "langs": [r.lang for r in made], "floors": np.array([r.floor for r in made]), "centroids": np.array([np.frombuffer(r.centroid, "<f4") for r in made]).reshape(len(made), 1 << bits)}
+    model = {"idf": idf, "bits": bits, "langs": [r.lang for r in made], "centroids": np.array([np.frombuffer(r.centroid, "<f4") for r in made]).reshape(len(made), 1 << bits)}
+    seen = chosen.where(apart).select("lang", "text").mapInArrow(_measured(spark.sparkContext.broadcast(model)), "size int, own double, other double")
+    tails = seen.groupBy("size").agg(F.percentile("own", TAIL), F.percentile("other", 1 - TAIL)).collect()
+    return model | {"floors": floors(tails, bits + 2)}
 
 
 def classify(text: str | None, model: dict) -> tuple[str, float, bool]:
     """(language, cosine, rejected)."""
     if not text or not model["langs"] or not _LETTER.search(text):
         return UNKNOWN, 0.0, True
-    cos = model["centroids"] @ vector(counts(text, model["bits"]), model["idf"])
+    n = counts(text, model["bits"])
+    cos = model["centroids"] @ vector(n, model["idf"])
     best = int(np.argmax(cos))
-    return model["langs"][best], float(min(1.0, max(0.0, cos[best]))), bool(cos[best] < LENIENCY * model["floors"][best])
+    return model["langs"][best], float(min(1.0, max(0.0, cos[best]))), bool(cos[best] < model["floors"][size(n)])
 
 
 def predict(documents: DataFrame, model: dict) -> DataFrame:
