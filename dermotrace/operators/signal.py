@@ -150,18 +150,40 @@ def kernel(fs: float, rise: float = 0.75, decay: float = 2.0, seconds: float = 1
     return k / (k.max() or 1)
 
 
-def pursue(x: np.ndarray, k: np.ndarray, least: float, most: int = 200) -> np.ndarray:
-    """Driver by matching pursuit: the atom that explains most is taken, never below zero, until its size is under ``least``."""
-    rest, driver, energy = x.astype(float).copy(), np.zeros(x.size), float(k @ k) or 1.0
-    for _ in range(most):
-        gain = np.correlate(np.concatenate((rest, np.zeros(k.size - 1))), k, "valid") / energy
-        at = int(np.argmax(gain))
+def pursued(x: np.ndarray, k: np.ndarray, least: float, most: int | None = None) -> tuple[np.ndarray, bool]:
+    """Driver by matching pursuit, and whether it converged: the atom that explains most is taken until its size is under ``least``.
+
+    Each atom takes least^2 |k|^2 of energy or more, so a finite signal ends. An atom changes the gains within a kernel's
+    length only, and the largest gain is found over the maxima of blocks.
+    """
+    if not least > 0 or not np.isfinite(x).all():
+        return np.zeros(x.size), False
+    n, m, block, energy = x.size, k.size, 1024, float(k @ k) or 1.0
+    rest, driver = np.concatenate((x.astype(float), np.zeros(m - 1))), np.zeros(n)
+    gain = np.full(-(-n // block) * block, -np.inf)
+    gain[:n] = np.correlate(rest, k, "valid") / energy
+    top = gain.reshape(-1, block).max(axis=1)
+    taken = 0
+    while top.size:
+        b = int(np.argmax(top))
+        at = b * block + int(np.argmax(gain[b * block : (b + 1) * block]))
         if gain[at] < least:
             break
+        if taken == most:
+            return driver, False
+        taken += 1
         driver[at] += gain[at]
-        n = min(k.size, x.size - at)
-        rest[at : at + n] -= gain[at] * k[:n]
-    return driver
+        end = min(n, at + m)
+        rest[at:end] -= gain[at] * k[: end - at]
+        low = max(0, at - m + 1)
+        gain[low:end] = np.correlate(rest[low : end + m - 1], k, "valid") / energy
+        for c in range(low // block, (end - 1) // block + 1):
+            top[c] = gain[c * block : (c + 1) * block].max()
+    return driver, True
+
+
+def pursue(x: np.ndarray, k: np.ndarray, least: float, most: int | None = None) -> np.ndarray:
+    return pursued(x, k, least, most)[0]
 
 
 def per_track(df: DataFrame, column: str, out: dict[str, str], kernel_: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
@@ -206,7 +228,12 @@ def prominent(df: DataFrame, column: str = "value") -> DataFrame:
 
 def driven(df: DataFrame, column: str = "value", fs: float = 1.0, least: float = 1.0) -> DataFrame:
     k = kernel(fs)
-    return per_track(df, column, {"driver": "double"}, lambda t, x: {"driver": pursue(x - x.min(), k, least)})
+
+    def run(t, x):
+        driver, converged = pursued(x - x.min(), k, least)
+        return {"driver": driver, "converged": np.full(x.size, converged)}
+
+    return per_track(df, column, {"driver": "double", "converged": "boolean"}, run)
 
 
 QUERIES = {

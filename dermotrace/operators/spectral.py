@@ -11,6 +11,8 @@ from .signal import filled, kernel, per_track
 
 #: Window and hop in seconds, and the band (Hz) of sympathetic activity.
 WINDOW_S, HOP_S, BAND = 64.0, 5.0, (0.045, 0.25)
+#: Rounds after which the sparse driver of a track counts as not converged.
+ROUNDS = 20000
 
 
 def blackman(n: int) -> np.ndarray:
@@ -49,8 +51,8 @@ def band_series(t: np.ndarray, x: np.ndarray, fs: float, window_s: float = WINDO
     return np.array([t[0] + (s + min(size, x.size) / 2) / fs for s in starts]), np.array(power)
 
 
-def sparse_driver(x: np.ndarray, k: np.ndarray, penalty: float, rounds: int = 60) -> np.ndarray:
-    """Non-negative lasso by coordinate descent: the driver d minimises |x - k * d|^2 / 2 + penalty * sum(d)."""
+def sparse_solved(x: np.ndarray, k: np.ndarray, penalty: float, rounds: int = 60) -> tuple[np.ndarray, bool]:
+    """Non-negative lasso by coordinate descent, and whether it converged: d minimises |x - k * d|^2 / 2 + penalty * sum(d)."""
     n, energy = x.size, np.array([float(k[: x.size - i] @ k[: x.size - i]) for i in range(x.size)])
     driver, rest = np.zeros(n), x.astype(float).copy()
     active = np.arange(n)
@@ -65,11 +67,15 @@ def sparse_driver(x: np.ndarray, k: np.ndarray, penalty: float, rounds: int = 60
                 most = max(most, abs(step))
         if most < 1e-6:
             if active.size == n:
-                break
+                return driver, True
             active = np.arange(n)
         else:
             active = np.flatnonzero(driver) if r % 5 and driver.any() else np.arange(n)
-    return driver
+    return driver, not n
+
+
+def sparse_driver(x: np.ndarray, k: np.ndarray, penalty: float, rounds: int = 60) -> np.ndarray:
+    return sparse_solved(x, k, penalty, rounds)[0]
 
 
 def banded(df: DataFrame, column: str = "value", fs: float = 1 / 3600, window_s: float = 64 * 3600.0, hop_s: float = 5 * 3600.0, band: tuple[float, float] = (0.045 / 3600, 0.25 / 3600)) -> DataFrame:
@@ -90,7 +96,12 @@ def banded(df: DataFrame, column: str = "value", fs: float = 1 / 3600, window_s:
 
 def sparse(df: DataFrame, column: str = "value", fs: float = 1.0, penalty: float = 5.0) -> DataFrame:
     k = kernel(fs)
-    return per_track(df, column, {"driver": "double"}, lambda t, x: {"driver": sparse_driver(x - x.min(), k, penalty)})
+
+    def run(t, x):
+        driver, converged = sparse_solved(x - x.min(), k, penalty, ROUNDS)
+        return {"driver": driver, "converged": np.full(x.size, converged)}
+
+    return per_track(df, column, {"driver": "double", "converged": "boolean"}, run)
 
 
 QUERIES = {"spectral_bands": lambda s, d: banded(events(s, d)), "sparse_driver": lambda s, d: sparse(events(s, d))}
