@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -22,10 +23,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a new local one only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a new local one in a local session, else an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         own = sc.getConf().get("spark.checkpoint.dir", None)
+        if not own and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(own or f"file://{tempfile.mkdtemp(prefix='spark-')}")
     return sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
@@ -41,6 +44,42 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: Plan nodes whose rows come in the same order every time they are read, a lost executor or not.
+_REPLAYED = {"Project", "Filter", "LogicalRelation", "LocalRelation", "LogicalRDD", "SubqueryAlias"}
+
+
+def _replayed(node) -> bool:
+    children = node.children()
+    return node.nodeName().split(" ")[0] in _REPLAYED and all(_replayed(children.apply(i)) for i in range(children.size()))
+
+
+def numbered(df: DataFrame, name: str = "rid") -> DataFrame:
+    """``df`` with a number of each row that every evaluation repeats: rows that come out of a shuffle are written first."""
+    if not _replayed(df._jdf.queryExecution().optimizedPlan()):
+        path = scratch(df.sparkSession, "rows")
+        df.write.parquet(path)
+        df = df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.select(F.monotonically_increasing_id().alias(name), *df.columns)
+
+
+#: A key with more rows than this is hot, or with more than a share of all rows, so that there are few hot keys.
+HOT_ROWS, HOT_KEYS = 1000, 20_000
+
+
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], by: list[str], rows: int) -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has a row for each key and in ``_n`` that key's rows in ``many``.
+
+    The rows of a hot key are dealt by a hash of ``by`` to several places and the key's row is copied to each of them.
+    ``rows`` is the size of ``many``: no more than ``HOT_KEYS`` keys can be hot, and only those are broadcast.
+    """
+    most = max(HOT_ROWS, -(-rows // HOT_KEYS))
+    places = F.ceil(F.col("_n") / most).cast("int")
+    hot = F.broadcast(one.where(F.col("_n") > most).select(*keys, places.alias("_places")))
+    dealt = many.join(hot, keys, "left").withColumn("_place", F.pmod(F.xxhash64(*by), F.coalesce("_places", F.lit(1)).cast("long")).cast("int")).drop("_places")
+    copied = one.withColumn("_place", F.explode(F.sequence(F.lit(0), F.greatest(places, F.lit(1)) - 1))).drop("_n")
+    return dealt.join(copied, [*keys, "_place"]).drop("_place")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
