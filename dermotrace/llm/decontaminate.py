@@ -1,33 +1,39 @@
 """Operator 2: benchmark decontamination with an Aho-Corasick automaton.
 
-Texts are normalised to words (A-Z lower-cased; a word is a run of 0-9, a-z and characters from U+0080 on). Windows of
-ten consecutive words of the benchmark items go into one automaton, which scans each normalised document once. Hits
-are mapped back through word numbers to character offsets of the original text.
+Texts are normalised to words (A-Z lower-cased; a word is a run of 0-9, a-z and characters from U+0080 on). Any ten
+consecutive words of an item hold five that begin at a multiple of five, so one automaton over these blocks, with a
+word as its letter, passes once over each document and meets every window of the benchmark. At each hit the windows
+around it are looked up by a hash in a sorted table and then compared word by word. Words that lie in a window are mapped
+back to character offsets of the original text.
 
-The automaton's size is bounded: items are dealt to blocks of up to ``block_bytes`` bytes of text, and the documents
-are scanned for each block (one, unless the benchmark is large). Documents never leave their partition for one block.
+The automaton has one node a word of the benchmark, not ten. It is built once in a worker and kept there for its other
+tasks. A benchmark of up to ``block_bytes`` of text is one automaton; a larger one is dealt to several, item by item, and
+the documents are scanned for each. Documents never leave their partition for one automaton.
 
 Nulls: a null text has no words; an item with a null id or no words has no window. Rows with equal item_id are one item.
-Repeated documents give a result row each. With an empty benchmark no document is hit.
+Repeated documents give a result row each. Very long texts are scanned whole, a batch at most some MB or one text. With
+an empty benchmark no document is hit; without documents there are no rows.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import numbered, read_table, slices
 
 WINDOW = 10
-#: Text of the benchmark in one automaton: about 100 MB of nodes.
-BLOCK_BYTES = 200_000
+#: Text of the benchmark in one automaton: about 0.5 GB in a worker.
+BLOCK_BYTES = 20_000_000
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _TO_WORDS = bytes(c if c in b"0123456789abcdefghijklmnopqrstuvwxyz" or c >= 0x80 else 32 for c in bytes(range(256)).lower())
@@ -40,87 +46,147 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TO_WORDS).split()
 
 
-def windows(text: str | None, n: int = WINDOW) -> set[bytes]:
-    w = words(text)
-    return {b" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
-
-
-def automaton(items: list[tuple[str, str]], n: int = WINDOW):
-    """Keys are windows between single spaces, as Latin-1 text, so that a character is a byte; values (words, items)."""
-    import ahocorasick
-
-    of: dict[bytes, set[str]] = defaultdict(set)
-    for item, text in items:
-        for w in windows(text, n):
-            of[w].add(item)
-    out = ahocorasick.Automaton()
-    for w, ids in of.items():
-        out.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, len(w) + 2, tuple(sorted(ids))))
-    if of:
-        out.make_automaton()
-    return out
+class Windows:
+    """All windows of some items: ``n`` words each, or a whole item that has fewer."""
+
+    def __init__(self, items: list[tuple[str, str]], n: int = WINDOW):
+        import ahocorasick
+
+        self.n, self.step = n, n // 2
+        self.ids = sorted({i for i, _ in items})
+        number = {i: k for k, i in enumerate(self.ids)}
+        self.known: dict[bytes, int] = {}
+        texts, owner = [], []
+        for item, text in items:
+            if w := words(text):
+                texts.append(np.array([self.known.setdefault(x, len(self.known) + 1) for x in w], np.uint32))
+                owner.append(number[item])
+        self.words = np.concatenate(texts) if texts else np.empty(0, np.uint32)
+        rng = np.random.default_rng(17)
+        self.mix = rng.integers(0, 1 << 63, len(self.known) + 1, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        # the block of an item of a whole window or more serves windows that begin up to ``step`` words before it;
+        # a shorter item has one block at its start, with the lengths of the items that begin so
+        blocks: dict[tuple[int, ...], set[int]] = defaultdict(set)
+        place, size, of, at = [], [], [], 0
+        for t, k in zip(texts, owner, strict=True):
+            if t.size >= n:
+                for b in range(0, t.size - self.step + 1, self.step):
+                    blocks[tuple(t[b : b + self.step].tolist())].add(n)
+                starts = np.arange(at, at + t.size - n + 1)
+            else:
+                blocks[tuple(t[: self.step].tolist())].add(t.size)
+                starts = np.array([at])
+            place.append(starts)
+            size.append(np.full(starts.size, min(n, t.size)))
+            of.append(np.full(starts.size, k))
+            at += t.size
+        for b, sizes in blocks.items():
+            self.automaton.add_word(b, (len(b), tuple(sorted(sizes))))
+        if blocks:
+            self.automaton.make_automaton()
+        one = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int64)
+        self.place, self.size, self.of = one(place), one(size), one(of)
+        self.hash = np.empty(self.place.size, np.uint64)
+        for m in np.unique(self.size):
+            rows = self.size == m
+            self.hash[rows] = self.hashed(self.words, self.place[rows], int(m))
+        by = np.argsort(self.hash, kind="stable")
+        self.place, self.size, self.of, self.hash = self.place[by], self.size[by], self.of[by], self.hash[by]
+
+    def hashed(self, ids: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
+        """A hash of the ``m`` words from each start on."""
+        h = np.full(starts.size, m, np.uint64)
+        for k in range(m):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + self.mix[ids[starts + k]]
+            h ^= h >> np.uint64(29)
+        return h
+
+    def hits(self, w: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, words, item number) of the windows in a document's words: each place with each of its items."""
+        none = np.empty(0, np.int64)
+        get = self.known.get
+        ids = [get(x, 0) for x in w]
+        starts: dict[int, set[int]] = defaultdict(set)
+        if len(self.automaton):
+            for end, (length, sizes) in self.automaton.iter(tuple(ids)):
+                for m in sizes:
+                    starts[m].update(range(end - length + 1 - self.step, end - length + 2) if m == self.n else (end - length + 1,))
+        found = []
+        ids = np.array(ids, np.uint32)
+        for m, some in starts.items():
+            at = np.array(sorted(s for s in some if 0 <= s <= ids.size - m), np.int64)
+            h = self.hashed(ids, at, m)
+            low, high = np.searchsorted(self.hash, h), np.searchsorted(self.hash, h, "right")
+            many = high - low
+            at, rows = np.repeat(at, many), np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+            same = self.size[rows] == m
+            for k in range(m):  # the hash only selects
+                same[same] = ids[at[same] + k] == self.words[self.place[rows[same]] + k]
+            found.append((at[same], self.size[rows[same]], self.of[rows[same]]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none, none)
 
 
 def offsets(text: str, runs: list[tuple[int, int]]) -> list[dict]:
     """Character offsets in the original text of runs of words (first word, one past the last)."""
     raw = text.encode("utf-8", "surrogatepass")
     at = [m.span() for m in _WORD.finditer(raw.lower())]
-    chars = lambda i: len(raw[:i].decode("utf-8", "surrogatepass"))
-    return [{"start": chars(at[a][0]), "end": chars(at[b - 1][1])} for a, b in runs]
+    places = [0, *(p for a, b in runs for p in (at[a][0], at[b - 1][1]))]
+    chars = np.cumsum([len(raw[i:j].decode("utf-8", "surrogatepass")) for i, j in pairwise(places)]).tolist()
+    return [{"start": a, "end": b} for a, b in zip(chars[::2], chars[1::2], strict=True)]
 
 
-def scan(text: str | None, found) -> tuple[int, list[str], list[tuple[int, int]]]:
+def scan(text: str | None, found: Windows) -> tuple[int, list[str], list[tuple[int, int]]]:
     """Words of the text, items with a window in it, and the maximal runs of hit words."""
     w = words(text)
-    if not w or not len(found):
+    first, size, of = found.hits(w)
+    if not first.size:
         return len(w), [], []
-    joined = f" {b' '.join(w).decode('latin-1')} "
-    hits = list(found.iter(joined))
-    if not hits:
-        return len(w), [], []
-    starts = np.cumsum([1, *(len(x) + 1 for x in w[:-1])])
     delta = np.zeros(len(w) + 1, np.int64)
-    items: set[str] = set()
-    for end, (n, size, ids) in hits:
-        first = int(np.searchsorted(starts, end - size + 2))
-        delta[first] += 1
-        delta[first + n] -= 1
-        items.update(ids)
+    np.add.at(delta, first, 1)
+    np.add.at(delta, first + size, -1)
     edge = np.diff(np.concatenate(([0], np.cumsum(delta)[:-1] > 0, [0])).astype(np.int8))
-    return len(w), sorted(items), list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
+    return len(w), [found.ids[k] for k in np.unique(of)], list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
+
+
+#: The automata that this worker has built, by the number of their broadcast. A worker holds the last one only.
+_BUILT: dict[str, Windows] = {}
 
 
-def _scanner(shared):
+def _scanner(shared, name: str, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = automaton(shared.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                n, items, word_runs, spans = [], [], [], []
-                for text in part.column("text").to_pylist():
-                    size, ids, runs = scan(text, found)
-                    n.append(size)
-                    items.append(ids)
-                    word_runs.append([{"start": a, "end": b} for a, b in runs])
-                    spans.append(offsets(text, runs) if runs else [])
-                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(word_runs, _SPAN), pa.array(spans, _SPAN)], ["rid", "doc_id", "n_words", "items", "word_runs", "spans"])
+        from dermotrace.llm import decontaminate as own  # the worker's module, not a copy that came with the task
+
+        if name not in own._BUILT:
+            own._BUILT.clear()
+            own._BUILT[name] = own.Windows(shared.value, n)
+        found = own._BUILT[name]
+        for part in slices(batches, "text"):
+            counts, items, word_runs, spans = [], [], [], []
+            for text in part.column("text").to_pylist():
+                size, ids, runs = scan(text, found)
+                counts.append(size)
+                items.append(ids)
+                word_runs.append([{"start": a, "end": b} for a, b in runs])
+                spans.append(offsets(text, runs) if runs else [])
+            yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(word_runs, _SPAN), pa.array(spans, _SPAN)], ["rid", "doc_id", "n_words", "items", "word_runs", "spans"])
 
     return run
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, str]]]:
-    """The items in blocks. The benchmark is a query set: it is read item by item, and only one block is held in an automaton."""
-    blocks: list[list[tuple[str, str]]] = [[]]
-    used = 0
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+    """The items in blocks, one at least. The benchmark is a query set: the driver holds one block at a time."""
+    block, used, any_ = [], 0, False
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text")
     for item, text in rows.orderBy("item_id", "text").toLocalIterator():
         size = len(text.encode("utf-8", "surrogatepass"))
-        if blocks[-1] and used + size > block_bytes:
-            blocks.append([])
-            used = 0
-        blocks[-1].append((item, text))
+        if block and used + size > block_bytes:
+            yield block
+            block, used, any_ = [], 0, True
+        block.append((item, text))
         used += size
-    return blocks
+    if block or not any_:
+        yield block
 
 
 def _merged(runs: str) -> str:
@@ -130,11 +196,11 @@ def _merged(runs: str) -> str:
     return f"aggregate({runs}, cast(array() as array<struct<start:int,end:int>>), (a, x) -> if(size(a) > 0 and {last}.end >= x.start, {longer}, concat(a, array(x))))"
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, n: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, spans) for each row of ``documents``; spans are character offsets."""
     sc = documents.sparkSession.sparkContext
-    docs = documents.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    scans = [docs.mapInArrow(_scanner(sc.broadcast(block)), SCHEMA) for block in _blocks(benchmark, block_bytes)]
+    docs = numbered(documents.select("doc_id", "text"))
+    scans = [docs.mapInArrow(_scanner(sc.broadcast(block), uuid.uuid4().hex, n), SCHEMA) for block in _blocks(benchmark, block_bytes)]
     found = scans[0]
     if len(scans) > 1:
         gathered = lambda c: F.array_sort(F.flatten(F.collect_list(c))).alias(c)  # noqa: E731  of one document: an array for each block
