@@ -11,7 +11,8 @@ gram hash occurs again. An anchor stands for the strings that start from ``lo``
    bucket is compared across the boundary.
 
 Position is the last part of a sort key, so the splitters cut through a string that a third of all rows hold, and no
-group is ever gathered. Hashes only select: all decisions compare bytes.
+group is ever gathered. Splitters of contexts are their leading grams and positions alone. Hashes only select: all
+decisions compare bytes.
 
 Nulls are empty; texts under 100 bytes have no strings. Rows that share a doc_id count as documents in scan order; a
 null doc_id comes after all others. An empty table gives no rows.
@@ -28,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, read_table, release, scratch, slices
+from .common import numbered, partitions, read_table, release, scratch, slices
 
 LENGTH = 100
 GRAM = 32
@@ -266,11 +267,11 @@ def _sort_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _rows(documents: DataFrame) -> DataFrame:
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    return documents.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), order.alias("ord"), F.col("text").cast("binary").alias("text"))
+    return documents.select("rid", F.col("doc_id").cast("long").alias("doc_id"), order.alias("ord"), F.col("text").cast("binary").alias("text"))
 
 
 def repeated_runs(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(rid, runs): for the rows of ``documents`` that repeat something, all repeated stretches (start, end) in bytes."""
+    """(rid, runs): for the rows of ``documents`` (rid, doc_id, text) that repeat something, all repeated stretches (start, end) in bytes."""
     spark, rows = documents.sparkSession, _rows(documents)
     folder, n = scratch(spark, "suffixes"), 2 * partitions(spark)  # a bucket is held in memory
 
@@ -283,7 +284,7 @@ def repeated_runs(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     again = hashed.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     wanted = kept(hashed.join(again, "h").groupBy("rid").agg(F.collect_list("h").alias("hashes")), "wanted")
     contexts = rows.join(wanted, "rid").select("rid", "ord", "text", "hashes").mapInArrow(_contexts(length), "key binary, before int, ord long, rid long, lo long")
-    contexts = kept(contexts, "contexts").repartitionByRange(n, "key", "before", "ord", "rid", "lo")
+    contexts = kept(contexts, "contexts").repartitionByRange(n, F.substring("key", 1, GRAM), "ord", "rid", "lo")
     level1 = kept(contexts.mapInArrow(_sort_contexts(length), "rid long, start long, end long, string binary, ord long"), "level1")
     strings = level1.where("string is not null").select("string", "ord", "rid", "start", "end").repartitionByRange(n, "string", "ord", "rid", "start")
     level2 = strings.mapInArrow(_sort_strings, "rid long, start long, end long, first binary, last binary")
@@ -325,6 +326,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary, removed): one row for each row of ``documents``."""
+    documents = numbered(documents.select("doc_id", "text"))
     runs = repeated_runs(documents, length)
     rows = _rows(documents).join(runs, "rid", "left").select("doc_id", "text", "runs")
     return rows.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<start:long,end:long>>")
