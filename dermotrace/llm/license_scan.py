@@ -1,15 +1,18 @@
 """Operator 8: license scans by patience alignment.
 
-A text and each license template are lower-cased words. Stretches of the text where a template's words lie close
-together are cut into windows, each a best chain of the template's words in order in which words between cost a share
-of a match, so that copies that follow one another are windows of their own. A window is aligned with the template:
-equal heads and tails first, then words that are unique in both, whose longest increasing subsequence fixes the
-alignment; the gaps between are aligned in turn, and those without a unique word by longest common subsequence, at any
-size. Coverage is the share of the template's words that are matched; 0.8 or more is a hit.
+A text and each license template are lower-cased words. A template's places in a text are best chains of its words in
+order, in which words between two matches cost a share of a match: for templates of ``STATEMENT`` words or more ``GAP``
+words at most, however many there are, so that foreign text of any length may lie within a license; in shorter ones,
+one-line statements, every word counts, as their words are found everywhere. Copies that follow one another are chains of
+their own. If no chain has enough words, the longest common subsequence of what is left decides. A place is aligned with
+the template: equal heads and tails first, then words that are unique in both, whose longest increasing subsequence
+fixes the alignment; the gaps between are aligned in turn, and those without a unique word by longest common
+subsequence. Coverage is the share of the template's words that are matched, by this alignment or by the longest common
+subsequence of the place if that is longer; 0.8 or more is a hit.
 
 A text that lacks all trigger words of all templates can't reach that coverage and isn't split into words.
 
-Nulls and empty texts have no license. Repeated rows give a result row each. Of overlapping hits the one with most
+Nulls and empty texts have no license; very long texts are scanned whole. Repeated rows give a result row each. Of overlapping hits the one with most
 words wins, each counted with its template's coverage; of equal ones the first template in order of name. An empty table gives no rows.
 """
 
@@ -53,8 +56,8 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 )
 COVERAGE = 0.8
-#: Words of a template lie in one stretch if no more than so many other words are between them.
-GAP = 8
+#: Words between two matches cost no more than this many, in templates of so many words.
+GAP, STATEMENT = 8, 20
 #: Matches are worth so many words between them: first for copies that lie close together, then for loose ones.
 WORTH = (4, GAP + 1)
 
@@ -112,43 +115,42 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def stretches(text: list[str], vocabulary: set[str], least: int) -> Iterator[tuple[int, int]]:
-    """Where words of the vocabulary lie close together, ``least`` of them or more."""
-    first = last = None
-    n = 0
-    for i, w in enumerate(text):
-        if w in vocabulary:
-            if last is not None and i - last > GAP + 1:
-                if n >= least:
-                    yield first, last + 1
-                first, n = None, 0
-            first, last, n = (i if first is None else first), i, n + 1
-    if first is not None and n >= least:
-        yield first, last + 1
-
-
 def windows(text: list[str], template: list[str], need: int, worth: int) -> list[tuple[int, int, int]]:
     """(start, end, words matched) of chains of ``need`` matches or more that don't overlap, with the largest sum of scores.
 
-    A match scores ``worth``, a text word between matches costs 1; a chain whose score is used up begins anew.
+    A match scores ``worth``, a text word between matches costs 1 (a gap of a long template ``GAP`` at most); a chain
+    whose score is used up begins anew.
     """
     places: dict[str, list[int]] = {}
     for j in range(len(template) - 1, -1, -1):
         places.setdefault(template[j], []).append(j)
     size = len(template) + 1
-    # the best chain before each template word: score with its last place added, start, words
-    top, start, words_ = [-(1 << 60)] * size, [0] * size, [0] * size
+    capped = len(template) >= STATEMENT
+
+    def table() -> list[list[int]]:
+        return [[-(1 << 60)] * size, [0] * size, [0] * size]
+
+    def put(of: list[list[int]], j: int, value: int, s: int, n: int) -> None:
+        top, start, words_ = of
+        if top[j + 1] < value:
+            k = bisect_left(top, value, j + 1)
+            top[j + 1 : k], start[j + 1 : k], words_[j + 1 : k] = [value] * (k - j - 1), [s] * (k - j - 1), [n] * (k - j - 1)
+
+    # the best chain before each template word (score, start, words): near ones with their last place added, and far ones
+    near, far = table(), table()
     ends, found = [], []
     for i, w in enumerate(text):
         best = None
         for j in places.get(w, ()):  # the last place first, so that a text word counts once
-            score, s, n = top[j] - i + 1, start[j], words_[j]
-            score, s, n = (score + worth, s, n + 1) if score > 0 else (worth, i, 1)
+            score, of = near[0][j] - i + 1, near
+            if capped and far[0][j] - GAP > score:
+                score, of = far[0][j] - GAP, far
+            score, s, n = (score + worth, of[1][j], of[2][j] + 1) if score > 0 else (worth, i, 1)
             if n >= need and (best is None or score > best[0]):
                 best = (score, s, n)
-            if top[j + 1] < score + i:
-                k = bisect_left(top, score + i, j + 1)
-                top[j + 1 : k], start[j + 1 : k], words_[j + 1 : k] = [score + i] * (k - j - 1), [s] * (k - j - 1), [n] * (k - j - 1)
+            put(near, j, score + i, s, n)
+            if capped:
+                put(far, j, score, s, n)
         if best:
             ends.append(i)
             found.append(best)
@@ -168,6 +170,14 @@ def windows(text: list[str], template: list[str], need: int, worth: int) -> list
     return out[::-1]
 
 
+def matched(text: list[str], template: list[str]) -> list[tuple[int, int]]:
+    """The patience alignment, or the longest common subsequence where it has more words."""
+    pairs = align(text, template)
+    if len(pairs) < len(template):
+        pairs = max(pairs, _common(text, template, 0, len(text), 0, len(template)), key=len)
+    return pairs
+
+
 def copies(text: list[str], template: list[str], need: int) -> Iterator[tuple[int, int, int]]:
     """(start, end, words matched) of all places of the template; what lies beside a place is searched again."""
     held, stack = Counter(template), [(0, len(text))]
@@ -177,23 +187,22 @@ def copies(text: list[str], template: list[str], need: int) -> Iterator[tuple[in
             continue
         got = next((g for worth in WORTH if (g := windows(text[a:b], template, need, worth))), [])
         if not got:
-            pairs = align(text[a:b], template)
-            if len(pairs) >= need and pairs[-1][0] - pairs[0][0] < (GAP + 1) * len(template):
+            pairs = matched(text[a:b], template)
+            if len(pairs) >= need and (len(template) >= STATEMENT or pairs[-1][0] - pairs[0][0] < (GAP + 1) * len(template)):
                 got = [(pairs[0][0], pairs[-1][0] + 1, len(pairs))]
         for s, e, n in got:
-            pairs = align(text[a + s : a + e], template)
-            yield a + s, a + e, max(n, len(pairs))
+            yield a + s, a + e, max(n, len(matched(text[a + s : a + e], template)))
         if got:
             stack += zip([a, *(a + e for _, e, _ in got)], [*(a + s for s, _, _ in got), b], strict=True)
 
 
 def _prepared(templates) -> tuple[list, list[str]]:
-    """(name, words, vocabulary, words needed) of each template; trigger words: one of them is in any text with a hit."""
+    """(name, words, words needed) of each template; trigger words: one of them is in any text with a hit."""
     ready, triggers = [], set()
     for name, text in sorted(templates):
         w = words(text)
         need = math.ceil(COVERAGE * len(w))
-        ready.append((name, w, set(w), need))
+        ready.append((name, w, need))
         left, count = len(w), Counter(w)
         for t in sorted(count, key=lambda t: (t not in triggers, "licen" not in t, -len(t), t)):
             if left < need:
@@ -211,17 +220,18 @@ def scan(text: str | None, ready: list, triggers: list[str]) -> list[dict]:
     at = [m.span() for m in _WORD.finditer(text)]
     w = [text[a:b].lower() for a, b in at]
     found: list[dict] = []
-    for name, template, vocabulary, need in ready:
-        for a, b in stretches(w, vocabulary, need):
-            for i, j, n in copies(w[a:b], template, need):
-                i, j = a + i, a + j - 1
-                found.append({"license": name, "coverage": round(n / len(template), 4), "start": at[i][0], "end": at[j][1], "words": n})
+    for name, template, need in ready:
+        for i, j, n in copies(w, template, need):
+            found.append({"license": name, "coverage": round(n / len(template), 4), "start": at[i][0], "end": at[j - 1][1], "words": n})
     hits = sorted(found, key=lambda h: (-h["words"] * h["coverage"], -h["words"], h["start"]))
-    kept: list[dict] = []
+    kept: list[dict] = []  # in order of place
+    starts: list[int] = []
     for h in hits:  # of overlapping hits the one with most words, each counted with the coverage of its whole template
-        if all(h["end"] <= k["start"] or h["start"] >= k["end"] for k in kept):
-            kept.append(h)
-    return sorted(kept, key=lambda h: h["start"])
+        k = bisect_left(starts, h["end"])
+        if not k or kept[k - 1]["end"] <= h["start"]:
+            kept.insert(k, h)
+            starts.insert(k, h["start"])
+    return kept
 
 
 _HIT = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())])
