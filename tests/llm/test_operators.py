@@ -81,6 +81,37 @@ def test_multikey_quicksort():
     assert [rows[i] for i in by] == sorted(rows)
 
 
+def brute_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def brute_hits(text, items):
+    """Words of the text that lie in a window of an item."""
+    w, hit = brute_words(text), set()
+    for item in items:
+        x = brute_words(item)
+        n = min(10, len(x))
+        for i in range(len(x) - n + 1 if n else 0):
+            hit |= {k for at in range(len(w) - n + 1) if w[at : at + n] == x[i : i + n] for k in range(at, at + n)}
+    return hit
+
+
+def test_decontaminate_brute_force(spark):
+    """Few words, so that windows overlap, repeat and share blocks; items of every length around a block and a window."""
+    rng = np.random.default_rng(11)
+    make = lambda n: " ".join(rng.choice(["Aa", "b", "é", "0"], n))
+    items = [(i, make(n)) for i, n in enumerate([1, 2, 3, 4, 4, 5, 6, 7, 8, 9, 9, 10, 10, 11, 12, 14, 15, 16, 19, 20, 21, 40])]
+    for least in (1, 9, 10):
+        used = [x for x in items if len(x[1].split()) >= least]
+        docs = [(i, make(int(rng.integers(0, 60))) if i % 3 else f"{make(7)}, {used[i % len(used)][1]} - {make(5)}") for i in range(80)]
+        got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(used, "item_id long, text string"))
+        for r in got.collect():
+            hit = brute_hits(docs[r.doc_id][1], [t for _, t in used])
+            assert (r.n_words, r.n_hit) == (len(brute_words(docs[r.doc_id][1])), len(hit))
+            assert r["items"] == sorted(str(i) for i, t in used if brute_hits(docs[r.doc_id][1], [t]))
+            assert sum(len(brute_words(docs[r.doc_id][1][s.start : s.end])) for s in r.spans) == len(hit)
+
+
 def test_decontaminate_blocks(spark, world):
     """Many small automata find what one finds; spans are places in the original text."""
     docs, bench = spark.read.parquet(f"{world[0]}/documents.parquet"), spark.read.parquet(f"{world[0]}/benchmark.parquet")
@@ -256,6 +287,19 @@ def test_packing(spark, world, library):
     for d in world[1]:
         ids[d[0]].append(library.encode(d[1] or "", add_special_tokens=False).ids + [1])
     sequences, covered = defaultdict(list), Counter()
+    of = {d[0]: Counter() for d in world[1]}
+    for r in got:
+        of[r.doc_id][r.start, r.length, r.doc_tokens, r.ids_crc32] += 1
+    for d, pieces in of.items():
+        # rows of a doc_id are told apart by taking their pieces off: each id of each row lies in exactly one piece
+        for x in sorted(ids[d], key=len):
+            at = 0
+            while at < len(x):
+                p = next(p for p in pieces if pieces[p] and p[0] == at and p[2] == len(x) and zlib.crc32(np.array(x[at : at + p[1]], "<u4").tobytes()) == p[3])
+                pieces[p] -= 1
+                at += p[1]
+            assert at == len(x)
+        assert not +pieces
     for r in got:
         assert any(len(x) == r.doc_tokens and zlib.crc32(np.array(x[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for x in ids[r.doc_id])
         sequences[r.sequence_id].append((r.offset, r.length))
@@ -302,8 +346,7 @@ def test_pipeline(spark, world):
     assert Counter(plain(t) for _, t in texts[2]) == Counter({plain(t) for _, t in texts[1]})
     near = [brute_fingerprint(t) for _, t in texts[3]]
     assert all((a ^ b).bit_count() > 4 for i, a in enumerate(near) for b in near[:i])
-    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{world[0]}/benchmark.parquet").collect() if r.item_id is not None]
-    found = decontaminate.automaton([(str(i), t) for i, t in bench if t])
-    assert Counter(texts[4]) == Counter(x for x in texts[3] if not decontaminate.scan(x[1], found)[2])
+    bench = [r.text for r in spark.read.parquet(f"{world[0]}/benchmark.parquet").collect() if r.item_id is not None]
+    assert Counter(texts[4]) == Counter(x for x in texts[3] if not brute_hits(x[1], bench))
     last = p.run(spark, world[0])
     assert Counter(r.doc_id for r in last.where("start = 0").select("doc_id").collect()) == Counter(i for i, _ in texts[4])
