@@ -31,11 +31,10 @@ def feature_class(tags: Column) -> Column:
 
 def around(points: DataFrame, features: DataFrame, metres: float) -> DataFrame:
     """(track, idx, class, n, nearest): features of each class within reach, by cells of that size."""
-    step = metres / geo.DEGREE_M
-    wide = 2 * step
-    pts = points.select("track", "idx", "lat", "lon", F.floor(F.col("lat") / step).alias("cy"), F.floor(F.col("lon") / wide).alias("cx"))
-    near = F.array(*(F.struct((F.floor(F.col("lat") / step) + i).alias("cy"), (F.floor(F.col("lon") / wide) + j).alias("cx")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    fts = features.select("class", F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"), F.explode(near).alias("c")).select("class", "f_lat", "f_lon", "c.cy", "c.cx")
+    band = geo.band_of(F.col("lat"), metres)
+    pts = points.select("track", "idx", "lat", "lon", band.alias("cy"), geo.column_of(F.col("lon"), band, metres).alias("cx"))
+    near = geo.near_cells(F.col("f_lat"), F.col("f_lon"), metres)
+    fts = features.select("class", F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon")).select("class", "f_lat", "f_lon", F.explode(near).alias("c")).select("class", "f_lat", "f_lon", "c.cy", "c.cx")
     d = geo.distance(F.col("lat"), F.col("lon"), F.col("f_lat"), F.col("f_lon"))
     return pts.join(fts, ["cy", "cx"]).withColumn("d", d).where(F.col("d") <= metres).groupBy("track", "idx", "class").agg(F.count("*").alias("n"), F.min("d").alias("nearest"))
 
@@ -83,8 +82,8 @@ def forward_filled(df: DataFrame, value: str) -> DataFrame:
     return df.withColumn(value, F.last(value, True).over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def _features(spark, d, rows="idx % 7 = 0"):
-    return positions(spark, d).where(rows).select(F.col("kind").alias("class"), "lat", "lon").distinct()
+def _features(spark, d):
+    return positions(spark, d).select(F.col("kind").alias("class"), "lat", "lon").distinct()
 
 
 def _areas(spark, d):
@@ -97,21 +96,10 @@ def _raster(spark, d):
     return positions(spark, d).groupBy(cy.alias("cy"), cx.alias("cx")).agg(F.max("value").alias("v"))
 
 
-def _around(points, features):
-    return around(points, features, 80.0).select("track", "idx", "class", "n", F.round("nearest", 3).alias("nearest"))
-
-
-def _sampled(points, raster):
-    return sampled(points, raster, 0.0005).select("track", "idx", "at", F.round(F.col("mean") + F.lit(1e-7), 4).alias("mean"))
-
-
-#: Names in ``_all`` run over every position; those without keep the rows that their SQL states.
 QUERIES = {
-    "env_around": lambda s, d: _around(positions(s, d).where("idx % 10 = 1"), _features(s, d)),
-    "env_around_all": lambda s, d: _around(positions(s, d), _features(s, d, "true")),
+    "env_around": lambda s, d: around(positions(s, d), _features(s, d), 80.0).select("track", "idx", "class", "n", F.round("nearest", 3).alias("nearest")),
     "env_inside": lambda s, d: inside(positions(s, d), _areas(s, d)),
-    "env_raster": lambda s, d: _sampled(positions(s, d).where("idx % 10 = 2"), _raster(s, d)),
-    "env_raster_all": lambda s, d: _sampled(positions(s, d), _raster(s, d)),
+    "env_raster": lambda s, d: sampled(positions(s, d), _raster(s, d), 0.0005).select("track", "idx", "at", F.round("mean", 8).alias("mean")),
     "env_turns": lambda s, d: turns(positions(s, d)).select("track", "idx", (F.round("turn", 3) + F.lit(0.0)).alias("turn"), "label"),
     "env_exposure": lambda s, d: exposure(positions(s, d), "kind", "value").select("kind", "n", "tracks", *(F.round(c, 3).alias(c) for c in ("mean", "sigma", "low", "high"))),
 }
@@ -119,15 +107,15 @@ _IN = " + ".join(f"(CASE WHEN ({a}.y > lat) != ({b}.y > lat) AND lon < ({b}.x -
 _RING = "[{{'y': {0}, 'x': {1}}}, {{'y': {0}, 'x': {1} + 0.004::double}}, {{'y': {0} + 0.003::double, 'x': {1} + 0.002::double}}, {{'y': {0}, 'x': {1}}}]"
 _BEARING = "degrees(atan2(sin(radians({3} - {1})) * cos(radians({2})), cos(radians({0})) * sin(radians({2})) - sin(radians({0})) * cos(radians({2})) * cos(radians({3} - {1}))))"
 ORACLE_SQL = {
-    "env_around": f"""WITH {POSITIONS_SQL}, f AS (SELECT DISTINCT kind AS class, lat, lon FROM p WHERE idx % 7 = 0),
-d AS (SELECT p.track, p.idx, class, sqrt(((f.lat - p.lat) * 111320) ** 2 + ((f.lon - p.lon) * 111320 * cos(radians(p.lat))) ** 2) AS d FROM p, f WHERE p.idx % 10 = 1)
+    "env_around": f"""WITH {POSITIONS_SQL}, f AS (SELECT DISTINCT kind AS class, lat, lon FROM p),
+d AS (SELECT p.track, p.idx, class, sqrt(((f.lat - p.lat) * 111320) ** 2 + ((f.lon - p.lon) * 111320 * cos(radians(p.lat))) ** 2) AS d FROM p JOIN f ON abs(f.lat - p.lat) * 111320 <= 80)
 SELECT track, idx, class, count(*) AS n, round(min(d), 3) AS nearest FROM d WHERE d <= 80 GROUP BY track, idx, class""",
     "env_inside": f"""WITH {POSITIONS_SQL}, a(area, r) AS (VALUES (1, {_RING.format("51.501::double", "-0.099::double")}), (2, {_RING.format("51.503::double", "-0.097::double")}))
 SELECT track, idx, area::bigint AS area FROM p, a WHERE ({_IN}) % 2 = 1""",
     "env_raster": f"""WITH {POSITIONS_SQL}, c AS (SELECT *, floor(lat / 0.0005)::bigint AS cy, floor(lon / 0.0005)::bigint AS cx FROM p),
 r AS (SELECT cy, cx, max(value) AS v FROM c GROUP BY cy, cx)
-SELECT track, idx, max(v) FILTER (r.cy = c.cy AND r.cx = c.cx) AS at, round(avg(v) + 1e-7, 4) AS mean
-FROM c JOIN r ON r.cy BETWEEN c.cy - 1 AND c.cy + 1 AND r.cx BETWEEN c.cx - 1 AND c.cx + 1 WHERE idx % 10 = 2 GROUP BY track, idx""",
+SELECT track, idx, max(v) FILTER (r.cy = c.cy AND r.cx = c.cx) AS at, round(avg(v), 8) AS mean
+FROM c JOIN r ON r.cy BETWEEN c.cy - 1 AND c.cy + 1 AND r.cx BETWEEN c.cx - 1 AND c.cx + 1 GROUP BY track, idx""",
     "env_turns": f"""WITH {POSITIONS_SQL}, n AS (SELECT *, lag(lat) OVER w AS y0, lag(lon) OVER w AS x0, lead(lat) OVER w AS y2, lead(lon) OVER w AS x2 FROM p WINDOW w AS (PARTITION BY track ORDER BY t, idx)),
 b AS (SELECT track, idx, ({_BEARING.format("y0", "x0", "lat", "lon")} + 360) % 360 AS b1, ({_BEARING.format("lat", "lon", "y2", "x2")} + 360) % 360 AS b2 FROM n),
 u AS (SELECT track, idx, (b2 - b1 + 540) % 360 - 180 AS turn FROM b)

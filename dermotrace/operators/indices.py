@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import EVENTS_SQL, events
-from .windows import area, by_time, rolling_percentile, standardise
+from .windows import AREA, area, by_time, rolling_percentile, standardise
 
 #: Weights of the combined and of the three-part index, and the reach of radio levels (dBm).
 COMBINED = (0.3, 0.7)
@@ -61,7 +61,7 @@ def radio_peak(bands: list[Column], rise: float = 3.5) -> Column:
 
 
 def indexed(df: DataFrame) -> DataFrame:
-    made = df.withColumns({"tonic": rolling_percentile(F.col("value"), 10, 0.1), "auc": area("value", 43200.0)})
+    made = df.withColumns({"tonic": rolling_percentile(F.col("value"), 10, 0.1), "auc": area("value", 43200.0, 0.5)})
     return made.withColumn("index", combined(F.col("tonic"), F.col("auc")))
 
 
@@ -72,19 +72,18 @@ def _radio(spark, d):
 
 
 QUERIES = {
-    "index_combined": lambda s, d: indexed(events(s, d)).select("track", "idx", F.round(F.col("index") + F.lit(1e-8), 4).alias("index")),
+    "index_combined": lambda s, d: indexed(events(s, d)).select("track", "idx", F.round("index", 8).alias("index")),
     "index_radio": _radio,
 }
 _W = "PARTITION BY track ORDER BY t, idx"
 _LEVEL = "greatest(0, least(1, (({0}) + 100) / 70))"
 _PEAK = "coalesce({0} >= lag({0}) OVER w AND {0} >= lead({0}) OVER w AND ({0} - lag({0}) OVER w >= 3.5 OR {0} - lead({0}) OVER w >= 3.5), false)"
 ORACLE_SQL = {
-    "index_combined": f"""WITH {EVENTS_SQL},
-f AS (SELECT *, list_sort(list(value) OVER ({_W} ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)) AS fr,
-  sum(greatest(value, 0)) OVER (PARTITION BY track ORDER BY t RANGE BETWEEN 43200 PRECEDING AND 43200 FOLLOWING) AS auc FROM e),
+    "index_combined": f"""WITH {EVENTS_SQL}, {AREA},
+f AS (SELECT *, list_sort(list(value) OVER ({_W} ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)) AS fr, area / 0.5 AS auc FROM ar),
 g AS (SELECT *, fr[least(floor(len(fr) * 0.1), len(fr) - 1)::int + 1] AS tonic FROM f)
 SELECT track, idx, round(0.3 * (tonic - avg(tonic) OVER p) / CASE WHEN stddev_pop(tonic) OVER p > 0 THEN stddev_pop(tonic) OVER p ELSE 1 END
-  + 0.7 * (auc - avg(auc) OVER p) / CASE WHEN stddev_pop(auc) OVER p > 0 THEN stddev_pop(auc) OVER p ELSE 1 END + 1e-8, 4) AS "index"
+  + 0.7 * (auc - avg(auc) OVER p) / CASE WHEN stddev_pop(auc) OVER p > 0 THEN stddev_pop(auc) OVER p ELSE 1 END, 8) AS "index"
 FROM g WINDOW p AS (PARTITION BY track)""",
     "index_radio": f"""WITH {EVENTS_SQL}, b AS (SELECT *, -(value % 70) - 30 AS x, -(value * 3 % 80) - 25 AS y FROM e)
 SELECT track, idx, round(100 * sqrt(({_LEVEL.format("x")} ** 2 + {_LEVEL.format("y")} ** 2) / 2), 4) AS fog,

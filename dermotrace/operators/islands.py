@@ -40,18 +40,22 @@ def sessions(df: DataFrame, gap_seconds: float) -> DataFrame:
     return merged(df.select("track", F.col("t").alias("start"), F.col("t").alias("end")), gap_seconds)
 
 
-def settled(df: DataFrame, value: str, share: float, hold: int) -> DataFrame:
-    """(track, t): the first row that ends ``hold`` changes in a row of no more than ``share`` of the value before."""
+def settled(df: DataFrame, value: str, share: float, hold: int, within_s: float = 10.0) -> DataFrame:
+    """(track, t): the first row that ends ``hold`` changes in a row of no more than ``share`` of the larger value, within so long of the first row.
+
+    A track that doesn't settle in this time ends at its last row within it.
+    """
     before = F.lag(value).over(by_time())
-    calm = F.when(F.abs(F.col(value) - before) <= share * F.abs(before), 1).otherwise(0)
-    held = F.sum("_calm").over(by_time().rowsBetween(1 - hold, 0))
-    return df.withColumn("_calm", calm).withColumn("_held", held).where(F.col("_held") == hold).groupBy("track").agg(F.min("t").alias("t"))
+    calm = F.when(F.abs(F.col(value) - before) / F.greatest(F.abs(value), F.abs(before), F.lit(1e-9)) <= share, 1).otherwise(0)
+    early = df.withColumn("_calm", calm).withColumn("_first", F.min("t").over(Window.partitionBy("track"))).where(F.col("t") - F.col("_first") <= within_s)
+    held = early.withColumn("_held", F.sum("_calm").over(by_time().rowsBetween(1 - hold, 0)))
+    return held.groupBy("track").agg(F.coalesce(F.min(F.when(F.col("_held") == hold, F.col("t"))), F.max("t")).alias("t"))
 
 
 QUERIES = {
     "islands_runs": lambda spark, d: runs(events(spark, d), "kind").select("track", "island", "kind", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "n"),
     "islands_sessions": lambda spark, d: sessions(events(spark, d), 21600.0).select("track", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "n"),
-    "islands_settled": lambda spark, d: settled(events(spark, d), "value", 0.5, 3).select("track", F.round("t", 3).alias("t")),
+    "islands_settled": lambda spark, d: settled(events(spark, d), "value", 0.5, 3, 864000.0).select("track", F.round("t", 3).alias("t")),
 }
 
 _W = "PARTITION BY track ORDER BY t, idx"
@@ -62,7 +66,8 @@ SELECT track, island, min(kind) AS kind, round(min(t), 3) AS start, round(max(t)
     "islands_sessions": f"""WITH {EVENTS_SQL}, s AS (SELECT *, CASE WHEN t - lag(t) OVER ({_W}) <= 21600 THEN 0 ELSE 1 END AS f FROM e),
 n AS (SELECT *, sum(f) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS span FROM s)
 SELECT track, round(min(t), 3) AS start, round(max(t), 3) AS "end", count(*) AS n FROM n GROUP BY track, span""",
-    "islands_settled": f"""WITH {EVENTS_SQL}, c AS (SELECT *, CASE WHEN abs(value - lag(value) OVER ({_W})) <= 0.5 * abs(lag(value) OVER ({_W})) THEN 1 ELSE 0 END AS calm FROM e),
-h AS (SELECT *, sum(calm) OVER ({_W} ROWS 2 PRECEDING) AS held FROM c)
-SELECT track, round(min(t), 3) AS t FROM h WHERE held = 3 GROUP BY track""",
+    "islands_settled": f"""WITH {EVENTS_SQL}, c AS (SELECT *, lag(value) OVER ({_W}) AS b, min(t) OVER (PARTITION BY track) AS t0 FROM e),
+d AS (SELECT *, CASE WHEN abs(value - b) / greatest(abs(value), abs(b), 1e-9) <= 0.5 THEN 1 ELSE 0 END AS calm FROM c WHERE t - t0 <= 864000),
+h AS (SELECT *, sum(calm) OVER ({_W} ROWS 2 PRECEDING) AS held FROM d)
+SELECT track, round(coalesce(min(t) FILTER (held = 3), max(t)), 3) AS t FROM h GROUP BY track""",
 }

@@ -32,11 +32,15 @@ def surface(points: DataFrame, step_deg: float, value: str = "value", reach_m: f
     Points meet the cells around them by exploding a fixed stencil; sums of weights combine before the shuffle.
     """
     lat, lon = F.col("lat"), F.col("lon")
-    ny = math.ceil(reach_m / (step_deg * geo.DEGREE_M)) + 1
-    nx = 2 * ny  # holds to 60 degrees of latitude
+    high = reach_m / (step_deg * geo.DEGREE_M)
+    ny, round_ = math.ceil(high) + 1, round(360 / step_deg)
+    # at the stencil's edge nearest to a pole a cell is narrowest; no stencil is wider than the globe
+    edge = F.least(F.lit(89.999), F.abs(lat) + reach_m / geo.DEGREE_M)
+    nx = F.least(F.lit(round_ // 2), F.ceil(F.lit(high) / F.cos(F.radians(edge))) + 1)
     cy, cx = geo.cell(lat, lon, step_deg)
-    near = points.select("track", lat, lon, F.col(value).alias("v"), cy.alias("y0"), cx.alias("x0"))
-    near = near.withColumn("cy", F.explode(F.sequence(F.col("y0") - ny, F.col("y0") + ny))).withColumn("cx", F.explode(F.sequence(F.col("x0") - nx, F.col("x0") + nx)))
+    near = points.select("track", lat, lon, F.col(value).alias("v"), cy.alias("y0"), cx.alias("x0"), nx.alias("nx"))
+    near = near.withColumn("cy", F.explode(F.sequence(F.col("y0") - ny, F.col("y0") + ny))).withColumn("cx", F.explode(F.sequence(F.col("x0") - F.col("nx"), F.least(F.col("x0") + F.col("nx"), F.col("x0") - F.col("nx") + round_ - 1))))
+    near = near.withColumn("cx", F.pmod(F.col("cx") + round_ // 2, F.lit(round_)) - round_ // 2)
     d = geo.distance(lat, lon, (F.col("cy") + 0.5) * step_deg, (F.col("cx") + 0.5) * step_deg)
     near = near.withColumn("d", d).where(F.col("d") <= reach_m).withColumn("w", 1 / F.pow(F.col("d") + SOFTEN_M, F.lit(2)))
     votes = near.groupBy("cy", "cx", "track").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("vote"))
@@ -70,11 +74,20 @@ def segments(ways: DataFrame) -> DataFrame:
 
 def candidates(points: DataFrame, segs: DataFrame, reach_m: float = SEARCH_M, most: int = CANDIDATES) -> DataFrame:
     """Segments within reach of each point, the nearest first: a segment lies in the cells its box and reach touch."""
-    step = 4 * reach_m / geo.DEGREE_M
-    wide, pad = 2 * step, reach_m / geo.DEGREE_M
-    span = lambda a, b, s, p: F.sequence(F.floor((F.least(a, b) - p) / s), F.floor((F.greatest(a, b) + p) / s))
-    dealt = segs.withColumn("cy", F.explode(span(F.col("a_lat"), F.col("b_lat"), step, pad))).withColumn("cx", F.explode(span(F.col("a_lon"), F.col("b_lon"), wide, 2 * pad)))
-    pts = points.select("track", "t", "idx", "lat", "lon", F.floor(F.col("lat") / step).alias("cy"), F.floor(F.col("lon") / wide).alias("cx"))
+    size = 4 * reach_m
+    step, pad = size / geo.DEGREE_M, reach_m / geo.DEGREE_M
+    low, high = F.least("a_lat", "b_lat") - pad, F.greatest("a_lat", "b_lat") + pad
+    bands = segs.withColumn("cy", F.explode(F.sequence(F.floor(low / step), F.floor(high / step))))
+    # in each band the columns from the western end on, the short way round; a pad that is as wide there as the reach is
+    across = geo.lon_difference(F.col("a_lon"), F.col("b_lon"))
+    west = F.when(across >= 0, F.col("a_lon")).otherwise(F.col("b_lon"))
+    n = geo.band_columns(F.col("cy"), size)
+    wide = 360 / n / 4
+    from_, to = F.floor((west - wide + 180) / 360 * n), F.floor((west + F.abs(across) + wide + 180) / 360 * n)
+    columns = F.array_distinct(F.transform(F.sequence(from_, F.least(to, from_ + n)), lambda c: F.pmod(c, n)))
+    dealt = bands.withColumn("cx", F.explode(columns))
+    band = geo.band_of(F.col("lat"), size)
+    pts = points.select("track", "t", "idx", "lat", "lon", band.alias("cy"), geo.column_of(F.col("lon"), band, size).alias("cx"))
     d = geo.segment_distance(*(F.col(c) for c in ("lat", "lon", "a_lat", "a_lon", "b_lat", "b_lon")))
     near = pts.join(dealt, ["cy", "cx"]).drop("cy", "cx").withColumn("d", d).where(F.col("d") <= reach_m)
     rank = F.row_number().over(Window.partitionBy("track", "idx").orderBy("d", "way", "seg"))
@@ -188,22 +201,11 @@ def street_grid(spark) -> DataFrame:
     return spark.createDataFrame([(2 * k + along, line(k, bool(along))) for k in range(9) for along in (0, 1)], "way long, nodes array<struct<lat:double,lon:double>>")
 
 
-def _surface(points):
-    return surface(points, 0.001).select("cy", "cx", "votes", F.round(F.col("level") + F.lit(1e-7), 4).alias("level"))
-
-
-def _candidates(points):
-    return candidates(points, segments(street_grid(points.sparkSession))).select("track", "idx", "way", "seg", F.round("d", 3).alias("d"))
-
-
-#: Names in ``_all`` run over every position; those without keep the rows that their SQL states.
 QUERIES = {
-    "cell_means": lambda s, d: cell_means(positions(s, d), 0.001).select("cy", "cx", "tracks", "n", F.round(F.col("mean") + F.lit(1e-7), 4).alias("mean")),
-    "surface": lambda s, d: _surface(positions(s, d).where("idx % 4 = 0")),
-    "surface_all": lambda s, d: _surface(positions(s, d)),
+    "cell_means": lambda s, d: cell_means(positions(s, d), 0.001).select("cy", "cx", "tracks", "n", F.round("mean", 8).alias("mean")),
+    "surface": lambda s, d: surface(positions(s, d), 0.001).select("cy", "cx", "votes", F.round("level", 8).alias("level")),
     "hotspots": lambda s, d: hotspots(positions(s, d)),
-    "map_candidates": lambda s, d: _candidates(positions(s, d).where("idx % 5 = 0")),
-    "map_candidates_all": lambda s, d: _candidates(positions(s, d)),
+    "map_candidates": lambda s, d: candidates(positions(s, d), segments(street_grid(s))).select("track", "idx", "way", "seg", F.round("d", 3).alias("d")),
     "map_matched": lambda s, d: map_matched(positions(s, d), street_grid(s)),
 }
 _GRID = """ways AS (SELECT 2 * k + a AS way, j AS seg, 51.5 + 0.0012 * CASE a WHEN 1 THEN k ELSE j END AS a_lat, -0.1 + 0.0012 * CASE a WHEN 1 THEN j ELSE k END AS a_lon,
@@ -211,15 +213,15 @@ _GRID = """ways AS (SELECT 2 * k + a AS way, j AS seg, 51.5 + 0.0012 * CASE a WH
   FROM range(9) r(k), range(2) s(a), range(8) q(j))"""
 ORACLE_SQL = {
     "cell_means": f"""WITH {POSITIONS_SQL}, v AS (SELECT floor(lat / 0.001)::bigint AS cy, floor(lon / 0.001)::bigint AS cx, track, avg(value) AS v, count(value) AS n FROM p GROUP BY ALL)
-SELECT cy, cx, count(*) AS tracks, sum(n)::bigint AS n, round(avg(v) + 1e-7, 4) AS mean FROM v GROUP BY cy, cx""",
-    "surface": f"""WITH {POSITIONS_SQL}, q AS (SELECT *, floor(lat / 0.001)::bigint AS y0, floor(lon / 0.001)::bigint AS x0 FROM p WHERE idx % 4 = 0),
+SELECT cy, cx, count(*) AS tracks, sum(n)::bigint AS n, round(avg(v), 8) AS mean FROM v GROUP BY cy, cx""",
+    "surface": f"""WITH {POSITIONS_SQL}, q AS (SELECT *, floor(lat / 0.001)::bigint AS y0, floor(lon / 0.001)::bigint AS x0 FROM p),
 c AS (SELECT track, lat, lon, value, y0 + i AS cy, x0 + j AS cx FROM q, range(-2, 3) a(i), range(-4, 5) b(j)),
 d AS (SELECT *, sqrt((((cy + 0.5) * 0.001 - lat) * 111320) ** 2 + (((cx + 0.5) * 0.001 - lon) * 111320 * cos(radians(lat))) ** 2) AS d FROM c),
 v AS (SELECT cy, cx, track, sum(value / (d + 25) ** 2) / sum(1 / (d + 25) ** 2) AS vote FROM d WHERE d <= 75 GROUP BY ALL)
-SELECT cy, cx, count(*) AS votes, round(sum(vote) / (count(*) + 3) + 1e-7, 4) AS level FROM v GROUP BY cy, cx""",
+SELECT cy, cx, count(*) AS votes, round(sum(vote) / (count(*) + 3), 8) AS level FROM v GROUP BY cy, cx""",
     "map_candidates": f"""WITH {POSITIONS_SQL}, {_GRID},
 x AS (SELECT track, idx, way, seg, 111320 * cos(radians(lat)) AS k, (a_lon - lon) * 111320 * cos(radians(lat)) AS ax, (a_lat - lat) * 111320 AS ay,
-  (b_lon - a_lon) * 111320 * cos(radians(lat)) AS dx, (b_lat - a_lat) * 111320 AS dy FROM p, ways WHERE idx % 5 = 0),
+  (b_lon - a_lon) * 111320 * cos(radians(lat)) AS dx, (b_lat - a_lat) * 111320 AS dy FROM p, ways),
 y AS (SELECT *, greatest(0, least(1, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) AS s FROM x),
 z AS (SELECT *, sqrt((ax + s * dx) ** 2 + (ay + s * dy) ** 2) AS d FROM y)
 SELECT track, idx, way, seg::int AS seg, round(d, 3) AS d FROM z WHERE d <= 40 QUALIFY row_number() OVER (PARTITION BY track, idx ORDER BY d, way, seg) <= 10""",

@@ -85,7 +85,7 @@ def _tested(spark, d):
 
 
 QUERIES = {
-    "stats_summary": lambda s, d: _round(summary(events(s, d), "track", "value").withColumn("mean", F.col("mean") + F.lit(1e-7))),
+    "stats_summary": lambda s, d: _round(summary(events(s, d), "track", "value"), 8),
     "stats_median": lambda s, d: upper_median(events(s, d), "track", "value"),
     "stats_correlations": lambda s, d: _round(correlations(_hour(events(s, d)), "track", "hour", "value")),
     "stats_meta": lambda s, d: _round(meta_correlation(correlations(_hour(events(s, d)), "track", "hour", "value"))),
@@ -95,8 +95,8 @@ QUERIES = {
 _CORR = f"""{EVENTS_SQL}, h AS (SELECT *, floor(t / 3600)::bigint % 24 AS hour FROM e),
 c AS (SELECT track, count(*) AS n, corr(hour, value) AS r, regr_slope(value, hour) AS slope, regr_intercept(value, hour) AS intercept FROM h WHERE value IS NOT NULL GROUP BY track)"""
 ORACLE_SQL = {
-    "stats_summary": f"""WITH {EVENTS_SQL} SELECT track, count(value) AS n, round(avg(value) + 1e-7, 4) AS mean, round(stddev_pop(value), 4) AS sigma,
-round(var_pop(value), 4) AS variance, round(min(value), 4) AS low, round(max(value), 4) AS high FROM e GROUP BY track""",
+    "stats_summary": f"""WITH {EVENTS_SQL} SELECT track, count(value) AS n, round(avg(value), 8) AS mean, round(stddev_pop(value), 8) AS sigma,
+round(var_pop(value), 8) AS variance, round(min(value), 8) AS low, round(max(value), 8) AS high FROM e GROUP BY track""",
     "stats_median": f"WITH {EVENTS_SQL} SELECT track, list_sort(list(value) FILTER (value IS NOT NULL))[count(value) // 2 + 1] AS median FROM e GROUP BY track HAVING count(value) > 0",
     "stats_correlations": f"WITH {_CORR} SELECT track, n, round(r, 4) AS r, round(slope, 4) AS slope, round(intercept, 4) AS intercept FROM c",
     "stats_meta": f"""WITH {_CORR}, u AS (SELECT atanh(greatest(-0.999999, least(0.999999, r))) AS z, (n - 3)::double AS w FROM c WHERE n >= 10 AND r IS NOT NULL),

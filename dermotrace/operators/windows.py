@@ -66,9 +66,16 @@ def noise_floor(df: DataFrame, x: str, half: int) -> DataFrame:
     return d.withColumn("noise", F.greatest(F.coalesce(F.stddev_pop("_d").over(rows(half)), F.lit(0.0)) / F.lit(2**0.5), F.lit(1e-6))).drop("_d")
 
 
-def area(x: str, seconds: float) -> Column:
-    """Sum of the positive part within ``seconds`` to each side."""
-    return F.expr(f"sum(greatest({x}, 0D)) over (partition by track order by t range between {float(seconds)}D preceding and {float(seconds)}D following)")
+def area(x: str, half_s: float, fs: float = 1.0) -> Column:
+    """Integral of the positive part within ``half_s`` seconds to each side: the sum over the rate ``fs``.
+
+    Where the frame reaches over an end of the track it is scaled to the whole frame, from half of it at least.
+    """
+    total = F.expr(f"sum(greatest({x}, 0D)) over (partition by track order by t range between {float(half_s)}D preceding and {float(half_s)}D following)")
+    t, first, last = F.col("t"), F.min("t").over(whole()), F.max("t").over(whole())
+    covered = F.least(t + half_s, last) - F.greatest(t - half_s, first)
+    scale = F.when((covered > 0) & (covered < 2 * half_s), 2 * half_s / F.greatest(covered, F.lit(float(half_s)))).otherwise(1.0)
+    return total / fs * scale
 
 
 def percentile_rank(x: Column) -> Column:
@@ -106,9 +113,9 @@ def _rounded(c: Column, name: str) -> Column:
 QUERIES = {
     "window_hampel": _query(lambda e: hampel(e, "value", 5, out="clean").select("track", "idx", _rounded(F.col("clean"), "clean"))),
     "window_percentile": _query(lambda e: e.select("track", "idx", _rounded(rolling_percentile(F.col("value"), 10, 0.1), "p10"), _rounded(rolling_percentile(F.col("value"), 3, 0.5), "median"), _rounded(rolling_min(F.col("value"), 6), "low"))),
-    "window_standardise": _query(lambda e: e.select("track", "idx", (F.round(standardise(F.col("value")), 4) + F.lit(0.0)).alias("z"), _rounded(percentile_rank(F.col("value")), "rank"), _rounded(moving_average(F.col("value"), 4) + F.lit(1e-7), "smooth"))),
+    "window_standardise": _query(lambda e: e.select("track", "idx", (F.round(standardise(F.col("value")), 4) + F.lit(0.0)).alias("z"), _rounded(percentile_rank(F.col("value")), "rank"), F.round(moving_average(F.col("value"), 4), 8).alias("smooth"))),
     "window_noise_floor": _query(lambda e: noise_floor(e, "value", 8).select("track", "idx", _rounded(F.col("noise"), "noise"))),
-    "window_area": _query(lambda e: e.select("track", "idx", _rounded(area("value", 43200.0), "area"))),
+    "window_area": _query(lambda e: e.select("track", "idx", _rounded(area("value", 43200.0, 0.5), "area"))),
     "response_summary": _query(response_summary),
 }
 
@@ -120,6 +127,9 @@ m AS (SELECT *, {_RANK.format("fr", 0.5)} AS med FROM f),
 d AS (SELECT *, list_transform(fr, lambda v: abs(v - med)) AS dev FROM m),
 h AS (SELECT track, t, idx, CASE WHEN abs(value - med) > greatest(4.4478 * {_RANK.format("dev", 0.5)}, 1e-5) THEN med ELSE value END AS clean FROM d)"""
 
+AREA = """ac AS (SELECT *, sum(greatest(value, 0)) OVER (PARTITION BY track ORDER BY t RANGE BETWEEN 43200 PRECEDING AND 43200 FOLLOWING) AS total,
+  least(t + 43200, max(t) OVER (PARTITION BY track)) - greatest(t - 43200, min(t) OVER (PARTITION BY track)) AS covered FROM e),
+ar AS (SELECT *, total * CASE WHEN covered > 0 AND covered < 86400 THEN 86400 / greatest(covered, 43200) ELSE 1 END AS area FROM ac)"""
 ORACLE_SQL = {
     "window_hampel": f"WITH {EVENTS_SQL}, {_HAMPEL} SELECT track, idx, round(clean, 4) AS clean FROM h",
     "window_percentile": f"""WITH {EVENTS_SQL},
@@ -129,11 +139,11 @@ SELECT track, idx, round({_RANK.format("a", 0.1)}, 4) AS p10, round({_RANK.forma
     "window_standardise": f"""WITH {EVENTS_SQL}
 SELECT track, idx, round((value - avg(value) OVER p) / CASE WHEN stddev_pop(value) OVER p > 0 THEN stddev_pop(value) OVER p ELSE 1 END, 4) + 0.0 AS z,
   round(CASE WHEN count(value) OVER p <= 1 THEN 0.5 ELSE cume_dist() OVER (PARTITION BY track ORDER BY value) END, 4) AS rank,
-  round(avg(value) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) + 1e-7, 4) AS smooth FROM e WINDOW p AS (PARTITION BY track)""",
+  round(avg(value) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING), 8) AS smooth FROM e WINDOW p AS (PARTITION BY track)""",
     "window_noise_floor": f"""WITH {EVENTS_SQL}, d AS (SELECT track, idx, t, value - lag(value) OVER ({_W}) AS d FROM e)
 SELECT track, idx, round(greatest(coalesce(stddev_pop(d) OVER ({_W} ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING), 0) / sqrt(2), 1e-6), 4) AS noise FROM d""",
-    "window_area": f"""WITH {EVENTS_SQL}
-SELECT track, idx, round(sum(greatest(value, 0)) OVER (PARTITION BY track ORDER BY t RANGE BETWEEN 43200 PRECEDING AND 43200 FOLLOWING), 4) AS area FROM e""",
+    "window_area": f"""WITH {EVENTS_SQL}, {AREA}
+SELECT track, idx, round(area / 0.5, 4) AS area FROM ar""",
     "response_summary": f"""WITH {EVENTS_SQL}, {_HAMPEL},
 b AS (SELECT *, list(clean) OVER ({_W} ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS fr FROM h),
 ph AS (SELECT track, t, idx, greatest(clean - {_RANK.format("fr", 0.1)}, 0) AS phasic FROM b),
