@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 import oracle
 from dermotrace import registry
 from dermotrace.functions import geo, stats
-from dermotrace.operators import islands, joins, signal, statistics, trajectory, windows
+from dermotrace.operators import islands, joins, signal, statistics, windows
 from dermotrace.sources import track_csv
 from dermotrace.streaming import live
 from pyspark.sql import functions as F
@@ -94,46 +94,16 @@ def test_prominence(values):
             assert got[i] == 0
 
 
-def test_kalman_against_least_squares():
-    """Without rejections the smoother is the least-squares solution of the same model."""
-    rng = np.random.default_rng(4)
-    t = np.arange(12.0)
-    xy = np.column_stack((t, 0.5 * t)) + rng.normal(size=(12, 2)) * 0.5
-    got = trajectory.kalman(t, xy, np.full(12, 0.25))
-    q, rows, rhs = 0.5, [], []
-    for i in range(12):
-        r = np.zeros((2, 24)); r[0, 2 * i], r[1, 2 * i + 1] = 1, 1
-        rows.append(r[:1] / 0.5); rhs.append([xy[i, 0] / 0.5])
-    first = np.zeros((2, 24)); first[0, 0], first[1, 1] = 0.0, 1 / 3.0
-    rows.append(first); rhs.append([0.0, 0.0])
-    root = np.linalg.cholesky(np.linalg.inv(q * np.array([[1 / 3, 1 / 2], [1 / 2, 1]]))).T
-    for i in range(11):
-        r = np.zeros((2, 24)); r[:, 2 * i : 2 * i + 2], r[:, 2 * i + 2 : 2 * i + 4] = -np.array([[1, 1], [0, 1]]), np.eye(2)
-        rows.append(root @ r); rhs.append([0.0, 0.0])
-    best = np.linalg.lstsq(np.vstack(rows), np.concatenate(rhs), rcond=None)[0][::2]
-    assert np.allclose(got[:, 0], best, atol=1e-6)
-
-
-def test_kalman_rejects_a_jump():
-    t = np.arange(30.0)
-    xy = np.column_stack((t, np.zeros(30)))
-    xy[15] += 50
-    assert np.flatnonzero(np.isnan(trajectory.kalman(t, xy, np.full(30, 4.0))[:, 0])).tolist() == [15]
-
-
-def test_simplify_and_stops():
-    xy = np.array([[0, 0], [1, 0.01], [2, 0], [2, 5], [2, 10]], float)
-    assert trajectory.simplify(xy, 0.1).tolist() == [True, False, True, False, True]
-    assert trajectory.stops(np.arange(6.0), np.array([[0, 0], [0, 1], [0, 0], [50, 0], [90, 0], [91, 0]], float), 5, 2).tolist() == [0, 0, 0, -1, -1, -1]
-
-
 def test_geo(spark):
     df = spark.createDataFrame([(0.5, 0.5, 1), (2.0, 0.5, 0), (0.5, -0.1, 0)], "lat double, lon double, want int")
     ring = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0)]
     assert all(r.got == bool(r.want) for r in df.withColumn("got", geo.in_polygon(F.col("lat"), F.col("lon"), ring)).collect())
     d = spark.range(1).select(geo.segment_distance(*(F.lit(v) for v in (0.001, 0.5, 0.0, 0.0, 0.0, 1.0))).alias("d"), geo.bearing(*(F.lit(v) for v in (0.0, 0.0, 0.0, 1.0))).alias("b"), geo.turn_label(F.lit(100.0)).alias("l")).first()
     assert d.d == pytest.approx(111.32, rel=1e-6) and d.b == pytest.approx(90) and d.l == "turn"
-    assert geo.tile(F.lit(0.0), F.lit(0.0), 1) is not None
+    t = spark.range(1).select(geo.tile_pixel(F.lit(0.0), F.lit(0.0), 1).alias("t"), geo.tile(F.lit(85.0), F.lit(-179.0), 3)[0].alias("x"), geo.tile(F.lit(85.0), F.lit(-179.0), 3)[1].alias("y")).first()
+    assert tuple(t.t) == (1, 1, 0, 0) and (t.x, t.y) == (0, 0)
+    r = spark.range(1).select(geo.angle_between(F.lit(350.0), F.lit(20.0)).alias("a"), geo.angle_between(F.lit(10.0), F.lit(190.0)).alias("b")).first()
+    assert (r.a, r.b) == (30.0, 180.0)
 
 
 def test_statistics(spark):
