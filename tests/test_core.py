@@ -1,7 +1,6 @@
 """The library outside the corpus operators: every query against its oracle SQL, kernels against plain versions."""
 
 import math
-import zlib
 
 import numpy as np
 import pytest
@@ -12,7 +11,6 @@ import oracle
 from dermotrace import registry
 from dermotrace.functions import geo, stats
 from dermotrace.operators import islands, joins, signal, statistics, windows
-from dermotrace.sources import track_csv
 from dermotrace.streaming import live
 from pyspark.sql import functions as F
 
@@ -115,21 +113,6 @@ def test_statistics(spark):
     assert sorted((r.p, round(r.q, 6)) for r in statistics.benjamini_hochberg(p, "p", "f").where("p is not null").collect()) == [(0.01, 0.03), (0.03, 0.04), (0.04, 0.04), (0.5, 0.5)]
 
 
-def test_track_files(spark, tmp_path):
-    body = "# RecordingStartTime: 2024-01-01\n# Note: a\ntimestamp,lat,lon,hdop,gsr_raw\n10.0,51.5,-0.1,99.9,5000\n10.1,,,1.0,0.0\n10.2,51.6,-0.1,1.5,7000\n"
-    (tmp_path / "a.csv").write_text(track_csv.with_trailer(body))
-    (tmp_path / "b.csv").write_bytes(b"\xef\xbb\xbftime,gsr_raw,lon,lat\r\n2024-01-01T00:00:00Z,3.5,,\r\n2024-01-01T00:00:02Z,4.5,1,2\r\n")
-    (tmp_path / "c.csv").write_text(track_csv.with_trailer(body).replace("51.6", "51.7"))
-    (tmp_path / "d.csv").write_text(track_csv.with_trailer(body).replace("10.1,,,1.0,0.0\n", ""))
-    rows = track_csv.tracks(spark, str(tmp_path)).collect()
-    of = lambda n: sorted(((r.t, r.lat, r.lon, r.hdop, r.gsr) for r in rows if r.file.endswith(n)), key=lambda r: r[0])
-    assert of("a.csv") == [(0.0, 51.5, -0.1, None, 5.0), (0.2, 51.6, -0.1, 1.5, 7.0)]
-    assert of("b.csv") == [(0.0, None, None, None, 3.5), (2.0, 2.0, 1.0, None, 4.5)]
-    status = {r.file[-5:]: r.status for r in track_csv.integrity(spark, str(tmp_path)).collect()}
-    assert status == {"a.csv": "verified", "b.csv": "none", "c.csv": "corrupt", "d.csv": "incomplete"}
-    assert {r.key: r.value for r in track_csv.metadata(spark, str(tmp_path / "a.csv")).collect()} == {"RecordingStartTime": "2024-01-01", "Note": "a"}
-
-
 def packet(ms):
     return live.pack(ms=ms, lat=51.5, lon=-0.1, gsr=5.0, hdop=1.0, pdop=1.0, speed=0.0, course=0.0, sats=9, fix=3, valid=1, hacc=2.0)
 
@@ -158,11 +141,6 @@ def test_stream_equals_batch(spark, tmp_path):
     assert [r.n for r in live.sessions(timed).collect()] == [20]
 
 
-def test_crc():
-    text = track_csv.with_trailer("a\n1")
-    assert f"{zlib.crc32(b'a' + chr(10).encode() + b'1' + chr(10).encode()):08x}" in text
-
-
 def test_map_matching_follows_the_street(spark):
     """A noisy walk along a street, round a corner: never on the parallel street, and in order."""
     from dermotrace.operators import spatial
