@@ -36,8 +36,9 @@ GRAM = 32
 #: Bytes hashed at once, so that work arrays stay in the cache.
 CHUNK = 1 << 17
 _SMALL = 1024
+_PART = 10_000
 #: Strings sorted at once where contexts of a gram differ, about.
-_STRINGS = 100_000
+_STRINGS = 50_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _BYTES = np.random.default_rng(20).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -123,14 +124,17 @@ def multikey_quicksort(words: np.ndarray, ties: list[np.ndarray]) -> np.ndarray:
 
 def _words(keys: pa.Array, least: int) -> np.ndarray:
     """Keys padded with zero bytes, as rows of big-endian words."""
-    rows = keys.to_pylist()
-    width = -(-max([least, *map(len, rows)]) // 8) * 8
-    return np.frombuffer(b"".join(k.ljust(width, b"\0") for k in rows), ">u8").reshape(len(rows), width // 8).astype(np.uint64)
+    width = -(-max(least, pc.max(pc.binary_length(keys)).as_py() or 0) // 8) * 8
+    out = np.empty((len(keys), width // 8), np.uint64)
+    for at in range(0, len(keys), _PART):  # a part of the padded copies at a time
+        part = keys.slice(at, _PART).to_pylist()
+        out[at : at + _PART] = np.frombuffer(b"".join(k.ljust(width, b"\0") for k in part), ">u8").reshape(len(part), width // 8)
+    return out
 
 
 def _hashed(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 2 << 20):
+        for part in slices(batches, "text", 1 << 20):
             rid = part.column("rid").to_numpy()
             docs = [x or b"" for x in part.column("text").to_pylist()]
             for i, h, *_ in spans(docs, length):
@@ -159,7 +163,7 @@ def _joined(run, rows: int):
 
 def _contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 2 << 20):
+        for part in slices(batches, "text", 1 << 20):
             rid, order = part.column("rid").to_numpy(), part.column("ord").to_numpy()
             docs, wanted = part.column("text").to_pylist(), part.column("hashes")
             for i, h, at, lo, hi in spans(docs, length):
@@ -218,7 +222,7 @@ def _sort_contexts(length: int):
             yield stretches(at, which, start)
         alike = ~repeat & edge
         alike[[0, -1]] = True
-        for at in np.array_split(np.flatnonzero(alike), max(1, int(alike.sum()) // 2000)):
+        for at in np.array_split(np.flatnonzero(alike), max(1, int(alike.sum()) // 1000)):
             texts = [text(k) for k in at.tolist()]
             which, start = _repeats(texts, [order[at], rid[at], lo[at]], length)
             yield stretches(at, which, start)
@@ -273,7 +277,7 @@ def _rows(documents: DataFrame) -> DataFrame:
 def repeated_runs(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """(rid, runs): for the rows of ``documents`` (rid, doc_id, text) that repeat something, all repeated stretches (start, end) in bytes."""
     spark, rows = documents.sparkSession, _rows(documents)
-    folder, n = scratch(spark, "suffixes"), 2 * partitions(spark)  # a bucket is held in memory
+    folder, n = scratch(spark, "suffixes"), 3 * partitions(spark)  # a bucket is held in memory
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
