@@ -1,42 +1,45 @@
 """Operator 5: a quality classifier by co-training.
 
 Two views: the text's bytes (shares of kinds of characters, repetition, hashed byte pairs) and the page's metadata
-(length, language, source). Each has a logistic classifier. In every round each classifier labels the pool, and the
-documents it is most sure of join the training set of the other. Each view is then calibrated on a held-out fold of
-labelled rows, and all documents are scored by the sum of the calibrated log odds, weighted by each view's gain there.
-
-Fitting takes about ``labelled`` labelled and ``pool`` unlabelled rows, chosen by a hash of the identifier, in one task;
-scoring reads every whole text.
-
-Nulls: a null text is empty; null metadata is a category of its own; a null doc_id or label teaches nothing. A document
-with several labels has the lowest. With only one class, or no labels, every score is that class's share (0.5 if none).
-Repeated rows are scored each. An empty table gives no rows.
+(length, language, source). Each has a logistic classifier. In every round each classifier labels all documents that
+teach nothing yet, and those that it is most sure of and hasn't passed on before join the training set of the other. Each
+view is then calibrated on a held-out fold of labelled rows, and all documents are scored by the sum of the calibrated
+log odds, weighted by each view's gain there.
+
+The classifiers are fitted on about ``labelled`` labelled rows, chosen by a hash of the identifier, and on ``passed``
+rows a round from each view; these are bounded, and only their features reach the driver. Every round reads every whole
+text: each task keeps its surest rows, one for each content, and a ranking over those gives the surest of all.
+
+Nulls: a null text is empty; null metadata is a category of its own; a null doc_id or label teaches nothing, but such a
+row may be passed on. A document with several labels has the lowest. With only one class, or no labels, every score is
+that class's share (0.5 if none). Repeated rows are scored each and passed on once. Very long texts are read whole. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import json
+import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, slices
 
 LABELLED = 6000
-POOL = 10000
 ROUNDS = 4
-#: Share of the pool that a classifier passes on in a round, split as the classes are, and how sure it must be.
-SHARE = 0.1
-SURE = 0.9
+#: Rows that a classifier passes on in a round, split as the classes are, how sure it must be, and what they weigh.
+PASSED = 1000
+SURE, WEIGHT = 0.9, 0.3
 #: Under this combined score a document is called poor.
 THRESHOLD = 0.5
 PAIRS = 256
 SOURCES = 64
+#: Grams of a text that are counted together.
+STRETCH = 1 << 17
 
 _KIND = np.zeros(256, np.uint8)  # 0 lower case and bytes from 0x80 on, 1 upper case, 2 digit, 3 space, 4 line end, 5 end of a sentence, 6 other marks
 _KIND[65:91], _KIND[48:58], _KIND[[9, 32]], _KIND[[10, 13]] = 1, 2, 3, 4
@@ -54,14 +57,18 @@ def text_view(text: str | None) -> np.ndarray:
     words = max(1, int(np.count_nonzero(b == 32)))
     out[7] = min(4, b.size / words / 8)
     out[8] = np.log1p(np.bincount(b, minlength=256).max() / b.size * 10)
-    if b.size >= 8:  # repetition: how many of the 8-byte grams are told apart by a hash of fitting size
-        x = b.astype(np.uint64)
-        g = x[:-1] * np.uint64(0x9E3779B1) + x[1:]
-        g = g[:-2] * np.uint64(0x85EBCA6B) + g[2:]
-        g = (g[:-4] * np.uint64(0xC2B2AE35) + g[4:]) * np.uint64(0x9E3779B97F4A7C15)
-        bits = min(20, max(8, int(g.size).bit_length() + 1))
-        n = np.bincount((g >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        out[9], out[10] = np.count_nonzero(n) / g.size * 2, np.log1p(n.max() / g.size * 100)
+    if b.size >= 8:  # repetition in stretches: how many of the 8-byte grams are told apart by a hash of fitting size
+        different = total = 0
+        most = 0.0
+        for at in range(0, b.size - 7, STRETCH):
+            x = b[at : at + STRETCH + 7].astype(np.uint64)
+            g = x[:-1] * np.uint64(0x9E3779B1) + x[1:]
+            g = g[:-2] * np.uint64(0x85EBCA6B) + g[2:]
+            g = (g[:-4] * np.uint64(0xC2B2AE35) + g[4:]) * np.uint64(0x9E3779B97F4A7C15)
+            bits = max(8, int(g.size).bit_length() + 1)
+            n = np.bincount((g >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+            different, total, most = different + np.count_nonzero(n), total + g.size, max(most, n.max() / g.size)
+        out[9], out[10] = different / total * 2, np.log1p(most * 100)
     lines = max(1, int(np.count_nonzero(b == 10)))
     out[11] = min(4, np.log1p(b.size / lines) / 4)
     pairs = (b[:-1].astype(np.uint32) * np.uint32(0x9E3779B1) + b[1:].astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(24)
@@ -97,44 +104,85 @@ def odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1] + w[-1], -30, 30)
 
 
-def cotrain(views: list[np.ndarray], y: np.ndarray, folds: np.ndarray, rounds: int = ROUNDS) -> dict:
-    """``y``: 0, 1, or -1 for the pool. ``folds``: 0 is held out for calibration."""
-    known = y >= 0
-    train, held = known & (folds != 0), known & (folds == 0)
-    if len(set(y[train])) < 2:
-        return {"constant": float(y[known].mean()) if known.any() else 0.5}
-    labels, rate = [np.where(train, y, -1) for _ in views], y[train].mean()
-    pool = np.flatnonzero(~known)
-    models = []
-    for at in range(rounds + 1):
-        models = []
-        for x, own in zip(views, labels, strict=True):
-            rows = own >= 0
-            models.append(logistic(x[rows], own[rows], np.where(known[rows], 1.0, 0.3)))
-        if at == rounds or not pool.size:
-            break
-        for i, x in enumerate(views):
-            p, other = 1 / (1 + np.exp(-odds(x[pool], models[i]))), labels[1 - i]
-            for value, sure, share in ((1, p, rate), (0, 1 - p, 1 - rate)):
-                best = np.argsort(-sure, kind="stable")[: max(1, int(SHARE * share * pool.size))]
-                best = pool[best[sure[best] >= SURE]]
-                other[best[other[best] < 0]] = value
-    out = {"models": [w.tolist() for w in models], "calibration": [], "gain": []}
-    base = np.clip(y[held].mean() if held.any() else rate, 1e-3, 1 - 1e-3)
-    for x, w in zip(views, models, strict=True):
-        if len(set(y[held])) < 2:
-            out["calibration"].append([1.0, 0.0])
-            out["gain"].append(1.0)
-            continue
-        a, b = logistic(odds(x[held], w)[:, None].astype(np.float32), y[held], np.ones(int(held.sum())), ridge=0.01).tolist()
-        p = np.clip(1 / (1 + np.exp(-np.clip(a * odds(x[held], w) + b, -30, 30))), 1e-6, 1 - 1e-6)
-        loss = lambda q: -np.mean(np.where(y[held] == 1, np.log(q), np.log(1 - q)))  # noqa: E731, B023
-        out["calibration"].append([a, b])
-        out["gain"].append(float(max(0.0, loss(np.full(p.size, base)) - loss(p))))
-    out["prior"] = float(np.log(base / (1 - base)))
+def surest(views: list[np.ndarray], models: list[np.ndarray], most: tuple[int, int], passed: list[set[bytes]]) -> list[tuple[int, int, float, bytes, int]]:
+    """(view, value, how sure, content, row): for each view and value up to ``most[value]`` contents that it hasn't passed on, the surest first."""
+    out = []
+    for i, x in enumerate(views):
+        p = 1 / (1 + np.exp(-odds(x, models[i]))) if len(x) else np.empty(0)
+        for value, sure in ((0, 1 - p), (1, p)):
+            rows = np.flatnonzero(sure >= SURE)
+            kept: dict[bytes, tuple] = {}
+            last = 0.0
+            for row in rows[np.argsort(-sure[rows], kind="stable")].tolist():
+                if len(kept) >= most[value] and sure[row] < last:  # rows as sure as the last one go on: contents break ties
+                    break
+                key = hashlib.blake2b(b"".join(v[row].tobytes() for v in views), digest_size=12).digest()
+                if key not in passed[i] and key not in kept:
+                    kept[key] = (i, value, float(sure[row]), key, row)
+                    last = sure[row]
+            out += sorted(kept.values(), key=lambda r: (-r[2], r[3]))[: most[value]]
     return out
 
 
+class Trainer:
+    """The bounded part of co-training: labelled rows, what each view was given by the other, and the models made of them."""
+
+    def __init__(self, views: list[np.ndarray], y: np.ndarray, folds: np.ndarray, passed: int = PASSED):
+        """``folds``: 0 is held out for calibration."""
+        self.views, self.y, self.train, self.held = views, y, folds != 0, folds == 0
+        self.given: list[list[tuple[np.ndarray, int]]] = [[] for _ in views]
+        self.passed: list[set[bytes]] = [set() for _ in views]
+        self.able = len(set(y[self.train].tolist())) == 2
+        self.rate = float(y[self.train].mean()) if self.able else 0.5
+        self.most = (max(1, int(passed * (1 - self.rate))), max(1, int(passed * self.rate)))
+
+    def models(self) -> list[np.ndarray]:
+        out = []
+        for x, given in zip(self.views, self.given, strict=True):
+            more = np.array([g[0] for g in given]) if given else x[:0]
+            y = np.concatenate((self.y[self.train], np.array([g[1] for g in given], np.int64)))
+            weight = np.concatenate((np.ones(int(self.train.sum())), np.full(len(given), WEIGHT)))
+            out.append(logistic(np.concatenate((x[self.train], more)), y, weight))
+        return out
+
+    def take(self, rows: list[tuple[int, int, bytes, list[np.ndarray]]]) -> None:
+        """(view, value, content, features of both views): each goes to the other view."""
+        for view, value, key, x in rows:
+            self.given[1 - view].append((x[1 - view], value))
+            self.passed[view].add(key)
+
+    def finished(self) -> dict:
+        """Models, calibrations on the held-out fold, and the gains there."""
+        if not self.able:
+            return {"constant": float(self.y.mean()) if self.y.size else 0.5}
+        models, y = self.models(), self.y[self.held]
+        out = {"models": [w.tolist() for w in models], "calibration": [], "gain": []}
+        base = np.clip(y.mean() if y.size else self.rate, 1e-3, 1 - 1e-3)
+        for x, w in zip(self.views, models, strict=True):
+            if len(set(y.tolist())) < 2:
+                out["calibration"].append([1.0, 0.0])
+                out["gain"].append(1.0)
+                continue
+            z = odds(x[self.held], w)
+            a, b = logistic(z[:, None].astype(np.float32), y, np.ones(y.size), ridge=0.01).tolist()
+            p = np.clip(1 / (1 + np.exp(-np.clip(a * z + b, -30, 30))), 1e-6, 1 - 1e-6)
+            loss = lambda q: -np.mean(np.where(y == 1, np.log(q), np.log(1 - q)))
+            out["calibration"].append([a, b])
+            out["gain"].append(float(max(0.0, loss(np.full(p.size, base)) - loss(p))))
+        out["prior"] = float(np.log(base / (1 - base)))
+        return out
+
+
+def cotrain(views: list[np.ndarray], y: np.ndarray, folds: np.ndarray, rounds: int = ROUNDS, passed: int = PASSED) -> dict:
+    """Co-training of arrays: ``y`` is 0, 1, or -1 for rows without a label."""
+    known = y >= 0
+    trainer, pool = Trainer([v[known] for v in views], y[known], folds[known], passed), [v[~known] for v in views]
+    for _ in range(rounds if trainer.able and len(pool[0]) else 0):
+        found = surest(pool, trainer.models(), trainer.most, trainer.passed)
+        trainer.take([(i, value, key, [v[row] for v in pool]) for i, value, _, key, row in found])
+    return trainer.finished()
+
+
 def score(text_x: np.ndarray, meta_x: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(by text, by metadata, combined) for rows of features."""
     if "constant" in model:
@@ -157,25 +205,51 @@ def _rows_of_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), *(pa.array(v, pa.binary()) for v in views)], ["doc_id", "label", "text_x", "meta_x"])
 
 
-def _fit(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("doc_id", kind="stable")
-    views = [np.stack([np.frombuffer(x, "<f4") for x in rows[c]]) for c in ("text_x", "meta_x")]
-    y = rows["label"].fillna(-1).to_numpy(np.int64)
-    folds = np.array([zlib.crc32(str(i).encode()) % 5 for i in rows["doc_id"]])
-    return pd.DataFrame({"model": [json.dumps(cotrain(views, y, folds))]})
+def _surest_of_task(shared):
+    """Of all rows of a task the surest: a list that is merged batch by batch, so that it stays short."""
 
-
-def fit(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> dict:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, most, passed, taught = shared.value
+        best: dict[tuple[int, int], dict[bytes, tuple]] = {(i, v): {} for i in (0, 1) for v in (0, 1)}
+        for part in slices(batches, "text"):
+            new = np.array([d is None or d not in taught for d in part.column("doc_id").to_pylist()])
+            views = [x[new] for x in _features(part)]
+            for i, value, sure, key, row in surest(views, models, most, passed):
+                best[i, value].setdefault(key, (sure, [v[row].astype("<f4").tobytes() for v in views]))
+            for (_, value), rows in best.items():
+                if len(rows) > 2 * most[value]:
+                    kept = sorted(rows.items(), key=lambda r: (-r[1][0], r[0]))[: most[value]]
+                    rows.clear()
+                    rows.update(kept)
+        out = [(i, value, sure, key, *x) for (i, value), rows in best.items() for key, (sure, x) in sorted(rows.items(), key=lambda r: (-r[1][0], r[0]))[: most[value]]]
+        cols = list(zip(*out, strict=True)) if out else [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["view", "value", "sure", "content", "text_x", "meta_x"])
+
+    return run
+
+
+def fit(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, passed: int = PASSED) -> dict:
     """``documents`` has doc_id, text, lang, source, n_chars; ``labels`` doc_id and label (0 or 1)."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "n_chars").where("doc_id is not null")
+    sc = documents.sparkSession.sparkContext
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "n_chars")
     known = labels.where("doc_id is not null and label in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("label").cast("int").alias("label"))
     part = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
-    n_known, n_docs = max(1, known.count()), max(1, docs.count())
-    chosen = docs.where(part < max(labelled / n_known, pool / n_docs))  # of labelled rows more, to be joined with their labels
-    rows = chosen.join(known.where(part < labelled / n_known), "doc_id", "left").where((part < pool / n_docs) | F.col("label").isNotNull())
-    made = rows.mapInArrow(_rows_of_features, "doc_id long, label int, text_x binary, meta_x binary")
-    models = made.groupBy(F.lit("all").alias("fit")).applyInPandas(_fit, "model string").collect()
-    return json.loads(models[0].model) if models else {"constant": 0.5}
+    share = labelled / max(1, known.count())
+    chosen = docs.where(F.col("doc_id").isNotNull() & (part < share)).join(F.broadcast(known.where(part < share)), "doc_id")  # about ``labelled`` rows
+    rows = chosen.mapInArrow(_rows_of_features, "doc_id long, label int, text_x binary, meta_x binary").toPandas()
+    rows = rows.sort_values(["doc_id", "text_x", "meta_x"], kind="stable").drop_duplicates()
+    views = [np.frombuffer(b"".join(rows[c]), "<f4").reshape(len(rows), width) for c, width in (("text_x", PAIRS + 14), ("meta_x", 32 + SOURCES))]
+    folds = np.array([zlib.crc32(str(i).encode()) % 5 for i in rows["doc_id"]], np.int64)
+    trainer = Trainer(views, rows["label"].to_numpy(np.int64), folds, passed)
+    taught = frozenset(rows["doc_id"].tolist())
+    order = Window.partitionBy("view", "value").orderBy(F.desc("sure"), "content")
+    for _ in range(rounds if trainer.able else 0):
+        shared = sc.broadcast((trainer.models(), trainer.most, trainer.passed, taught))
+        found = docs.mapInArrow(_surest_of_task(shared), "view int, value int, sure double, content binary, text_x binary, meta_x binary")
+        once = found.dropDuplicates(["view", "value", "content"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.when(F.col("value") == 1, trainer.most[1]).otherwise(trainer.most[0]))
+        got = once.where(F.col("rank") <= max(trainer.most)).orderBy("view", "value", "rank").collect()  # ``passed`` rows of each view
+        trainer.take([(r.view, r.value, bytes(r.content), [np.frombuffer(r.text_x, "<f4"), np.frombuffer(r.meta_x, "<f4")]) for r in got])
+    return trainer.finished()
 
 
 def score_documents(documents: DataFrame, model: dict) -> DataFrame:
