@@ -2,14 +2,15 @@
 
 A text's letters give hashed 1-, 2- and 3-gram counts; log counts times inverse document frequency, scaled to length one.
 Document frequencies cover every training document. Each language has a few centroids: spherical k-means over a sample
-of its training documents of about ``per_language`` rows, one Spark group a language. A text gets the language of the
+of its training documents of about ``per_language`` rows that have letters, one Spark group a language; the model is some
+centroids a language, so its size follows the number of languages, not that of documents. A text gets the language of the
 nearest centroid by cosine; it is rejected under the floor of its size (``und`` if there is no letter at all, or nothing
 to learn from). Floors come from texts that no centroid learned, whole and cut short: halfway between the cosines that
 almost all of them reach with their own language and those that they reach with the best other language, as if their
 own had been left out. Where the two overlap, as in short texts, the lower own cosine is the floor.
 
 Nulls: a null text is ``und`` with score 0; rows with a null lang or a null doc_id teach nothing and are predicted.
-Repeated rows are predicted each. An empty table gives no rows. Texts are read whole, a million characters at a time.
+Repeated rows are predicted each; columns named lang_pred, score or rejected are replaced. An empty table gives no rows. Texts are read whole, a million characters at a time.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .common import read_table, slices
 BITS = 12
 CENTROIDS = 4
 PER_LANGUAGE = 1500
+#: Up to so many languages their sizes are broadcast.
+BROADCAST_LANGUAGES = 10_000
 #: Every so manieth text of the sample measures floors and teaches no centroid; lengths to which it is also cut; share of own texts under a floor.
 MEASURED, CUTS, TAIL = 4, (30, 100, 300, 1000), 0.01
 UNKNOWN = "und"
@@ -114,7 +117,10 @@ def _cluster(shared, bits: int, k: int):
             dense = np.zeros(1 << bits, np.int64)
             dense[at] = n
             x[i] = vector(dense, shared.value)
-        c, cos = spherical_kmeans(x, k)
+        x = x[x.any(axis=1)]  # texts without letters are near nothing and would be centroids of their own
+        if not len(x):
+            return pd.DataFrame({"lang": [], "centroid": []})
+        c, _ = spherical_kmeans(x, k)
         return pd.DataFrame({"lang": rows["lang"].iloc[0], "centroid": [v.astype("<f4").tobytes() for v in c]})
 
     return run
@@ -171,7 +177,8 @@ def fit(training: DataFrame, per_language: int = PER_LANGUAGE, k: int = CENTROID
     sizes = rows.groupBy("lang").count()
     place = F.pmod(F.xxhash64("doc_id", F.lit("centroids")), F.lit(1 << 20))
     share = place < F.lit(per_language * (1 << 20)) / F.col("count")
-    chosen = rows.join(F.broadcast(sizes), "lang").where(share)  # one row for each language
+    few = sizes.count() <= BROADCAST_LANGUAGES  # a row for each language
+    chosen = rows.join(F.broadcast(sizes) if few else sizes, "lang").where(share)
     apart = F.pmod(F.xxhash64("doc_id", F.lit("floors")), F.lit(MEASURED)) == 0
     groups = chosen.where(~apart).select("lang", "text").mapInArrow(_sampled(bits), "lang string, at array<int>, n array<int>").groupBy("lang")
     made = groups.applyInPandas(_cluster(spark.sparkContext.broadcast(idf), bits, k), "lang string, centroid binary").collect()
