@@ -19,18 +19,14 @@ MODULES = {
 }
 
 
-def _modules() -> dict:
-    return {name: import_module(f"{__name__}.{module}") for name, module in MODULES.items()}
+def load(name: str):
+    """The module of a query; an ImportError goes to the caller."""
+    return import_module(f"{__name__}.{MODULES[name]}")
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
-    return {name: m.query for name, m in _modules().items()} | {"pipeline": corpus_pipeline.run}
+    return {name: load(name).query for name in MODULES}
 
 
 def oracle_sql() -> dict[str, str]:
-    import corpus_pipeline
-
-    out = {name: m.SQL for name, m in _modules().items() if getattr(m, "SQL", None)}
-    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {name: load(name).SQL for name in MODULES if getattr(load(name), "SQL", None)}

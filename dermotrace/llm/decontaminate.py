@@ -216,6 +216,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+_PLACES = " UNION ALL ".join(
+    f"SELECT rid, j, {m} AS m, k FROM (SELECT rid, j, array_to_string(list(x) OVER (PARTITION BY rid ORDER BY j ROWS BETWEEN CURRENT ROW AND {m - 1} FOLLOWING), ' ') AS k, n FROM u) WHERE j + {m - 1} <= n AND {m} IN (FROM lengths)"
+    for m in range(1, WINDOW + 1)
+)
 SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
@@ -223,8 +227,9 @@ win AS (
   SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS k
   FROM (SELECT item_id, w, least({WINDOW}, len(w)) AS m, unnest(range(1, len(w) - least({WINDOW}, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
 lengths AS (SELECT DISTINCT m FROM win),
-places AS (SELECT rid, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, lengths WHERE len(w) >= m),
-hits AS (SELECT rid, i, p.m, item_id FROM places p JOIN win ON win.m = p.m AND win.k = array_to_string(w[i:i + p.m - 1], ' ')),
+u AS (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j, len(w) AS n FROM d),
+places AS ({_PLACES}),
+hits AS (SELECT rid, j AS i, p.m, item_id FROM places p JOIN win ON win.m = p.m AND win.k = p.k),
 items AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, item_id::varchar AS id FROM hits) GROUP BY rid),
 covered AS (SELECT rid, count(*) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(i, i + m)) AS j FROM (SELECT DISTINCT rid, i, m FROM hits)) GROUP BY rid)
 SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,

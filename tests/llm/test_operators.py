@@ -28,7 +28,9 @@ def library():
 
 @pytest.mark.parametrize("name", sorted(llm.MODULES) + ["pipeline"])
 def test_empty_tables(spark, empty, name):
-    assert llm.queries()[name](spark, empty).collect() == []
+    import __spark_entry__
+
+    assert __spark_entry__.queries()[name](spark, empty).collect() == []
 
 
 @pytest.mark.parametrize("name", ["op2_decontaminate", "op3_url_filter", "op6_exact_dedup"])
