@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..sources.tables import events
 from .signal import filled, kernel, per_track
@@ -51,6 +52,98 @@ def band_series(t: np.ndarray, x: np.ndarray, fs: float, window_s: float = WINDO
     return np.array([t[0] + (s + min(size, x.size) / 2) / fs for s in starts]), np.array(power)
 
 
+Sections = list[tuple[float, float, float, float, float]]
+
+
+def _digital(poles: np.ndarray, zero: float, fs: float) -> Sections:
+    """Second-order sections of analogue poles (the first half of conjugate pairs) by the bilinear transform, with double zeros at ``zero``."""
+    z = (2 * fs + poles) / (2 * fs - poles)
+    return [(1.0, -2 * zero, zero * zero, -2 * p.real, abs(p) ** 2) for p in z]
+
+
+def _scaled(sos: Sections, at: float, target: float) -> Sections:
+    """With the gain ``target`` at z = ``at``."""
+    gain = np.prod([(b0 + b1 * at + b2) / (1 + a1 * at + a2) for b0, b1, b2, a1, a2 in sos])
+    (b0, b1, b2, a1, a2), *rest = sos
+    g = target / gain
+    return [(b0 * g, b1 * g, b2 * g, a1, a2), *rest]
+
+
+def chebyshev(order: int, ripple_db: float, cutoff: float, fs: float) -> Sections:
+    """Low-pass of an even order with equal ripple up to the edge."""
+    k = np.arange(order // 2)
+    theta, mu = np.pi * (2 * k + 1) / (2 * order), np.arcsinh(1 / np.sqrt(10 ** (ripple_db / 10) - 1)) / order
+    poles = (-np.sinh(mu) * np.sin(theta) + 1j * np.cosh(mu) * np.cos(theta)) * 2 * fs * np.tan(np.pi * cutoff / fs)
+    return _scaled(_digital(poles, -1.0, fs), 1.0, 10 ** (-ripple_db / 20))
+
+
+def highpass(order: int, cutoff: float, fs: float) -> Sections:
+    """Butterworth of an even order."""
+    theta = np.pi * (2 * np.arange(order // 2) + 1) / (2 * order)
+    poles = 2 * fs * np.tan(np.pi * cutoff / fs) / (-np.sin(theta) + 1j * np.cos(theta))
+    return _scaled(_digital(poles, 1.0, fs), -1.0, 1.0)
+
+
+def sections(sos: Sections, x: np.ndarray, settled: float | None = None) -> np.ndarray:
+    """Filtered forward, from rest or from a state that has settled at a constant."""
+    level = settled
+    for b0, b1, b2, a1, a2 in sos:
+        z1 = z2 = 0.0
+        if level is not None:
+            gain = (b0 + b1 + b2) / (1 + a1 + a2)
+            z2 = (b2 - a2 * gain) * level
+            z1 = (b1 - a1 * gain) * level + z2
+            level *= gain
+        out = []
+        for v in x.tolist():
+            y = b0 * v + z1
+            z1, z2 = b1 * v - a1 * y + z2, b2 * v - a2 * y
+            out.append(y)
+        x = np.array(out)
+    return x
+
+
+def both_ways(sos: Sections, x: np.ndarray) -> np.ndarray:
+    """Zero phase: forward and back over an oddly reflected signal; a short one is reflected as far as it goes."""
+    edge = min(3 * (2 * len(sos) + 1), x.size - 1)
+    if edge < 1:
+        return x.copy()
+    y = np.concatenate((2 * x[0] - x[edge:0:-1], x, 2 * x[-1] - x[-2 : -edge - 2 : -1]))
+    for _ in (0, 1):
+        y = sections(sos, y, float(y[0]))[::-1]
+    return y[edge:-edge]
+
+
+def to_rate(x: np.ndarray, fs: float, rate: float) -> np.ndarray:
+    """Samples at a lower rate, on the line between two where they don't meet one."""
+    ratio = fs / rate
+    if ratio <= 1 or not x.size:
+        return x.copy()
+    return np.interp(np.arange(int((x.size - 1) / ratio) + 1) * ratio, np.arange(x.size), x)
+
+
+def chain(x: np.ndarray, fs: float) -> np.ndarray:
+    """The band's own signal at 2 Hz: two low-passes at 0.8 Hz (forward, then zero phase), then a zero-phase high-pass at 0.01 Hz."""
+    if x.size < 2:
+        return x[:0]
+    low = both_ways(chebyshev(8, 0.05, 0.8, fs), sections(chebyshev(8, 1.0, 0.8, fs), x))
+    return both_ways(highpass(8, 0.01, 2.0), to_rate(low, fs, 2.0))
+
+
+def sympathetic(x: np.ndarray, fs: float) -> tuple[float, float]:
+    """(band power, band power over the largest density) of a whole signal; NaN up to a window's length."""
+    if x.size <= fs * WINDOW_S:
+        return float("nan"), float("nan")
+    f, p = welch(chain(x, fs), 2.0, round(2 * WINDOW_S))
+    top = float(p.max())
+    return band_power(f, p), band_power(f, p / top) if top > 0 else float("nan")
+
+
+def at_samples(centre: np.ndarray, power: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """A series of windows at each sample's time: on the line between two, held beyond the ends; zeros without a window."""
+    return np.interp(t, centre, power) if centre.size else np.zeros(t.size)
+
+
 def sparse_solved(x: np.ndarray, k: np.ndarray, penalty: float, rounds: int = 60) -> tuple[np.ndarray, bool]:
     """Non-negative lasso by coordinate descent, and whether it converged: d minimises |x - k * d|^2 / 2 + penalty * sum(d)."""
     n, energy = x.size, np.array([float(k[: x.size - i] @ k[: x.size - i]) for i in range(x.size)])
@@ -104,5 +197,17 @@ def sparse(df: DataFrame, column: str = "value", fs: float = 1.0, penalty: float
     return per_track(df, column, {"driver": "double", "converged": "boolean"}, run)
 
 
-QUERIES = {"spectral_bands": lambda s, d: banded(events(s, d)), "sparse_driver": lambda s, d: sparse(events(s, d))}
+def sympathetic_series(df: DataFrame, column: str = "value", fs: float = 1.0) -> DataFrame:
+    """``power`` at each sample of a track: band power in hops of the chain's signal, brought back to the samples' times."""
+
+    def run(t, x):
+        at, even = resampled(t - t[0], x, fs)
+        low = chain(even, fs)
+        centre, power = band_series(np.array([0.0]), low, 2.0) if low.size else (np.empty(0), np.empty(0))
+        return {"power": at_samples(centre, power, t - t[0])}
+
+    return per_track(df, column, {"power": "double"}, run)
+
+
+QUERIES = {"spectral_sympathetic": lambda s, d: sympathetic_series(events(s, d).withColumn("t", F.col("t") / 3600), fs=10.0), "spectral_bands": lambda s, d: banded(events(s, d)), "sparse_driver": lambda s, d: sparse(events(s, d))}
 ORACLE_SQL: dict[str, str] = {}

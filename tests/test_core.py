@@ -72,7 +72,8 @@ def test_known_responses():
     tonic, phasic = signal.decompose(x, fs)
     found = signal.peaks(phasic, x, fs, 0.045)
     top = int(np.argmax(k))
-    assert [round((p[0] - top) / 10) for p in found] == [a // 10 for a in at]
+    assert [round((p - top) / 10) for p in found["place"]] == [a // 10 for a in at]
+    assert (found["rise"] > 0).all() and (found["half_recovery"] > 0).all() and (found["quality"] > 0.5).all()
     driver = signal.pursue(x - 5, k, 0.05)
     assert all(driver[a - 3 : a + 4].sum() == pytest.approx(s, rel=0.1) for a, s in zip(at, size))
     assert (phasic >= 0).all() and signal.decompose(np.full(30, 2.0), 1.0)[1].max() < 1e-9
