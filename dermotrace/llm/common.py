@@ -63,7 +63,7 @@ def numbered(df: DataFrame, name: str = "rid") -> DataFrame:
 
 
 #: A key with more rows than this is hot, or with more than a share of all rows, so that there are few hot keys.
-HOT_ROWS, HOT_KEYS = 1000, 20_000
+HOT_ROWS, HOT_KEYS = 250, 20_000
 
 
 def spread_join(many: DataFrame, one: DataFrame, keys: list[str], by: list[str], rows: int) -> DataFrame:
