@@ -118,8 +118,12 @@ def _project(lat, lon, c) -> tuple[float, float, float]:
     return s, math.sqrt(size), math.hypot(ax + s * dx, ay + s * dy)
 
 
-def viterbi(rows: list[dict]) -> list[dict]:
-    """The likeliest candidate of each point (rows sorted by t, idx, rank; the graph is that of the track's candidates)."""
+def viterbi(rows: list[dict], lost_m: float = LOST_M) -> list[dict]:
+    """The likeliest candidate of each point (rows sorted by t, idx, rank; the graph is that of the track's candidates).
+
+    A step costs the difference between its route and the distance gone, ``lost_m`` at most and where there is no route;
+    so routes are searched up to the distance gone and ``lost_m`` more: a longer one can't cost less.
+    """
     node = lambda c, e: (round(c[f"{e}_lat"], 6), round(c[f"{e}_lon"], 6))
     graph, points = defaultdict(set), []
     for c in rows:
@@ -170,8 +174,8 @@ def viterbi(rows: list[dict]) -> list[dict]:
         for q in now:
             ways = []
             for k, p in enumerate(points[i - 1]):
-                r = route(p, q, gone + 200, cache)
-                ways.append(score[-1][k] - (abs(gone - r) if r < math.inf else LOST_M) / BETA_M - math.log(BETA_M))
+                r = route(p, q, gone + lost_m, cache)
+                ways.append(score[-1][k] - min(abs(gone - r), lost_m) / BETA_M - math.log(BETA_M))
             k = max(range(len(ways)), key=lambda k: ways[k])
             best.append(ways[k] + emit(q))
             come.append(k)

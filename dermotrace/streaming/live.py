@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A packet's layout (49 bytes, little-endian) and its mark.
@@ -57,6 +57,58 @@ def decode(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("device").applyInPandasWithState(update, SCHEMA, "rest binary", "append", "NoTimeout")
 
 
+def gaps(readings: DataFrame, most_s: float = 0.6) -> DataFrame:
+    """``readings`` (device, ms) with ``gap``: more than ``most_s`` after the packet before, or not after it; and ``gaps``, how many so far. Batch or stream.
+
+    On a stream a device's state is its last time and its count; packets count in the order in which they come.
+    """
+    if not readings.isStreaming:
+        w = Window.partitionBy("device").orderBy("seq")
+        dt = (F.col("ms") - F.lag("ms").over(w)) / 1000
+        flag = F.coalesce((dt <= 0) | (dt > most_s), F.lit(False))
+        return readings.withColumn("gap", flag).withColumn("gaps", F.sum(F.when(F.col("gap"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def update(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last, n = state.get if state.exists else (None, 0)
+        rows = pd.concat(list(parts)).sort_values("seq", kind="stable")
+        flags, counts = [], []
+        for ms in rows["ms"]:
+            flag = last is not None and not 0 < (ms - last) / 1000 <= most_s
+            last, n = int(ms), n + int(flag)
+            flags.append(flag)
+            counts.append(n)
+        state.update((last, n))
+        yield pd.DataFrame({"device": rows["device"], "seq": rows["seq"], "ms": rows["ms"], "gap": flags, "gaps": counts})
+
+    return readings.select("device", "seq", "ms").groupBy("device").applyInPandasWithState(update, "device string, seq long, ms long, gap boolean, gaps long", "last long, n long", "append", "NoTimeout")
+
+
+def latest_of_bands(samples: DataFrame) -> DataFrame:
+    """(device, band, level): the last level of each band, by time. Batch or stream (complete mode)."""
+    return samples.groupBy("device", "band").agg(F.max_by("level", "time").alias("level"))
+
+
+def settled(readings: DataFrame, seconds: int = 8) -> DataFrame:
+    """(device, start, n, mean) of one-second segments, each told once, when the stream has gone on by the settling time."""
+    return windowed(readings, "1 second", f"{seconds} seconds").select("device", "start", "n", "mean")
+
+
+def reanalysed(stream: DataFrame, analyse: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None], store: str, seconds: float = 300.0):
+    """A writer that keeps readings in ``store`` and analyses each device's last ``seconds`` anew with every batch.
+
+    Late rows are stored like any other and so change the next analysis. ``analyse`` and ``write`` are the caller's.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("append").parquet(store)
+        rows = batch.sparkSession.read.parquet(store)
+        last = rows.groupBy("device").agg(F.max("ms").alias("_last"))
+        recent = rows.join(last, "device").where(F.col("ms") > F.col("_last") - seconds * 1000).drop("_last")
+        write(analyse(recent), number)
+
+    return stream.writeStream.foreachBatch(each)
+
+
 def windowed(readings: DataFrame, width: str = "10 seconds", late: str = "30 seconds") -> DataFrame:
     """(device, start, n, mean, low, high) of tumbling event-time windows; rows later than the watermark are dropped by it."""
     w = F.window("time", width)

@@ -128,20 +128,6 @@ def test_packets():
         assert got == [1, 2, 3] and rest == b""
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    """Packets split over files come out of a stream as out of a batch."""
-    data = b"".join(packet(k) for k in range(20))
-    rows = [("a", i, data[at : at + 70]) for i, at in enumerate(range(0, len(data), 70))]
-    schema = "device string, seq long, data binary"
-    for i in range(0, len(rows), 5):
-        spark.createDataFrame(rows[i : i + 5], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    batch = live.decode(spark.read.schema(schema).parquet(str(tmp_path / "in")))
-    assert sorted(r.ms for r in batch.collect()) == list(range(20))
-    timed = batch.withColumn("time", F.timestamp_millis(F.col("ms") * 1000))
-    assert sorted((r.n, r.mean) for r in live.windowed(timed).collect()) == [(10, 5.0), (10, 5.0)]
-    assert [r.n for r in live.sessions(timed).collect()] == [20]
-
-
 def test_map_matching_follows_the_street(spark):
     """A noisy walk along a street, round a corner: never on the parallel street, and in order."""
     from dermotrace.operators import spatial
