@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, read_table, slices
+from .common import numbered, partitions, read_table, slices
 from .tokens import encoder, tokenizer_spec
 
 CAPACITY = 2048
@@ -137,8 +137,8 @@ def pack(documents: DataFrame, tokenizer: str | None = None, capacity: int = CAP
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(tokenizer_spec(tokenizer))
     groups = max(1, documents.count() // group)
-    rid = F.monotonically_increasing_id()
-    docs = documents.select(F.pmod(F.xxhash64(rid), F.lit(groups)).alias("bin_group"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = numbered(documents.select("doc_id", "text"))
+    docs = rows.select(F.pmod(F.xxhash64("rid"), F.lit(groups)).alias("bin_group"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     tokens = docs.mapInArrow(_tokenise(shared, end_id), "bin_group long, doc_id long, width int, ids binary")
     dealt = tokens.repartition(partitions(spark), "bin_group").sortWithinPartitions("bin_group", "doc_id")
     return dealt.mapInArrow(_pack(capacity), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
