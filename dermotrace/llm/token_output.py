@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, read_table, scratch, slices
+from .common import numbered, partitions, read_table, scratch, slices
 from .tokens import encoder, tokenizer_spec
 
 END_ID = 2
@@ -196,7 +196,7 @@ def write_shards(documents: DataFrame, folder: str, tokenizer: str | None = None
     """Writes the shards and the manifest under ``folder``; returns the manifest: (shard, path, bytes, first_id, last_id, n_docs, n_tokens, start)."""
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(tokenizer_spec(tokenizer))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("rid"))
+    docs = numbered(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     ordered = docs.repartitionByRange(shards or partitions(spark), F.col("doc_id").asc_nulls_first(), "rid").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "rid")
     made = ordered.select("doc_id", "text").mapInArrow(_writer(folder, shared, end_id), "path string, bytes long, first_id long, last_id long, n_docs long, n_tokens long")
     made.select(F.spark_partition_id().alias("shard"), "*").write.parquet(f"{folder}/manifest")
@@ -238,8 +238,19 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 def lookup(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, ids) of the wanted ``doc_id`` by binary search in the shards whose range holds them; a null finds nothing."""
     asked = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    first = F.coalesce("first_id", F.lit(-(1 << 63)))  # a shard may begin with null identifiers
-    pairs = asked.join(F.broadcast(manifest), F.col("doc_id").between(first, F.col("last_id")))  # a row for each shard
+    shards = manifest.orderBy("shard").select("first_id", "last_id", "path", "bytes").where("last_id is not null").collect()  # a row for each shard
+    bounds = manifest.sparkSession.sparkContext.broadcast(shards)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each identifier with the shards whose range holds it: bisected, as shards are in order; null identifiers lead the first."""
+        low = np.array([-(1 << 63) if s.first_id is None else s.first_id for s in bounds.value], np.int64)
+        high = np.array([s.last_id for s in bounds.value], np.int64)
+        for part in batches:
+            ids = part.column("doc_id").drop_null().to_numpy()
+            rows = [(i, bounds.value[k]) for i, a, b in zip(ids.tolist(), np.searchsorted(high, ids).tolist(), np.searchsorted(low, ids, "right").tolist(), strict=True) for k in range(a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([s.path for _, s in rows], pa.string()), pa.array([s.bytes for _, s in rows], pa.int64())], ["doc_id", "path", "bytes"])
+
+    pairs = asked.mapInArrow(placed, "doc_id long, path string, bytes long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
