@@ -147,7 +147,7 @@ def sample_intervals(series: DataFrame) -> DataFrame:
     return ranked.where("_k = floor(_m / 2)").select("track", (F.col("gap") / F.col("step")).alias("dt"))
 
 
-def responses(found: DataFrame, series: DataFrame, window_s: float = WINDOW_S, delay_s: float = 0.0) -> DataFrame:
+def responses(found: DataFrame, series: DataFrame, window_s: float = WINDOW_S, delay_s: float = 0.0, share: float = COVERED) -> DataFrame:
     """(track, key, decision, t, before_*, after_*, delta_*) of passages (track, key, decision, t, enter, exit).
 
     Windows reach ``window_s`` to either side of the entry, but no further than halfway to the next passage's. ``series``
@@ -172,7 +172,7 @@ def responses(found: DataFrame, series: DataFrame, window_s: float = WINDOW_S, d
     for side, length in (("before", F.col("enter") - F.col("t0")), ("after", F.col("t1") - F.col("enter"))):
         n = F.col(f"{side}_n")
         covered = F.when(F.col("dt") > 0, F.least(length, n * F.col("dt"))).otherwise(length)
-        good = good & (n >= LEAST_ROWS) & (length >= LEAST_S) & (covered >= COVERED * length) & ~F.coalesce(f"{side}_bad", F.lit(True))
+        good = good & (n >= LEAST_ROWS) & (length >= LEAST_S) & (covered >= share * length) & ~F.coalesce(f"{side}_bad", F.lit(True))
         made |= {f"{side}_peak_rate": F.try_divide(F.col(f"{side}_peaks") * 60.0, covered), f"{side}_mean_phasic": F.col(f"{side}_phasic"), f"{side}_mean_tonic": F.col(f"{side}_tonic")}
     out = out.where(good).select("track", "key", "decision", "t", "enter", "exit", *(v.alias(k) for k, v in made.items()))
     return out.select("*", *((F.col(f"after_{m}") - F.col(f"before_{m}")).alias(f"delta_{m}") for m in METRICS))
@@ -269,11 +269,11 @@ def paired_tests(records: DataFrame, value: str, seed: int = 1) -> DataFrame:
 
 
 def _records(spark, d):
-    """Passages at every eighth row with an hour as a second, for the registered queries."""
+    """Passages at about every sixteenth row with an hour as a second, for the registered queries."""
     p = positions(spark, d).withColumn("t", F.col("t") / 3600)
-    found = p.where("idx % 8 = 0").select("track", F.col("kind").alias("key"), F.when(F.col("idx") % 3 == 0, "turn").when(F.col("idx") % 3 == 1, "straight").otherwise("control").alias("decision"), "t", F.col("t").alias("enter"), F.col("t").alias("exit"))
+    found = p.where("idx % 16 = 0").select("track", F.col("kind").alias("key"), F.when(F.col("idx") % 3 == 0, "turn").when(F.col("idx") % 3 == 1, "straight").otherwise("control").alias("decision"), "t", F.col("t").alias("enter"), F.col("t").alias("exit"))
     series = p.select("track", "t", F.col("value").alias("phasic"), (F.col("value") / 2).alias("tonic"), (F.col("value") > 60).alias("is_peak"))
-    return responses(found, series, 60.0)
+    return responses(found, series, 240.0, share=0.3)
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -302,12 +302,12 @@ SELECT track, round(gap / step, 6) AS dt FROM k WHERE k = m // 2""",
 r AS (SELECT track, t, row_number() OVER (PARTITION BY track ORDER BY t) - 1 AS r, greatest(1, count(*) OVER (PARTITION BY track) // 200) AS step FROM q),
 gp AS (SELECT track, step, t - lag(t) OVER (PARTITION BY track ORDER BY r) AS gap FROM r WHERE r % step = 0), kk AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY gap) - 1 AS k, count(*) OVER (PARTITION BY track) AS m FROM gp WHERE gap IS NOT NULL),
 dt AS (SELECT track, gap / step AS dt FROM kk WHERE k = m // 2),
-f AS (SELECT track, kind AS key, t, CASE idx % 3 WHEN 0 THEN 'turn' WHEN 1 THEN 'straight' ELSE 'control' END AS decision, lag(t) OVER w AS a, lead(t) OVER w AS b FROM q WHERE idx % 8 = 0 WINDOW w AS (PARTITION BY track ORDER BY t, kind)),
-x AS (SELECT f.*, greatest(t - 60, coalesce((a + t) / 2, t - 60)) AS t0, least(t + 60, coalesce((t + b) / 2, t + 60)) AS t1, dt FROM f JOIN dt USING (track)),
+f AS (SELECT track, kind AS key, t, CASE idx % 3 WHEN 0 THEN 'turn' WHEN 1 THEN 'straight' ELSE 'control' END AS decision, lag(t) OVER w AS a, lead(t) OVER w AS b FROM q WHERE idx % 16 = 0 WINDOW w AS (PARTITION BY track ORDER BY t, kind)),
+x AS (SELECT f.*, greatest(t - 240, coalesce((a + t) / 2, t - 240)) AS t0, least(t + 240, coalesce((t + b) / 2, t + 240)) AS t1, dt FROM f JOIN dt USING (track)),
 y AS (SELECT x.track, x.key, x.t, x.decision, x.t - t0 AS lb, t1 - x.t AS la, dt, count(*) FILTER (q.t < x.t) AS nb, count(*) FILTER (q.t >= x.t) AS na, avg(q.value) FILTER (q.t < x.t) AS pb, avg(q.value) FILTER (q.t >= x.t) AS pa, count(*) FILTER (q.t < x.t AND q.value > 60) AS kb, count(*) FILTER (q.t >= x.t AND q.value > 60) AS ka
   FROM x JOIN q ON q.track = x.track AND q.t >= t0 AND q.t < t1 GROUP BY ALL),
 z AS (SELECT *, CASE WHEN dt > 0 THEN least(lb, nb * dt) ELSE lb END AS cb, CASE WHEN dt > 0 THEN least(la, na * dt) ELSE la END AS ca FROM y),
-o AS (SELECT *, kb * 60 / cb AS rb, ka * 60 / ca AS ra FROM z WHERE nb >= 5 AND na >= 5 AND lb >= 5 AND la >= 5 AND cb >= 0.8 * lb AND ca >= 0.8 * la)
+o AS (SELECT *, kb * 60 / cb AS rb, ka * 60 / ca AS ra FROM z WHERE nb >= 5 AND na >= 5 AND lb >= 5 AND la >= 5 AND cb >= 0.3 * lb AND ca >= 0.3 * la)
 SELECT track, key, decision, round(t, 6) AS t, round(t, 6) AS enter, round(t, 6) AS exit, round(rb, 6) AS before_peak_rate, round(pb, 6) AS before_mean_phasic, round(pb / 2, 6) AS before_mean_tonic, round(ra, 6) AS after_peak_rate, round(pa, 6) AS after_mean_phasic, round(pa / 2, 6) AS after_mean_tonic,
   round(ra - rb, 6) AS delta_peak_rate, round(pa - pb, 6) AS delta_mean_phasic, round(pa / 2 - pb / 2, 6) AS delta_mean_tonic FROM o""",
 }
