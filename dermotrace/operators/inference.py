@@ -1,13 +1,13 @@
 """Inference over recordings: serial correlation, effective sample sizes, partial and pooled correlations, classes of places.
 
 What is summed over rows is summed by Spark (group sums combine before the shuffle). Only the serial correlation of one
-walk needs its rows side by side: one Arrow group a walk with its samples in time order, whose lags stop as soon as they
-are noise. Everything after that is one row a walk.
+walk needs its rows side by side: walks come in order in Arrow batches, some whole ones at a time, and their lags stop as
+soon as they are noise. Everything after that is one row a walk.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,13 +16,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.stats import t_critical, t_p_value
+from ..functions.stats import t_critical
 from ..sources.tables import EVENTS_SQL, events
 from .statistics import benjamini_hochberg, t_p
 from .windows import rolling_percentile
 
 #: Rows that a walk needs; pairs that are left after covariates; walks for a verdict; seconds of a peak bin; rows of a class, and of a walk in it.
 LEAST_ROWS, LEAST_EFFECTIVE, SOLID, BIN_S, CLASS_ROWS, WALK_ROWS = 10, 4, 5, 15.0, 5, 5
+#: Rows of whole walks that are worked on at once, about.
+BATCH = 50_000
 #: Fixed value: a distance that means "nothing near".
 NOTHING_NEAR = 999.0
 
@@ -92,15 +94,43 @@ def _per_walk(df: DataFrame, keys: list[str], columns: list[str], out: list[str]
     """One row for each group of ``keys``: n and what the kernel makes from the columns in time order."""
     schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("n", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in out)])
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("t", "ascending"), ("idx", "ascending")])
-        made = kernel(*(table.column(c).to_numpy().astype(float) for c in columns))
-        return pa.table([*(table.column(k).slice(0, 1) for k in keys), pa.array([table.num_rows], pa.int64()), *(pa.array([v], pa.float64()) for v in made)], names=[*keys, "n", *out])
+    def done(table: pa.Table) -> pa.RecordBatch:
+        first = _starts(table, keys)
+        values = [table.column(c).to_numpy().astype(float) for c in columns]
+        ends = np.append(first[1:], table.num_rows)
+        made = [kernel(*(v[a:b] for v in values)) for a, b in zip(first, ends, strict=True)]
+        cols = [pa.array([m[i] for m in made], pa.float64()) for i in range(len(out))]
+        return pa.RecordBatch.from_arrays([*(table.column(k).take(pa.array(first)).combine_chunks() for k in keys), pa.array(ends - first, pa.int64()), *cols], names=[*keys, "n", *out])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in order of (keys, time): whole walks of some batches at once; the last one waits for its end."""
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= BATCH:
+                table = pa.Table.from_batches(held).combine_chunks()
+                if last := int(_starts(table, keys)[-1]):
+                    yield done(table.slice(0, last))
+                held, rows = table.slice(last).to_batches(), table.num_rows - last
+        if rows:
+            yield done(pa.Table.from_batches(held).combine_chunks())
 
     rows = df.select(*keys, "t", "idx", *columns)
     for c in columns:
         rows = rows.where(valid(F.col(c)))
-    return rows.groupBy(*keys).applyInArrow(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "t", "idx").mapInArrow(run, schema)
+
+
+def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where a new group begins in rows that are sorted by the keys."""
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        codes = table.column(k).combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
 
 
 def effective_sizes(df: DataFrame, x: str, keys: list[str] | None = None) -> DataFrame:

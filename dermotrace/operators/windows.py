@@ -6,7 +6,7 @@ of it is one sort by (track, time) and stays in the JVM; frames of one length sh
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..sources.tables import EVENTS_SQL, events

@@ -157,6 +157,10 @@ def test_indices(spark):
 
     r = spark.range(1).select(indices.fog([F.lit(-30.0).cast("double") * 1.0, F.lit(None).cast("double")]).alias("a"), indices.microsiemens(F.lit(1e6), "ohm").alias("b"), indices.band_level(F.lit(-65.0), -100.0).alias("c"), indices.speed_band(F.lit(1.2)).alias("d")).first()
     assert (r.a, r.b, r.c, r.d) == (3000.0, 1.0, 0.5, "walking")
+    x = np.random.default_rng(1).normal(size=(20, 3))
+    df = spark.createDataFrame([(1, float(i), i, *map(float, v)) for i, v in enumerate(x)], "track long, t double, idx long, a double, b double, c double")
+    got = [r.v for r in df.withColumn("v", indices.triple(F.col("a"), F.col("b"), F.col("c"))).orderBy("idx").collect()]
+    assert got == pytest.approx(list(((x - x.mean(axis=0)) / x.std(axis=0)) @ [0.1, 0.45, 0.45]))
 
 
 def test_spectral():
