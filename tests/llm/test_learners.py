@@ -9,7 +9,6 @@ import numpy as np
 import pytest
 
 from dermotrace.llm import cotraining, language_id
-from pyspark.sql import functions as F
 
 
 def test_text_view_of_repetition():

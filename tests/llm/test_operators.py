@@ -11,7 +11,7 @@ import xxhash
 
 import oracle
 from dermotrace import llm
-from dermotrace.llm import cotraining, decontaminate, exact_dedup, language_id, license_scan, packing, simhash, suffix_dedup, token_output, tokens
+from dermotrace.llm import cotraining, decontaminate, exact_dedup, license_scan, packing, simhash, suffix_dedup, token_output, tokens
 from dermotrace.llm import common, components
 
 
