@@ -16,6 +16,7 @@ MODULES = {
     "op8_license_scan": "license_scan",
     "op9_language_id": "language_id",
     "op10_packing": "packing",
+    "op13_line_dedup": "line_dedup",
 }
 
 
