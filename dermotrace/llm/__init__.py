@@ -16,6 +16,8 @@ MODULES = {
     "op8_license_scan": "license_scan",
     "op9_language_id": "language_id",
     "op10_packing": "packing",
+    "op11_prefix_trie": "prefix_trie",
+    "op12_turn_repair": "turn_repair",
     "op13_line_dedup": "line_dedup",
 }
 
