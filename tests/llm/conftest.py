@@ -32,6 +32,8 @@ def write(spark, folder, docs) -> str:
     spark.createDataFrame([(i if i else None, u, "<p>", "h", "r") for i, u in enumerate(urls)], "page_id long, url string, html string, host string, rule string").write.mode("overwrite").parquet(f"{folder}/pages.parquet")
     labels = [(d[0], int((d[0] or 0) % 4 != 0), 0) for d in docs[:90]] + [(None, 1, 0), (3, None, None), (3, 0, 1)] if docs else []
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+    talk = [(i % 9, i % 5, ("user", "assistant")[i % 2], (d[1] or "")[:40]) for i, d in enumerate(docs)]
+    spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.mode("overwrite").parquet(f"{folder}/conversations.parquet")
     return folder
 
 
