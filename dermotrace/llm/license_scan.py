@@ -1,19 +1,22 @@
 """Operator 8: license scans by patience alignment.
 
-A text and each license template are lower-cased words. A template's places in a text are best chains of its words in
-order, in which words between two matches cost a share of a match: for templates of ``STATEMENT`` words or more ``GAP``
-words at most, however many there are, so that foreign text of any length may lie within a license; in shorter ones,
-one-line statements, every word counts, as their words are found everywhere. Copies that follow one another are chains of
-their own. If no chain has enough words, the longest common subsequence of what is left decides. A place is aligned with
-the template: equal heads and tails first, then words that are unique in both, whose longest increasing subsequence
-fixes the alignment; the gaps between are aligned in turn, and those without a unique word by longest common
-subsequence. Coverage is the share of the template's words that are matched, by this alignment or by the longest common
-subsequence of the place if that is longer; 0.8 or more is a hit.
-
-A text that lacks all trigger words of all templates can't reach that coverage and isn't split into words.
-
-Nulls and empty texts have no license; very long texts are scanned whole. Repeated rows give a result row each. Of overlapping hits the one with most
-words wins, each counted with its template's coverage; of equal ones the first template in order of name. An empty table gives no rows.
+A text and each license template are lower-cased words. Word triples (pairs in one-line statements) that a template holds
+once say where in a text it may lie: chains of them in the order of the template, in which words put in or left out cost,
+are its places; they don't overlap, so copies that follow one another are places of their own. A place is then aligned
+with the template, and this alone decides: equal heads and tails first, then words that are unique in both, whose longest
+increasing subsequence fixes the alignment; the gaps between are aligned in turn, and those without a unique word by
+longest common subsequence. Coverage is the share of the template's words that are matched, density the share of the
+place's words that are; ``COVERAGE`` and ``DENSITY`` or more are a hit, so that foreign words may make up a quarter of a
+place, in one piece or in many; words that are strewn over a text, and clauses in another order, are no license.
+
+Templates are a parameter: ``TEMPLATES``, or any (name, text) that ``load_templates`` reads from a table or a folder of
+license files, whole texts of any length.
+
+A text that lacks all trigger words of all templates can't reach the coverage and isn't split into words.
+
+Nulls and empty texts have no license; very long texts are scanned whole. Repeated rows give a result row each. Of
+overlapping hits the one with most words wins, each counted with its template's coverage; of equal ones the first template
+in order of name. Templates without words are left out. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,8 +24,9 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +45,7 @@ _CC = (("CC-BY-4.0", "BY", "Attribution"), ("CC-BY-NC-4.0", "BY-NC", "Attributio
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("BSL-1.0", 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("BSD-2-Clause", f"{_BSD} {_BSD_END}"),
     ("BSD-3-Clause", f"{_BSD} {_BSD_NAMES} {_BSD_END}"),
     *((name, f"Licensed under CC {short} 4.0.") for name, short, _ in _CC),
@@ -54,12 +59,16 @@ TEMPLATES = (
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Unlicense", 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to http://unlicense.org/'),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
 )
-COVERAGE = 0.8
-#: Words between two matches cost no more than this many, in templates of so many words.
-GAP, STATEMENT = 8, 20
-#: Matches are worth so many words between them: first for copies that lie close together, then for loose ones.
-WORTH = (4, GAP + 1)
+COVERAGE, DENSITY = 0.8, 0.75
+#: Templates of so many words are licenses or notices, with triples as seeds; shorter ones are statements, with pairs.
+STATEMENT = 20
+#: A word put in or left out between two seeds costs so many seeds.
+SHIFT = 0.25
+#: Templates are broadcast with the tasks: no more characters than this in all.
+MOST_CHARACTERS = 8 << 20
 
 _WORD = re.compile(r"\w+")
 
@@ -115,118 +124,133 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def windows(text: list[str], template: list[str], need: int, worth: int) -> list[tuple[int, int, int]]:
-    """(start, end, words matched) of chains of ``need`` matches or more that don't overlap, with the largest sum of scores.
+class Template(NamedTuple):
+    name: str
+    words: list[str]
+    need: int
+    grams: int
+    seeds: int
 
-    A match scores ``worth``, a text word between matches costs 1 (a gap of a long template ``GAP`` at most); a chain
-    whose score is used up begins anew.
-    """
-    places: dict[str, list[int]] = {}
-    for j in range(len(template) - 1, -1, -1):
-        places.setdefault(template[j], []).append(j)
-    size = len(template) + 1
-    capped = len(template) >= STATEMENT
-
-    def table() -> list[list[int]]:
-        return [[-(1 << 60)] * size, [0] * size, [0] * size]
-
-    def put(of: list[list[int]], j: int, value: int, s: int, n: int) -> None:
-        top, start, words_ = of
-        if top[j + 1] < value:
-            k = bisect_left(top, value, j + 1)
-            top[j + 1 : k], start[j + 1 : k], words_[j + 1 : k] = [value] * (k - j - 1), [s] * (k - j - 1), [n] * (k - j - 1)
-
-    # the best chain before each template word (score, start, words): near ones with their last place added, and far ones
-    near, far = table(), table()
-    ends, found = [], []
-    for i, w in enumerate(text):
-        best = None
-        for j in places.get(w, ()):  # the last place first, so that a text word counts once
-            score, of = near[0][j] - i + 1, near
-            if capped and far[0][j] - GAP > score:
-                score, of = far[0][j] - GAP, far
-            score, s, n = (score + worth, of[1][j], of[2][j] + 1) if score > 0 else (worth, i, 1)
-            if n >= need and (best is None or score > best[0]):
-                best = (score, s, n)
-            put(near, j, score + i, s, n)
-            if capped:
-                put(far, j, score, s, n)
-        if best:
-            ends.append(i)
-            found.append(best)
-    total, take = [0], []
-    for k, (score, s, _) in enumerate(found):
-        before = total[bisect_left(ends, s, 0, k)]
-        take.append(before + score > total[-1])
-        total.append(max(total[-1], before + score))
-    out, k = [], len(found)
-    while k:
-        if take[k - 1]:
-            _, s, n = found[k - 1]
-            out.append((s, ends[k - 1] + 1, n))
-            k = bisect_left(ends, s, 0, k - 1)
-        else:
-            k -= 1
-    return out[::-1]
 
+class Ready(NamedTuple):
+    """Templates, and for each seed (words of two or three) its templates and places in them."""
 
-def matched(text: list[str], template: list[str]) -> list[tuple[int, int]]:
-    """The patience alignment, or the longest common subsequence where it has more words."""
-    pairs = align(text, template)
-    if len(pairs) < len(template):
-        pairs = max(pairs, _common(text, template, 0, len(text), 0, len(template)), key=len)
-    return pairs
+    templates: list[Template]
+    seeds: dict[tuple[str, ...], list[tuple[int, int]]]
 
 
-def copies(text: list[str], template: list[str], need: int) -> Iterator[tuple[int, int, int]]:
-    """(start, end, words matched) of all places of the template; what lies beside a place is searched again."""
-    held, stack = Counter(template), [(0, len(text))]
-    while stack:
-        a, b = stack.pop()
-        if b - a < need or sum(min(n, held[w]) for w, n in Counter(text[a:b]).items() if w in held) < need:
+def chains(hits: list[tuple[int, int]], size: int, least: int) -> list[list[tuple[int, int]]]:
+    """Best chains of ``least`` seeds or more (text word, template word), increasing in both, that don't overlap.
+
+    Between seeds, the difference of their distances in text and template costs ``SHIFT`` a word. Seeds of the last
+    ``size`` words, more than which no place has of foreign words, are tried as long as a better one is possible.
+    """
+    score, back, top = [], [], []  # top: the best score so far
+    gone = 0
+    for x, (i, j) in enumerate(hits):
+        while hits[gone][0] < i - size:
+            gone += 1
+        best, of, y = 0.0, -1, x - 1
+        while y >= gone and top[y] > best:
+            a, b = hits[y]
+            if b < j and (value := score[y] - SHIFT * abs(i - a - j + b)) > best:
+                best, of = value, y
+            y -= 1
+        score.append(best + 1)
+        back.append(of)
+        top.append(max(best + 1, top[-1] if top else 0))
+    used = [False] * len(hits)
+    taken: list[tuple[int, int]] = []
+    out = []
+    for x in sorted(range(len(hits)), key=lambda x: (-score[x], x)):
+        chain = []
+        while x >= 0 and not used[x]:
+            chain.append(x)
+            x = back[x]
+        if len(chain) < least:
+            continue
+        span = (hits[chain[-1]][0], hits[chain[0]][0])
+        k = bisect_left(taken, span)
+        if (k and taken[k - 1][1] >= span[0]) or (k < len(taken) and taken[k][0] <= span[1]):
             continue
-        got = next((g for worth in WORTH if (g := windows(text[a:b], template, need, worth))), [])
-        if not got:
-            pairs = matched(text[a:b], template)
-            if len(pairs) >= need and (len(template) >= STATEMENT or pairs[-1][0] - pairs[0][0] < (GAP + 1) * len(template)):
-                got = [(pairs[0][0], pairs[-1][0] + 1, len(pairs))]
-        for s, e, n in got:
-            yield a + s, a + e, max(n, len(matched(text[a + s : a + e], template)))
-        if got:
-            stack += zip([a, *(a + e for _, e, _ in got)], [*(a + s for s, _, _ in got), b], strict=True)
-
-
-def _prepared(templates) -> tuple[list, list[str]]:
-    """(name, words, words needed) of each template; trigger words: one of them is in any text with a hit."""
-    ready, triggers = [], set()
+        taken.insert(k, span)
+        for y in chain:
+            used[y] = True
+        out.append([hits[y] for y in reversed(chain)])
+    return sorted(out)
+
+
+def found(text: list[str], chain: list[tuple[int, int]], of: Template, floor: int, end: int) -> tuple[int, int, int, float] | None:
+    """(start, end, words matched, density) of the place around a chain, within floor and end, by patience alignment."""
+    (i, j), (a, b) = chain[0], chain[-1]
+    first = max(floor, i - math.ceil(j / DENSITY))
+    last = min(end, a + math.ceil((len(of.words) - b) / DENSITY))
+    pairs = align(text[first:last], of.words)
+    if len(pairs) < of.need:
+        return None
+    density = len(pairs) / (pairs[-1][0] - pairs[0][0] + 1)
+    return (first + pairs[0][0], first + pairs[-1][0] + 1, len(pairs), density) if density >= DENSITY else None
+
+
+def _grams(w: list[str], n: int) -> Iterator[tuple[str, ...]]:
+    return zip(*(w[i:] for i in range(n)))
+
+
+def _prepared(templates: Iterable[tuple[str, str]]) -> tuple[Ready, list[str]]:
+    """The templates with their seeds; trigger words: one of them is in any text with a hit."""
+    ready, triggers, seeds = [], set(), defaultdict(list)
     for name, text in sorted(templates):
         w = words(text)
+        if not w:
+            continue
+        n = min(len(w), 3 if len(w) >= STATEMENT else 2)
+        once = Counter(_grams(w, n))
+        own = [(g, j) for j, g in enumerate(_grams(w, n)) if once[g] == 1]
+        for g, j in own:
+            seeds[g].append((len(ready), j))
         need = math.ceil(COVERAGE * len(w))
-        ready.append((name, w, need))
+        # so many seeds stay if words are left out up to the coverage, half of them if words are put in too
+        ready.append(Template(name, w, need, n, max(1, (len(own) - (len(w) - need) * n) // 2)))
         left, count = len(w), Counter(w)
         for t in sorted(count, key=lambda t: (t not in triggers, "licen" not in t, -len(t), t)):
             if left < need:
                 break
             left -= count[t]
             triggers.add(t)
-    return ready, sorted(triggers)
+    return Ready(ready, dict(seeds)), sorted(triggers)
 
 
-def scan(text: str | None, ready: list, triggers: list[str]) -> list[dict]:
-    """Hits in order of place: license, coverage, start and end (characters)."""
+def scan(text: str | None, ready: Ready, triggers: list[str]) -> list[dict]:
+    """Hits in order of place: license, coverage, density, start and end (characters)."""
     low = (text or "").lower()
     if not any(t in low for t in triggers):
         return []
     at = [m.span() for m in _WORD.finditer(text)]
     w = [text[a:b].lower() for a, b in at]
-    found: list[dict] = []
-    for name, template, need in ready:
-        for i, j, n in copies(w, template, need):
-            found.append({"license": name, "coverage": round(n / len(template), 4), "start": at[i][0], "end": at[j - 1][1], "words": n})
-    hits = sorted(found, key=lambda h: (-h["words"] * h["coverage"], -h["words"], h["start"]))
+    hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for n in sorted({t.grams for t in ready.templates}):
+        for i, g in enumerate(_grams(w, n)):
+            for t, j in ready.seeds.get(g, ()):
+                if ready.templates[t].grams == n:
+                    hits[t].append((i, j))
+    every: list[dict] = []
+    for t, places in sorted(hits.items()):
+        of = ready.templates[t]
+        if len(places) < of.seeds:
+            continue
+        picked = chains(places, len(of.words), of.seeds)
+        floor = 0
+        for chain, after in zip(picked, [*picked[1:], None]):
+            got = found(w, chain, of, floor, len(w) if after is None else after[0][0])
+            floor = chain[-1][0] + of.grams
+            if got:
+                i, j, n, density = got
+                floor = max(floor, j)
+                every.append({"license": of.name, "coverage": round(n / len(of.words), 4), "density": round(density, 4), "start": at[i][0], "end": at[j - 1][1], "words": n})
+    ranked = sorted(every, key=lambda h: (-h["words"] * h["coverage"], -h["words"], h["start"]))
     kept: list[dict] = []  # in order of place
     starts: list[int] = []
-    for h in hits:  # of overlapping hits the one with most words, each counted with the coverage of its whole template
+    for h in ranked:  # of overlapping hits the one with most words, each counted with the coverage of its whole template
         k = bisect_left(starts, h["end"])
         if not k or kept[k - 1]["end"] <= h["start"]:
             kept.insert(k, h)
@@ -234,10 +258,26 @@ def scan(text: str | None, ready: list, triggers: list[str]) -> list[dict]:
     return kept
 
 
-_HIT = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())])
+def load_templates(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(name, text) of a Parquet table with these columns, or of a folder of text files, each named after its license.
+
+    Nulls are left out, and repeated rows come once. The size is checked: templates travel with the tasks.
+    """
+    if path.rstrip("/").endswith(".parquet"):
+        rows = spark.read.parquet(path).select(F.col("name").cast("string").alias("name"), F.col("text").cast("string").alias("text"))
+    else:
+        rows = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.col("value").alias("text"))
+    rows = rows.where("name is not null and text is not null").distinct()
+    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if size > MOST_CHARACTERS:
+        raise ValueError(f"{size} characters of templates; {MOST_CHARACTERS} is the limit")
+    return sorted((r["name"], r["text"]) for r in rows.collect())
+
+
+_HIT = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("density", pa.float64()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())])
 
 
-def scan_licenses(documents: DataFrame, templates=TEMPLATES) -> DataFrame:
+def scan_licenses(documents: DataFrame, templates: Iterable[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """(doc_id, hits) for each row of ``documents``; offsets are characters of the original text."""
     ready, triggers = _prepared(templates)
 
@@ -247,11 +287,11 @@ def scan_licenses(documents: DataFrame, templates=TEMPLATES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(hits, pa.list_(_HIT))], ["doc_id", "hits"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, hits array<struct<license:string,coverage:double,start:int,end:int,words:int>>")
+    return rows.mapInArrow(run, "doc_id long, hits array<struct<license:string,coverage:double,density:double,start:int,end:int,words:int>>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each document: its licenses (sorted, comma-joined), hits, best coverage and words they cover."""
+    """A row for each document: its licenses (sorted, comma-joined), hits, best coverage, least density and words they cover."""
     out = scan_licenses(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     names = F.array_join(F.array_sort(F.array_distinct("hits.license")), ",")
-    return out.select("doc_id", names.alias("licenses"), F.size("hits").cast("long").alias("n_hits"), F.coalesce(F.array_max("hits.coverage"), F.lit(0.0)).alias("coverage"), F.expr("aggregate(hits, 0L, (n, x) -> n + x.words)").alias("n_words"))
+    return out.select("doc_id", names.alias("licenses"), F.size("hits").cast("long").alias("n_hits"), F.coalesce(F.array_max("hits.coverage"), F.lit(0.0)).alias("coverage"), F.coalesce(F.array_min("hits.density"), F.lit(0.0)).alias("density"), F.expr("aggregate(hits, 0L, (n, x) -> n + x.words)").alias("n_words"))
