@@ -6,14 +6,16 @@ teach nothing yet, and those that it is most sure of and hasn't passed on before
 view is then calibrated on a held-out fold of labelled rows, and all documents are scored by the sum of the calibrated
 log odds, weighted by each view's gain there.
 
-The classifiers are fitted on about ``labelled`` labelled rows, chosen by a hash of the identifier, and on ``passed``
-rows a round from each view; these are bounded, and only their features reach the driver. Every round reads every whole
-text: each task keeps its surest rows, one for each content, and a ranking over those gives the surest of all.
+Every text is read once, whole, into a table of features, which the rounds and the scores read. The classifiers are fitted
+on about ``labelled`` labelled documents, chosen by a hash of the identifier, one row each, and on ``passed`` rows a round
+from each view; these are bounded, and only their features reach the driver. In a round each task names its surest rows,
+one for each content; names alone are shuffled, ranked in parts first and then among the first of all parts, and the
+features of those picked are fetched by name.
 
 Nulls: a null text is empty; null metadata is a category of its own; a null doc_id or label teaches nothing, but such a
-row may be passed on. A document with several labels has the lowest. With only one class, or no labels, every score is
-that class's share (0.5 if none). Repeated rows are scored each and passed on once. Very long texts are read whole. An
-empty table gives no rows.
+row may be passed on. A document with several labels has the lowest, and of rows that share a labelled doc_id the one with
+the least digest of its features teaches. With only one class, or no labels, every score is that class's share (0.5 if
+none). Repeated rows are scored each and passed on once. Very long texts are read whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, slices
+from .common import partitions, read_table, scratch, slices
+from .turns import kept
 
 LABELLED = 6000
 ROUNDS = 4
@@ -104,7 +107,12 @@ def odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1] + w[-1], -30, 30)
 
 
-def surest(views: list[np.ndarray], models: list[np.ndarray], most: tuple[int, int], passed: list[set[bytes]]) -> list[tuple[int, int, float, bytes, int]]:
+def content(rows: list[bytes]) -> bytes:
+    """A digest of the features of a row."""
+    return hashlib.blake2b(b"".join(rows), digest_size=12).digest()
+
+
+def surest(views: list[np.ndarray], models: list[np.ndarray], most: tuple[int, int], passed: list[set[bytes]], keys: list[bytes] | None = None) -> list[tuple[int, int, float, bytes, int]]:
     """(view, value, how sure, content, row): for each view and value up to ``most[value]`` contents that it hasn't passed on, the surest first."""
     out = []
     for i, x in enumerate(views):
@@ -116,7 +124,7 @@ def surest(views: list[np.ndarray], models: list[np.ndarray], most: tuple[int, i
             for row in rows[np.argsort(-sure[rows], kind="stable")].tolist():
                 if len(kept) >= most[value] and sure[row] < last:  # rows as sure as the last one go on: contents break ties
                     break
-                key = hashlib.blake2b(b"".join(v[row].tobytes() for v in views), digest_size=12).digest()
+                key = keys[row] if keys else content([v[row].tobytes() for v in views])
                 if key not in passed[i] and key not in kept:
                     kept[key] = (i, value, float(sure[row]), key, row)
                     last = sure[row]
@@ -199,10 +207,22 @@ def _features(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.array([text_view(x) for x in part.column("text").to_pylist()]), np.array([meta_view(*m) for m in meta])
 
 
-def _rows_of_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text"):
-        views = [[r.astype("<f4").tobytes() for r in v] for v in _features(part)]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), *(pa.array(v, pa.binary()) for v in views)], ["doc_id", "label", "text_x", "meta_x"])
+def features(documents: DataFrame) -> DataFrame:
+    """(doc_id, content, text_x, meta_x) for each row of ``documents`` (doc_id, text, lang, source, n_chars); content is a digest of the features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            views = [[r.astype("<f4").tobytes() for r in v] for v in _features(part)]
+            keys = [content(list(x)) for x in zip(*views, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(v, pa.binary()) for v in (keys, *views))], ["doc_id", "content", "text_x", "meta_x"])
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "n_chars")
+    return rows.mapInArrow(run, "doc_id long, content binary, text_x binary, meta_x binary")
+
+
+def _views(rows) -> list[np.ndarray]:
+    """Arrays of the two columns of features."""
+    return [np.frombuffer(b"".join(rows[c]), "<f4").reshape(-1, width) for c, width in (("text_x", PAIRS + 14), ("meta_x", 32 + SOURCES))]
 
 
 def _surest_of_task(shared):
@@ -210,62 +230,74 @@ def _surest_of_task(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models, most, passed, taught = shared.value
-        best: dict[tuple[int, int], dict[bytes, tuple]] = {(i, v): {} for i in (0, 1) for v in (0, 1)}
-        for part in slices(batches, "text"):
-            new = np.array([d is None or d not in taught for d in part.column("doc_id").to_pylist()])
-            views = [x[new] for x in _features(part)]
-            for i, value, sure, key, row in surest(views, models, most, passed):
-                best[i, value].setdefault(key, (sure, [v[row].astype("<f4").tobytes() for v in views]))
-            for (_, value), rows in best.items():
-                if len(rows) > 2 * most[value]:
-                    kept = sorted(rows.items(), key=lambda r: (-r[1][0], r[0]))[: most[value]]
-                    rows.clear()
-                    rows.update(kept)
-        out = [(i, value, sure, key, *x) for (i, value), rows in best.items() for key, (sure, x) in sorted(rows.items(), key=lambda r: (-r[1][0], r[0]))[: most[value]]]
-        cols = list(zip(*out, strict=True)) if out else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["view", "value", "sure", "content", "text_x", "meta_x"])
+        best: dict[tuple[int, int], dict[bytes, float]] = {(i, v): {} for i in (0, 1) for v in (0, 1)}
+        ranked = lambda rows, value: sorted(rows.items(), key=lambda r: (-r[1], r[0]))[: most[value]]
+        for part in batches:
+            rows = part.to_pydict()
+            new = [k for k, d in enumerate(rows["doc_id"]) if d is None or d not in taught]
+            views = [x[new] for x in _views(rows)]
+            for i, value, sure, key, _ in surest(views, models, most, passed, [rows["content"][k] for k in new]):
+                best[i, value][key] = sure
+            for (_, value), found in best.items():
+                if len(found) > 2 * most[value]:
+                    first = ranked(found, value)
+                    found.clear()
+                    found.update(first)
+        out = [(i, value, sure, key) for (i, value), found in best.items() for key, sure in ranked(found, value)]
+        cols = list(zip(*out, strict=True)) if out else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.float64(), pa.binary()), strict=True)], ["view", "value", "sure", "content"])
 
     return run
 
 
-def fit(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, passed: int = PASSED) -> dict:
-    """``documents`` has doc_id, text, lang, source, n_chars; ``labels`` doc_id and label (0 or 1)."""
-    sc = documents.sparkSession.sparkContext
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "n_chars")
+def _first(found: DataFrame, most: int) -> DataFrame:
+    """Of (view, value, sure, content) the first ``most`` contents of each view and value: first of each part by content, then of all parts."""
+    once = found.groupBy("view", "value", "content").agg(F.max("sure").alias("sure"))
+    parts = once.withColumn("part", F.pmod(F.xxhash64("content"), F.lit(partitions(found.sparkSession))))
+    for keys in (["view", "value", "part"], ["view", "value"]):
+        parts = parts.withColumn("rank", F.row_number().over(Window.partitionBy(keys).orderBy(F.desc("sure"), "content"))).where(F.col("rank") <= most)
+    return parts.select("view", "value", "rank", "content")
+
+
+def fit(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, passed: int = PASSED) -> dict:
+    """``rows`` has what ``features`` gives and is read several times; ``labels`` doc_id and label (0 or 1)."""
+    spark = rows.sparkSession
     known = labels.where("doc_id is not null and label in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("label").cast("int").alias("label"))
     part = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
     share = labelled / max(1, known.count())
-    chosen = docs.where(F.col("doc_id").isNotNull() & (part < share)).join(F.broadcast(known.where(part < share)), "doc_id")  # about ``labelled`` rows
-    rows = chosen.mapInArrow(_rows_of_features, "doc_id long, label int, text_x binary, meta_x binary").toPandas()
-    rows = rows.sort_values(["doc_id", "text_x", "meta_x"], kind="stable").drop_duplicates()
-    views = [np.frombuffer(b"".join(rows[c]), "<f4").reshape(len(rows), width) for c, width in (("text_x", PAIRS + 14), ("meta_x", 32 + SOURCES))]
-    folds = np.array([zlib.crc32(str(i).encode()) % 5 for i in rows["doc_id"]], np.int64)
-    trainer = Trainer(views, rows["label"].to_numpy(np.int64), folds, passed)
-    taught = frozenset(rows["doc_id"].tolist())
-    order = Window.partitionBy("view", "value").orderBy(F.desc("sure"), "content")
+    chosen = rows.where(F.col("doc_id").isNotNull() & (part < share)).join(F.broadcast(known.where(part < share)), "doc_id")  # about ``labelled`` documents
+    one = chosen.groupBy("doc_id").agg(F.min(F.struct("content", "text_x", "meta_x", "label")).alias("x")).select("doc_id", "x.text_x", "x.meta_x", "x.label")
+    taught = one.toPandas().sort_values("doc_id", kind="stable")
+    folds = np.array([zlib.crc32(str(i).encode()) % 5 for i in taught["doc_id"]], np.int64)
+    trainer = Trainer(_views(taught), taught["label"].to_numpy(np.int64), folds, passed)
+    ids = frozenset(taught["doc_id"].tolist())
     for _ in range(rounds if trainer.able else 0):
-        shared = sc.broadcast((trainer.models(), trainer.most, trainer.passed, taught))
-        found = docs.mapInArrow(_surest_of_task(shared), "view int, value int, sure double, content binary, text_x binary, meta_x binary")
-        once = found.dropDuplicates(["view", "value", "content"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.when(F.col("value") == 1, trainer.most[1]).otherwise(trainer.most[0]))
-        got = once.where(F.col("rank") <= max(trainer.most)).orderBy("view", "value", "rank").collect()  # ``passed`` rows of each view
-        trainer.take([(r.view, r.value, bytes(r.content), [np.frombuffer(r.text_x, "<f4"), np.frombuffer(r.meta_x, "<f4")]) for r in got])
+        shared = spark.sparkContext.broadcast((trainer.models(), trainer.most, trainer.passed, ids))
+        found = rows.mapInArrow(_surest_of_task(shared), "view int, value int, sure double, content binary")
+        first = [r for r in _first(found, max(trainer.most)).collect() if r["rank"] <= trainer.most[r["value"]]]  # ``passed`` rows of each view
+        if not first:
+            break
+        names = spark.createDataFrame([(bytes(c),) for c in sorted({bytes(r.content) for r in first})], "content binary")
+        got = rows.join(F.broadcast(names), "content", "left_semi").groupBy("content").agg(F.min(F.struct("text_x", "meta_x")).alias("x")).select("content", "x.text_x", "x.meta_x").collect()
+        at = {bytes(r.content): [x[0] for x in _views({"text_x": [r.text_x], "meta_x": [r.meta_x]})] for r in got}
+        trainer.take([(r.view, r.value, bytes(r.content), at[bytes(r.content)]) for r in sorted(first, key=lambda r: (r["view"], r["value"], r["rank"]))])
     return trainer.finished()
 
 
-def score_documents(documents: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, text_score, meta_score, score) for each row of ``documents``."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+def score_rows(rows: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, text_score, meta_score, score) for each row of features."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            got = score(*_features(part), shared.value)
+        for part in batches:
+            got = score(*_views(part.to_pydict()), shared.value)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(np.round(s, 6)) for s in got)], ["doc_id", "text_score", "meta_score", "score"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "n_chars")
-    return rows.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double")
+    return rows.select("doc_id", "text_x", "meta_x").mapInArrow(run, "doc_id long, text_score double, meta_score double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars")
     labels = read_table(spark, sf_dir, "labels", "doc_id", "quality").withColumnRenamed("quality", "label")
-    return score_documents(docs, fit(docs, labels)).withColumn("good", F.col("score") >= THRESHOLD)
+    rows = kept(features(docs), scratch(spark, "quality"), "features")
+    return score_rows(rows, fit(rows, labels)).withColumn("good", F.col("score") >= THRESHOLD)

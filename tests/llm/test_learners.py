@@ -87,7 +87,7 @@ def test_fit_against_arrays(spark):
     rows += [rows[200]] * 5 + [(None, "River light, walks", None, None, 18)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame(marks, "doc_id long, label int")
-    made = [cotraining.fit(docs.repartition(n), labels, passed=20) for n in (1, 7)]
+    made = [cotraining.fit(cotraining.features(docs.repartition(n)).cache(), labels, passed=20) for n in (1, 7)]
     views = [np.array([cotraining.text_view(r[1]) for r in rows]), np.array([cotraining.meta_view(r[4], r[2], r[3]) for r in rows])]
     y = np.array([dict(marks).get(r[0], -1) for r in rows])
     folds = np.array([zlib.crc32(str(r[0]).encode()) % 5 for r in rows])
@@ -95,7 +95,7 @@ def test_fit_against_arrays(spark):
     for model in made:
         assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(model["models"], want["models"]))
         assert np.allclose(model["calibration"], want["calibration"], atol=1e-5) and np.allclose(model["gain"], want["gain"], atol=1e-6)
-    got = {(r.doc_id, r.score) for r in cotraining.score_documents(docs, want).collect()}
+    got = {(r.doc_id, r.score) for r in cotraining.score_rows(cotraining.features(docs), want).collect()}
     z = [[a * (x @ np.array(w)[:-1] + w[-1]) + b for x in v] for v, w, (a, b) in zip(views, want["models"], want["calibration"])]
     top = max(want["gain"])
     for k, r in enumerate(rows):
@@ -103,11 +103,41 @@ def test_fit_against_arrays(spark):
         assert any(d == r[0] and abs(s - 1 / (1 + math.exp(-max(-30, min(30, both))))) < 2e-6 for d, s in got)
 
 
+def test_one_labelled_document_on_many_rows(spark, monkeypatch):
+    """A hundred thousand rows of a labelled doc_id, of many contents: one of them teaches, in whatever way they are dealt."""
+    docs = spark.range(100_000).selectExpr("7L as doc_id", "concat('row ', id % 50000, ' stone') as text", "'en' as lang", "'s' as source", "id % 9 as n_chars")
+    few = spark.range(400).selectExpr("id + 100 as doc_id", "if(id % 2 = 0, concat('River light ', id), concat('$$$ 0101 ', id)) as text", "'en' as lang", "concat('s', id % 2) as source", "id as n_chars")
+    labels = spark.range(100).selectExpr("id + 100 as doc_id", "cast(1 - id % 2 as int) as label").unionByName(spark.sql("select 7L as doc_id, 1 as label"))
+    rows = cotraining.features(docs.unionByName(few)).cache()
+    brought = []
+    real = cotraining.Trainer
+    monkeypatch.setattr(cotraining, "Trainer", lambda views, y, folds, passed: brought.append(len(y)) or real(views, y, folds, passed))
+    models = [cotraining.fit(rows.repartition(n), labels, rounds=1, passed=30) for n in (3, 1000)]
+    assert brought == [101, 101]
+    assert all(np.allclose(a, b) for a, b in zip(models[0]["models"], models[1]["models"]))
+    rows.unpersist()
+
+
+def test_first_of_each_group(spark):
+    """The ranking in parts gives the ranking of all; contents that several tasks name come once."""
+    rng = np.random.default_rng(6)
+    found = [(int(rng.integers(2)), int(rng.integers(2)), float(rng.integers(5)) / 5, bytes([int(rng.integers(90))])) for _ in range(3000)]
+    got = cotraining._first(spark.createDataFrame(found, "view int, value int, sure double, content binary").repartition(50), 25).collect()
+    best = {}
+    for i, v, s, c in found:
+        best[i, v, c] = max(s, best.get((i, v, c), 0))
+    for i in (0, 1):
+        for v in (0, 1):
+            order = sorted((-s, c) for (x, y, c), s in best.items() if (x, y) == (i, v))[:25]
+            assert [bytes(r.content) for r in sorted(got, key=lambda r: r["rank"]) if (r.view, r.value) == (i, v)] == [c for _, c in order]
+
+
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "a", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     none = spark.createDataFrame([], "doc_id long, label int")
-    assert cotraining.fit(docs, none) == {"constant": 0.5}
-    assert cotraining.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, label int")) == {"constant": 1.0}
+    rows = cotraining.features(docs)
+    assert cotraining.fit(rows, none) == {"constant": 0.5}
+    assert cotraining.fit(rows, spark.createDataFrame([(1, 1)], "doc_id long, label int")) == {"constant": 1.0}
 
 
 def plain_counts(text):
