@@ -108,23 +108,21 @@ def merged(found: DataFrame) -> DataFrame:
 def passages(points: DataFrame, found: DataFrame) -> DataFrame:
     """(track, key, visit, idx, t, enter, exit, d): visits of nodes by matched points (track, t, idx, lat, lon, way).
 
-    A point meets the nodes of its own way (an equi-join) within the radius. Points near one node are one visit until the
-    track has been further from it than the leaving distance; the visit's place is its nearest point.
+    Points within the leaving distance of a node are met by cells, and those in a row are a visit as long as no point
+    between them is further away: only they matter, not the rest of the track. A visit's hits are points on one of the
+    node's ways within the radius; its place is the nearest of them.
     """
-    of = found.select("key", F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon"), F.explode("ways").alias("way"))
-    d = geo.haversine(F.col("lat"), F.col("lon"), F.col("n_lat"), F.col("n_lon"))
-    near = points.join(of, "way").withColumn("d", d).where(F.col("d") <= PASS_M).select("track", "key", "n_lat", "n_lon", "t", "idx", "d")
-    # between two hits of a node the track's furthest point from it: rows of the track from the first to the last hit
-    span = near.groupBy("track", "key", "n_lat", "n_lon").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
-    far = points.join(span, "track").where(F.col("t").between(F.col("t0"), F.col("t1"))).withColumn("away", geo.haversine(F.col("lat"), F.col("lon"), F.col("n_lat"), F.col("n_lon")))
-    far = far.select("track", "key", "t", "idx", "away").join(near.select("track", "key", "idx", "d"), ["track", "key", "idx"], "left")
-    w = Window.partitionBy("track", "key").orderBy("t", "idx")
-    hit = F.col("d").isNotNull()
-    marked = far.withColumn("_seg", F.sum(F.when(hit, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    left = F.max(F.when(~hit, F.col("away"))).over(Window.partitionBy("track", "key", "_seg"))
-    begins = marked.withColumn("_away", left).where(hit).withColumn("visit", F.sum(F.when(F.coalesce(F.col("_away"), F.lit(0.0)) > LEAVE_M, 1).otherwise(0)).over(w))
-    best = F.min(F.struct("d", "t", "idx"))
-    return begins.groupBy("track", "key", "visit").agg(best.alias("b"), F.min("t").alias("enter"), F.max("t").alias("exit")).select("track", "key", "visit", "b.idx", "b.t", "enter", "exit", "b.d")
+    w = by_time()
+    rows = points.select("track", "t", "idx", "lat", "lon", "way", F.row_number().over(w).alias("_i"))
+    band = geo.band_of(F.col("lat"), LEAVE_M)
+    at = rows.select("*", band.alias("cy"), geo.column_of(F.col("lon"), band, LEAVE_M).alias("cx"))
+    of = found.select("key", "ways", F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon")).withColumn("c", F.explode(geo.near_cells(F.col("n_lat"), F.col("n_lon"), LEAVE_M))).select("key", "ways", "n_lat", "n_lon", "c.cy", "c.cx")
+    near = at.join(of, ["cy", "cx"]).withColumn("d", geo.haversine(F.col("lat"), F.col("lon"), F.col("n_lat"), F.col("n_lon"))).where(F.col("d") <= LEAVE_M)
+    by_node = Window.partitionBy("track", "key").orderBy("_i")
+    runs = near.withColumn("_run", F.col("_i") - F.row_number().over(by_node))
+    hits = runs.where((F.col("d") <= PASS_M) & F.array_contains("ways", F.col("way"))).groupBy("track", "key", "_run").agg(F.min(F.struct("d", "t", "idx")).alias("b"), F.min("t").alias("enter"), F.max("t").alias("exit"))
+    visit = F.row_number().over(Window.partitionBy("track", "key").orderBy("_run")) - 1
+    return hits.select("track", "key", visit.cast("long").alias("visit"), "b.idx", "b.t", "enter", "exit", "b.d")
 
 
 def deflections(points: DataFrame, reach: int = 2) -> DataFrame:
@@ -280,21 +278,44 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes))
 
 
-def _ways(spark):
-    from .enrichment import street_elements, way_paths
+def _ways(spark, d):
+    from .junction_turns import streets
+
+    return streets(spark, d)
+
+
+def _walked_records(spark, d):
+    """Real passages and controls of the events' walk, an hour as a second."""
+    from .junction_turns import classified, street_walk, streets
+
+    p = street_walk(spark, d).withColumn("t", F.col("t") / 3600)
+    found = cut(classified(p, streets(spark, d), with_controls=True)).select("track", "key", F.when(F.col("decision") == "control", "control").otherwise(F.col("decision")).alias("decision"), "t", "enter", "exit")
+    series = p.select("track", "t", F.col("value").alias("phasic"), (F.col("value") / 2).alias("tonic"), (F.col("value") > 60).alias("is_peak"))
+    return responses(found, series, 240.0, share=0.3)
 
-    return way_paths(street_elements(spark))
 
+#: The streets of ``junction_turns`` for the oracle: blocks of 60 m, 20 events each.
+STREETS_SQL = POSITIONS_SQL + """, j AS (SELECT track, t, idx, row_number() OVER (PARTITION BY track ORDER BY t, idx) - 1 AS j FROM p),
+b AS (SELECT DISTINCT track, j // 20 AS k, (track + (j // 20) * (j // 20)) % 3 <> 0 AS east FROM j),
+k AS (SELECT *, coalesce(sum(CASE WHEN east THEN 60 ELSE 0 END) OVER w, 0) AS x, coalesce(sum(CASE WHEN east THEN 0 ELSE 60 END) OVER w, 0) AS y, track * 1000000 + k * 4 AS n,
+  CASE WHEN east THEN 1 ELSE 0 END AS dx, CASE WHEN east THEN 0 ELSE 1 END AS dy FROM b WINDOW w AS (PARTITION BY track ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lines AS (SELECT track, n AS id, [[x, y], [x + dx * 12, y + dy * 12], [x + dx * 60, y + dy * 60]] AS q FROM k
+  UNION ALL SELECT track, n + 1, [[x, y], [x - dy * 40, y - dx * 40]] FROM k WHERE (track + k) % 2 = 0
+  UNION ALL SELECT track, n + 2, [[x + dx * 12, y + dy * 12], [x + dx * 12 - dy * 40, y + dy * 12 - dx * 40]] FROM k WHERE (track + k) % 3 = 0),
+streets AS (SELECT id, list_transform(q, lambda c: {'lat': 51.0::DOUBLE + track % 1000 * 0.01::DOUBLE + c[2]::DOUBLE / 111320.0::DOUBLE, 'lon': -0.1::DOUBLE + c[1]::DOUBLE / (111320.0::DOUBLE * 0.62::DOUBLE)}) AS path FROM lines)"""
 
 QUERIES = {
-    "junction_nodes": lambda s, d: nodes(_ways(s)).select("key", "degree", F.size("ways").alias("n_ways")),
-    "junction_merged": lambda s, d: merged(nodes(_ways(s))).select("key", "junction"),
+    "junction_nodes": lambda s, d: nodes(_ways(s, d)).select("key", "degree", F.size("ways").alias("n_ways")),
+    "junction_merged": lambda s, d: merged(nodes(_ways(s, d))).select("key", "junction"),
     "junction_intervals": lambda s, d: _rounded(sample_intervals(positions(s, d))),
     "junction_responses": lambda s, d: _rounded(_records(s, d)),
-    "junction_compare": lambda s, d: compare(_records(s, d)),
-    "junction_road": lambda s, d: compare_with_road(_records(s, d)),
+    "junction_compare": lambda s, d: compare(_walked_records(s, d)),
+    "junction_road": lambda s, d: compare_with_road(_walked_records(s, d)),
 }
 ORACLE_SQL = {
+    "junction_nodes": f"""WITH {STREETS_SQL}, a AS (SELECT id, path, unnest(range(len(path))) AS i FROM streets),
+n AS (SELECT id, CASE WHEN i = 0 OR i = len(path) - 1 THEN 1 ELSE 2 END AS d, printf('%.6f,%.6f', path[i + 1].lat, path[i + 1].lon) AS key FROM a)
+SELECT key, sum(d)::BIGINT AS degree, count(DISTINCT id)::INT AS n_ways FROM n GROUP BY key HAVING count(DISTINCT id) >= 2""",
     "junction_intervals": f"""WITH {POSITIONS_SQL}, r AS (SELECT track, t, row_number() OVER (PARTITION BY track ORDER BY t) - 1 AS r, greatest(1, count(*) OVER (PARTITION BY track) // 200) AS step FROM p),
 g AS (SELECT track, step, t - lag(t) OVER (PARTITION BY track ORDER BY r) AS gap FROM r WHERE r % step = 0), k AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY gap) - 1 AS k, count(*) OVER (PARTITION BY track) AS m FROM g WHERE gap IS NOT NULL)
 SELECT track, round(gap / step, 6) AS dt FROM k WHERE k = m // 2""",
