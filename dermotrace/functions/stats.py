@@ -62,3 +62,18 @@ def t_critical(df: float, p: float = 0.05) -> float:
         mid = (low + high) / 2
         low, high = (mid, high) if t_p_value(mid, df) > p else (low, mid)
     return (low + high) / 2
+
+
+def t_p_sql(t: str, df: str, n: int = 20_000) -> str:
+    """``t_p_value`` as SQL: the share of the angles beyond t's, by Simpson's rule.
+
+    With t = sqrt(df) tan(angle) the density is cos(angle) ** (df - 1); in the fourth root of the angle from the far end it
+    is smooth for any df of 1 or more.
+    """
+
+    def area(end: str) -> str:
+        u = f"({end} * i / {n})"
+        return f"{end} * list_sum(list_transform(range({n + 1}), lambda i: CASE WHEN i = 0 OR i = {n} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow({u}, 3) * pow(sin(pow({u}, 4)), {df} - 1)))"
+
+    near = f"pow(pi() / 2 - atan(abs({t}) / sqrt({df})), 0.25)"
+    return f"({area(near)} / ({area('pow(pi() / 2, 0.25)')}))"

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.stats import t_critical
+from ..functions.stats import t_critical, t_p_sql
 from ..sources.tables import EVENTS_SQL, events
 from .statistics import benjamini_hochberg, t_p
 from .windows import rolling_percentile
@@ -307,10 +307,10 @@ QUERIES = {
     "stats_autocorrelation": lambda s, d: _round(autocorrelations(events(s, d), "value", 5)),
     "stats_walks": lambda s, d: _round(walk_correlations(_samples(s, d), "hour", "tonic").select("track", "n", "r", "n_eff")),
     "stats_partial": lambda s, d: _round(partial_correlations(_samples(s, d), "hour", "tonic", "speed").select("track", "n", "r", "n_eff", "raw_r")),
-    "stats_matrix": lambda s, d: _round(feature_matrix(_samples(s, d), ["hour", "seven"], ["value", "tonic"]).select("feature", "channel", "k", "r", "tau2", "i2", "se", "t", "method", "varies")),
+    "stats_matrix": lambda s, d: _round(feature_matrix(_samples(s, d), ["hour", "seven"], ["value", "tonic"]).select("feature", "channel", "k", "r", "tau2", "i2", "se", "t", "p", "method", "varies", "q")),
     "stats_peak_bins": lambda s, d: peak_bins(events(s, d), events(s, d).where("value > 60"), 86400.0).select("track", "idx", "peaks"),
-    "stats_classes": lambda s, d: _round(_profile(s, d).select("kind", "n", "walks", "mean", "sigma", "n_eff", "se", "df", "peaks_a_minute")),
-    "stats_extremes": lambda s, d: _round(compare_extremes(_profile(s, d), "kind").select("high", "low", "change_pct", "t", "df", "groups")),
+    "stats_classes": lambda s, d: _round(_profile(s, d).select("kind", "n", "walks", "mean", "sigma", "n_eff", "se", "df", "half_width", "peaks_a_minute")),
+    "stats_extremes": lambda s, d: _round(compare_extremes(_profile(s, d), "kind").select("high", "low", "change_pct", "t", "df", "p", "p_adjusted", "groups")),
     "stats_every_second": lambda s, d: _round(every_second(events(s, d), ["value"], 7200.0)),
 }
 _S = f"""{EVENTS_SQL}, s0 AS (SELECT *, list_sort(list(value) OVER (PARTITION BY track ORDER BY t, idx ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)) AS fr FROM e),
@@ -340,9 +340,12 @@ q AS (SELECT track AS g, {_NUM.format('track')}, CASE WHEN vz > 1e-12 AND nn >=
 o AS (SELECT track, max(raw) AS raw FROM r0 GROUP BY track) SELECT g AS track, n, round(CASE WHEN n < 4 THEN 0 ELSE rr END, 6) AS r, round(n_eff::double, 6) AS n_eff, round(coalesce(raw, 0), 6) AS raw_r FROM f JOIN o ON o.track = f.g""",
     "stats_matrix": f"""WITH {_S}, q0 AS (SELECT [feature, channel, track::varchar] AS g, t, idx, x, y FROM (SELECT track, t, idx, value, tonic, unnest(['hour', 'seven']) AS feature, unnest([hour::double, seven]) AS x FROM s) f0, LATERAL (SELECT unnest(['value', 'tonic']) AS channel, unnest([value, tonic]) AS y) c0 WHERE x IS NOT NULL AND y IS NOT NULL),
 q AS (SELECT g, x, y, {_NUM.format('g')} FROM q0), {_EFF.format('ra * rb')}, {_META},
-y0 AS (SELECT feature, stddev_pop(x) AS sd, avg(x) AS mx, count(*) AS nx FROM (SELECT 'hour' AS feature, hour::double AS x FROM s UNION ALL SELECT 'seven', seven FROM s) GROUP BY feature)
+y0 AS (SELECT feature, stddev_pop(x) AS sd, avg(x) AS mx, count(*) AS nx FROM (SELECT 'hour' AS feature, hour::double AS x FROM s UNION ALL SELECT 'seven', seven FROM s) GROUP BY feature),
+pt AS (SELECT u.*, CASE WHEN k >= 3 THEN {t_p_sql("(mz / se)", "(k - 1)")} ELSE 1 END AS p, nx > 2 AND sd > 0 AND sd / (abs(mx) + 1e-9) >= 0.01 AS varies FROM u JOIN y0 USING (feature)),
+pv AS (SELECT *, CASE WHEN varies AND k >= 5 THEN p END AS pp FROM pt), pn AS (SELECT *, count(pp) OVER (PARTITION BY channel) AS pm, count(pp) OVER (PARTITION BY channel ORDER BY pp NULLS LAST) AS pr FROM pv),
+pq AS (SELECT *, CASE WHEN pp IS NOT NULL THEN least(1, min(pp * pm / pr) OVER (PARTITION BY channel ORDER BY pp DESC NULLS LAST)) END AS q FROM pn)
 SELECT feature, channel, k, round(CASE WHEN k < 3 THEN mr ELSE tanh(mz) END, 6) AS r, round(CASE WHEN k >= 3 THEN tau2 END, 6) AS tau2, round(CASE WHEN k >= 3 THEN i2 END, 6) AS i2, round(CASE WHEN k >= 3 THEN se END, 6) AS se, round(CASE WHEN k >= 3 THEN mz / se END, 6) AS t,
-  CASE WHEN k < 3 THEN 'fewWalks' WHEN k < 5 THEN 'metaProvisional' ELSE 'meta' END AS method, nx > 2 AND sd > 0 AND sd / (abs(mx) + 1e-9) >= 0.01 AS varies FROM u JOIN y0 USING (feature)""",
+  CASE WHEN k < 3 THEN 'fewWalks' WHEN k < 5 THEN 'metaProvisional' ELSE 'meta' END AS method, varies, round(p, 6) AS p, round(q, 6) AS q FROM pq""",
     "stats_peak_bins": f"WITH {EVENTS_SQL}, b AS (SELECT track, floor(t / 86400) AS b, count(*) AS peaks FROM e WHERE value > 60 GROUP BY ALL) SELECT e.track, idx, coalesce(peaks, 0) AS peaks FROM e LEFT JOIN b ON b.track = e.track AND b.b = floor(e.t / 86400)",
     "stats_every_second": f"""WITH RECURSIVE {EVENTS_SQL}, m AS (SELECT track, t, idx, avg(value) OVER (PARTITION BY track ORDER BY t RANGE BETWEEN 7199.999999 PRECEDING AND CURRENT ROW) AS value, row_number() OVER (PARTITION BY track ORDER BY t, idx) AS r FROM e),
 g AS (SELECT track, r, t, true AS ok, t AS last FROM m WHERE r = 1 UNION ALL SELECT m.track, m.r, m.t, m.t >= g.last + 7200 - 1e-9, CASE WHEN m.t >= g.last + 7200 - 1e-9 THEN m.t ELSE g.last END FROM g JOIN m ON m.track = g.track AND m.r = g.r + 1)
@@ -355,7 +358,9 @@ y0 AS (SELECT kind, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS
 p AS (SELECT y0.*, walks, n_eff, k, CASE WHEN n_eff > 1 THEN sigma / sqrt(n_eff) ELSE 0 END AS i, CASE WHEN k > 1 THEN between_ / sqrt(k) END AS o FROM y0 JOIN k USING (kind) WHERE n >= 5),
 pr AS (SELECT *, CASE WHEN coalesce(o > i, false) THEN o ELSE i END AS se, CASE WHEN coalesce(o > i, false) THEN k - 1 ELSE greatest(1, n_eff - 1) END::double AS df FROM p)"""
 ORACLE_SQL |= {
-    "stats_classes": f"{_CLASS} SELECT kind, n, walks, round(mean, 6) AS mean, round(sigma, 6) AS sigma, round(n_eff, 6) AS n_eff, round(se, 6) AS se, round(df, 6) AS df, round(peaks / (n / 60), 6) AS peaks_a_minute FROM pr",
-    "stats_extremes": f"""{_CLASS}, hi AS (SELECT * FROM pr ORDER BY mean DESC LIMIT 1), lo AS (SELECT * FROM pr ORDER BY mean LIMIT 1), ng AS (SELECT count(*) AS groups FROM pr)
-SELECT hi.kind AS high, lo.kind AS low, round((hi.mean / lo.mean - 1) * 100, 6) AS change_pct, round((hi.mean - lo.mean) / sqrt(hi.se ** 2 + lo.se ** 2), 6) AS t, round((hi.se ** 2 + lo.se ** 2) ** 2 / (hi.se ** 4 / hi.df + lo.se ** 4 / lo.df), 6) AS df, groups FROM hi, lo, ng""",
+    "stats_classes": f"{_CLASS.replace('WITH', 'WITH RECURSIVE', 1)}, bi AS (SELECT kind, df, 0::DOUBLE AS lo, 1000::DOUBLE AS hi, 0 AS i FROM pr UNION ALL SELECT kind, df, CASE WHEN p > 0.05 THEN mid ELSE lo END, CASE WHEN p > 0.05 THEN hi ELSE mid END, i + 1 FROM (SELECT *, {t_p_sql('mid', 'df', 4000)} AS p FROM (SELECT *, (lo + hi) / 2 AS mid FROM bi WHERE i < 45))) SELECT kind, round(CASE WHEN se > 0 THEN lo * se ELSE 0 END, 6) AS half_width, n, walks, round(mean, 6) AS mean, round(sigma, 6) AS sigma, round(n_eff, 6) AS n_eff, round(se, 6) AS se, round(df, 6) AS df, round(peaks / (n / 60), 6) AS peaks_a_minute FROM pr JOIN (SELECT kind, lo FROM bi WHERE i = 45) USING (kind)",
+    "stats_extremes": f"""{_CLASS}, hi AS (SELECT * FROM pr ORDER BY mean DESC LIMIT 1), lo AS (SELECT * FROM pr ORDER BY mean LIMIT 1), ng AS (SELECT count(*) AS groups FROM pr),
+ex AS (SELECT hi.kind AS high, lo.kind AS low, (hi.mean / lo.mean - 1) * 100 AS change_pct, (hi.mean - lo.mean) / sqrt(hi.se ** 2 + lo.se ** 2) AS t, (hi.se ** 2 + lo.se ** 2) ** 2 / (hi.se ** 4 / hi.df + lo.se ** 4 / lo.df) AS df, groups FROM hi, lo, ng),
+ep AS (SELECT *, {t_p_sql("t", "df")} AS p FROM ex)
+SELECT high, low, round(change_pct, 6) AS change_pct, round(t, 6) AS t, round(df, 6) AS df, round(p, 6) AS p, round(least(1, p * (groups * (groups - 1) / 2)), 6) AS p_adjusted, groups FROM ep""",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.stats import fisher_z, t_p_value
+from ..functions.stats import fisher_z, t_p_sql, t_p_value
 from ..sources.tables import EVENTS_SQL, events
 
 #: A group needs so many pairs to enter a meta-analysis.
@@ -89,11 +89,14 @@ QUERIES = {
     "stats_median": lambda s, d: upper_median(events(s, d), "track", "value"),
     "stats_correlations": lambda s, d: _round(correlations(_hour(events(s, d)), "track", "hour", "value")),
     "stats_meta": lambda s, d: _round(meta_correlation(correlations(_hour(events(s, d)), "track", "hour", "value"))),
-    "stats_welch": lambda s, d: _round(welch(events(s, d), "track", "value", "kind", "click", "view")),
+    "stats_welch": lambda s, d: _round(welch(events(s, d), "track", "value", "kind", "click", "view").withColumn("p", t_p("t", "df"))),
     "stats_false_discovery": _tested,
 }
 _CORR = f"""{EVENTS_SQL}, h AS (SELECT *, floor(t / 3600)::bigint % 24 AS hour FROM e),
 c AS (SELECT track, count(*) AS n, corr(hour, value) AS r, regr_slope(value, hour) AS slope, regr_intercept(value, hour) AS intercept FROM h WHERE value IS NOT NULL GROUP BY track)"""
+_WELCH = f"""{EVENTS_SQL}, s AS (SELECT track, count(value) FILTER (kind = 'click') AS na, count(value) FILTER (kind = 'view') AS nb,
+  avg(value) FILTER (kind = 'click') AS ma, avg(value) FILTER (kind = 'view') AS mb, var_samp(value) FILTER (kind = 'click') AS va, var_samp(value) FILTER (kind = 'view') AS vb FROM e GROUP BY track),
+w AS (SELECT track, (ma - mb) / sqrt(va / na + vb / nb) AS t, (va / na + vb / nb) ** 2 / ((va / na) ** 2 / (na - 1) + (vb / nb) ** 2 / (nb - 1)) AS df FROM s WHERE na > 1 AND nb > 1 AND va + vb > 0)"""
 ORACLE_SQL = {
     "stats_summary": f"""WITH {EVENTS_SQL} SELECT track, count(value) AS n, round(avg(value), 8) AS mean, round(stddev_pop(value), 8) AS sigma,
 round(var_pop(value), 8) AS variance, round(min(value), 8) AS low, round(max(value), 8) AS high FROM e GROUP BY track""",
@@ -103,8 +106,8 @@ round(var_pop(value), 8) AS variance, round(min(value), 8) AS low, round(max(val
 s AS (SELECT count(*) AS k, greatest(0, (sum(w * z * z) - sum(w * z) ** 2 / sum(w) - (count(*) - 1)) / (sum(w) - sum(w * w) / sum(w))) AS tau2 FROM u),
 v AS (SELECT k, tau2, z, 1 / (1 / w + tau2) AS v FROM u, s)
 SELECT k, round(tau2, 4) AS tau2, round(tanh(sum(v * z) / sum(v)), 4) AS r, round(1 / sqrt(sum(v)), 4) AS se FROM v GROUP BY k, tau2""",
-    "stats_welch": f"""WITH {EVENTS_SQL}, s AS (SELECT track, count(value) FILTER (kind = 'click') AS na, count(value) FILTER (kind = 'view') AS nb,
-  avg(value) FILTER (kind = 'click') AS ma, avg(value) FILTER (kind = 'view') AS mb, var_samp(value) FILTER (kind = 'click') AS va, var_samp(value) FILTER (kind = 'view') AS vb FROM e GROUP BY track)
-SELECT track, round((ma - mb) / sqrt(va / na + vb / nb), 4) AS t, round((va / na + vb / nb) ** 2 / ((va / na) ** 2 / (na - 1) + (vb / nb) ** 2 / (nb - 1)), 4) AS df
-FROM s WHERE na > 1 AND nb > 1 AND va + vb > 0""",
+    "stats_welch": f"""WITH {_WELCH} SELECT track, round(t, 4) AS t, round(df, 4) AS df, round({t_p_sql("t", "df")}, 4) AS p FROM w""",
+    "stats_false_discovery": f"""WITH {_WELCH}, v AS (SELECT *, {t_p_sql("t", "df")} AS p, track % 5 AS family FROM w),
+n AS (SELECT *, count(*) OVER (PARTITION BY family) AS m, count(*) OVER (PARTITION BY family ORDER BY p) AS n FROM v)
+SELECT track, family, round(t, 6) AS t, round(df, 6) AS df, round(p, 6) AS p, round(least(1, min(p * m / n) OVER (PARTITION BY family ORDER BY p DESC)), 6) AS q FROM n""",
 }
