@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.stats import t_critical, t_p_sql
 from ..sources.tables import EVENTS_SQL, events
+from .orbits import gated
 from .statistics import benjamini_hochberg, t_p
 from .windows import rolling_percentile
 
@@ -216,19 +217,10 @@ def binned(samples: DataFrame, x: str, seconds: float = BIN_S) -> DataFrame:
 
 
 def every_second(df: DataFrame, values: list[str], step_s: float = 1.0) -> DataFrame:
-    """Samples no closer than ``step_s``: means of the ``values`` over the time before each. The gate is one Arrow group a track."""
+    """Samples no closer than ``step_s``: means of the ``values`` over the time before each. The gate goes by blocks, so that no track is gathered."""
     frame = f"over (partition by track order by t range between {step_s - 1e-6}D preceding and current row)"
     means = df.select("track", "t", "idx", *(F.expr(f"avg({v}) {frame}").alias(v) for v in values))
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("t", "ascending"), ("idx", "ascending")])
-        t, kept, at = table.column("t").to_numpy(), [], 0
-        while at < t.size:
-            kept.append(at)
-            at = int(np.searchsorted(t, t[at] + step_s - 1e-9))
-        return table.take(kept)
-
-    return means.groupBy("track").applyInArrow(run, means.schema)
+    return gated(means, ["track"], F.col("t"), step_s - 1e-9, ["t", "idx"])
 
 
 def feature_matrix(samples: DataFrame, features: list[str], channels: list[str], covariate: str | None = None) -> DataFrame:
