@@ -44,10 +44,9 @@ def _boxes(spark, d):
 
 
 def _rings(spark, d):
-    """The first five positions of each track as a ring: area, centroid, and the path after a pass of corner cutting."""
-    p = positions(spark, d)
-    first = p.withColumn("r", F.expr("row_number() over (partition by track order by t, idx)")).where("r <= 5")
-    rings = first.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("r", "lat", "lon"))).alias("ring"))  # five at most
+    """All positions of each track as a ring: area, centroid, and the path after a pass of corner cutting."""
+    p = positions(spark, d).withColumn("r", F.expr("row_number() over (partition by track order by t, idx)"))
+    rings = p.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("r", "lat", "lon"))).alias("ring"))  # a ring is one value
     c, cut = geo.centroid(F.col("ring")), geo.smoothed_corners(F.transform("ring", lambda q: F.struct(q["lat"].alias("lat"), q["lon"].alias("lon"))))
     sums = F.aggregate(cut, F.lit(0.0), lambda s, q: s + q["lat"])
     return rings.select("track", F.round(geo.ring_area(F.col("ring")) * 1e6, 8).alias("area"), F.round(c["lat"], 8).alias("lat"), F.round(c["lon"], 8).alias("lon"), F.size(cut).alias("n"), F.round(sums, 8).alias("sum_lat"))
@@ -82,7 +81,7 @@ SELECT track, round((n - s) * 111.32::double * (e - w) * 111.32::double * cos(ra
   us - 0.0005::double <= s AND un + 0.0005::double >= n AND uw - 0.0005::double <= w AND ue + 0.0005::double >= e AS held,
   s - 0.0005::double <= us AND n + 0.0005::double >= un AND w - 0.0005::double <= uw AND e + 0.0005::double >= ue AS holds,
   s <= un AND n >= us AND w <= ue AND e >= uw AS meet, round(s, 8) AS south, round(e, 8) AS east FROM x, u""",
-    "geo_rings": f"""WITH {POSITIONS_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY t, idx) AS r FROM p QUALIFY r <= 5),
+    "geo_rings": f"""WITH {POSITIONS_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY t, idx) AS r FROM p),
 n AS (SELECT *, count(*) OVER (PARTITION BY track) AS n, coalesce(lead(lat) OVER w, first_value(lat) OVER (PARTITION BY track ORDER BY r)) AS lat2, coalesce(lead(lon) OVER w, first_value(lon) OVER (PARTITION BY track ORDER BY r)) AS lon2,
   lead(lat) OVER w AS nl, lag(lat) OVER w AS pl FROM f WINDOW w AS (PARTITION BY track ORDER BY r))
 SELECT track, round(CASE WHEN max(n) < 3 THEN 0 ELSE abs(sum(lon * lat2 - lon2 * lat)) / 2 END * 1e6, 8) AS area, round(avg(lat), 8) AS lat, round(avg(lon), 8) AS lon,
