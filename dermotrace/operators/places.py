@@ -117,7 +117,7 @@ def _members(spark, d):
 
 
 QUERIES = {
-    "place_clusters": lambda s, d: clusters(positions(s, d).where("value > 80").select("idx", "lat", "lon", F.lit(1).alias("area"))).select("idx", "cluster"),
+    "place_clusters": lambda s, d: clusters(positions(s, d).where("value > 80").select("track", "idx", "lat", "lon"), "track").select("track", "idx", "cluster"),
     "places": lambda s, d: places(_members(s, d), positions(s, d).withColumn("phasic", F.col("value") - 40), 10.0).select("place", "label", "members", "walks", "visits", F.round("dwell", 6).alias("dwell"), F.round("energy", 6).alias("energy"), F.round("rate", 6).alias("rate"), F.round("rank", 6).alias("rank"), "provisional", F.round("mean_amplitude", 6).alias("mean_amplitude"), F.round("max_amplitude", 6).alias("max_amplitude")),
     "place_blobs": lambda s, d: blob_density(_members(s, d).join(candidate_places(_members(s, d)).select("place"), "place")).groupBy("place").agg(F.count("*").alias("cells"), F.round(F.max("v"), 6).alias("top")),
 }

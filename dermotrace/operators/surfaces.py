@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..plans.ranks import at_or_below
 from ..sources.tables import POSITIONS_SQL, positions
 from .spatial import cell_means
 
@@ -69,19 +70,19 @@ def shaded(grid: DataFrame, size_y: float, size_x: float, azimuth: float = SUN,
     return g.select("cy", "cx", F.greatest(F.lit(0.0), shade).alias("shade"))
 
 
-def rank_ratio(v: Column) -> Column:
-    """The share of values that are as low or lower."""
-    return F.cume_dist().over(Window.orderBy(v))
+def ranked(df: DataFrame, value: str) -> DataFrame:
+    """``df`` with ``rank``: the share of values that are as low or lower; by ranges of values, not in one task."""
+    below = at_or_below(df.select(value), value)
+    return df.join(below.select(value, (F.col("below") / F.col("total")).alias("rank")), value)
 
 
 def levels(grid: DataFrame, count: int) -> list[float]:
     """Nearest-rank quantiles that split the values into ``count`` + 1 parts: a handful of numbers."""
-    n = grid.count()
-    if not n:
-        return []
-    places = sorted({min(n - 1, n * k // (count + 1)) for k in range(1, count + 1)})
-    numbered = grid.select("v").withColumn("r", F.row_number().over(Window.orderBy("v")) - 1)
-    return [r.v for r in numbered.where(F.col("r").isin(places)).orderBy("r").collect()]
+    below = at_or_below(grid.select("v"), "v")
+    n = F.col("total")
+    place = F.explode(F.array(*(F.least(n - 1, F.floor(n * k / F.lit(count + 1))) for k in range(1, count + 1)))).alias("place")
+    met = below.select("v", "n", "below", place).where((F.col("place") < F.col("below")) & (F.col("place") >= F.col("below") - F.col("n")))
+    return [r.v for r in met.select("v", "place").distinct().orderBy("place").collect()]
 
 
 def contour_segments(grid: DataFrame, at: list[float]) -> DataFrame:
@@ -154,7 +155,7 @@ def coverage(points: DataFrame, step_deg: float, reach_m: float) -> DataFrame:
     near = near.withColumn("cy", F.explode(F.sequence(F.col("y0") - ny, F.col("y0") + ny))).withColumn("cx", F.explode(F.sequence(F.col("x0") - F.col("nx"), F.col("x0") + F.col("nx"))))
     d = geo.distance(lat, lon, (F.col("cy") + 0.5) * step_deg, (F.col("cx") + 0.5) * step_deg)
     close = near.withColumn("w", 1 - d / reach_m).where("w > 0").groupBy("cy", "cx", "track").agg(F.max("w").alias("w"))
-    return close.groupBy("cy", "cx").agg(F.sum("w").alias("cover")).withColumn("rank", rank_ratio(F.col("cover")))
+    return ranked(close.groupBy("cy", "cx").agg(F.sum("w").alias("cover")), "cover").select("cy", "cx", "cover", "rank")
 
 
 def _grid(spark, d):
