@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import gc
 import os
-import re
-import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut, shared_dir  # noqa: F401  cut is used by the operators
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table; any others are pruned, so their names can't clash. Workers import from the repository's root."""
@@ -22,23 +22,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, a new local one in a local session, else an error."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        own = sc.getConf().get("spark.checkpoint.dir", None)
-        if not own and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(own or f"file://{tempfile.mkdtemp(prefix='spark-')}")
-    return sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
