@@ -285,13 +285,13 @@ def _ways(spark, d):
 
 
 def _walked_records(spark, d):
-    """Real passages and controls of the events' walk, an hour as a second."""
+    """Real passages and controls of the events' walk, five and a half hours as a second: an event every two seconds or so."""
     from .junction_turns import classified, street_walk, streets
 
-    p = street_walk(spark, d).withColumn("t", F.col("t") / 3600)
-    found = cut(classified(p, streets(spark, d), with_controls=True)).select("track", "key", F.when(F.col("decision") == "control", "control").otherwise(F.col("decision")).alias("decision"), "t", "enter", "exit")
+    p = street_walk(spark, d).withColumn("t", F.col("t") / 20_000)
+    found = cut(classified(p, streets(spark, d), with_controls=True)).select("track", "key", "decision", "t", "enter", "exit")
     series = p.select("track", "t", F.col("value").alias("phasic"), (F.col("value") / 2).alias("tonic"), (F.col("value") > 60).alias("is_peak"))
-    return responses(found, series, 240.0, share=0.3)
+    return responses(found, series, 40.0, share=0.3)
 
 
 #: The streets of ``junction_turns`` for the oracle: blocks of 60 m, 20 events each.
