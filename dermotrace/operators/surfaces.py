@@ -1,16 +1,13 @@
 """Grids as rows (cy, cx, v): blur, upsampling, shading, levels and contour lines, all by equi-joins of a cell with its neighbours.
 
 A stencil is exploded from each cell and summed by the cell that it reaches, which combines before the shuffle; a cell
-without a value isn't there. Squares of four cells give their own contour segments. Only the joining of segments to
-lines looks at a whole level at once.
+without a value isn't there. Squares of four cells give their own contour segments.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,40 +108,6 @@ def contour_segments(grid: DataFrame, at: list[float]) -> DataFrame:
     return out.select("level", F.col("l.p.y").alias("y1"), F.col("l.p.x").alias("x1"), F.col("l.q.y").alias("y2"), F.col("l.q.x").alias("x2"))
 
 
-def stitched(segments: list[tuple[float, float, float, float]]) -> list[list[tuple[float, float]]]:
-    """Lines of segments that share an end; closed ones end where they begin."""
-    key = lambda y, x: (round(y, 9), round(x, 9))
-    ends: dict[tuple, list[int]] = defaultdict(list)
-    for i, (a, b, c, d) in enumerate(segments):
-        ends[key(a, b)].append(i)
-        ends[key(c, d)].append(i)
-    used, out = set(), []
-    # open lines from their ends first, then what is left is closed
-    for start in [k for k, v in ends.items() if len(v) % 2] + list(ends):
-        while free := [i for i in ends[start] if i not in used]:
-            line, at = [start], start
-            while free:
-                i = free[0]
-                used.add(i)
-                a, b = key(*segments[i][:2]), key(*segments[i][2:])
-                at = b if a == at else a
-                line.append(at)
-                free = [j for j in ends[at] if j not in used]
-            out.append(line)
-    return out
-
-
-def contour_lines(segments: DataFrame) -> DataFrame:
-    """(level, line, closed, points array<struct<y,x>>): one Arrow group a level."""
-
-    def run(table: pa.Table) -> pa.Table:
-        got = stitched(list(zip(*(table.column(c).to_pylist() for c in ("y1", "x1", "y2", "x2")), strict=True)))
-        points = pa.array([[{"y": y, "x": x} for y, x in line] for line in got], pa.list_(pa.struct([("y", pa.float64()), ("x", pa.float64())])))
-        return pa.table({"level": pa.array([table.column("level")[0].as_py()] * len(got), pa.float64()), "line": pa.array(range(len(got)), pa.int32()), "closed": pa.array([line[0] == line[-1] for line in got]), "points": points})
-
-    return segments.groupBy("level").applyInArrow(run, "level double, line int, closed boolean, points array<struct<y:double,x:double>>")
-
-
 def coverage(points: DataFrame, step_deg: float, reach_m: float) -> DataFrame:
     """(cy, cx, cover, rank): for each cell the walks near it, each with its nearest position's closeness, ranked among all cells."""
     lat, lon = F.col("lat"), F.col("lon")
@@ -173,7 +136,6 @@ QUERIES = {
     "surface_shaded": lambda s, d: _round(shaded(_grid(s, d), 111.0, 69.0)),
     "surface_coverage": lambda s, d: _round(coverage(positions(s, d), 0.001, 75.0)),
     "contour_segments": lambda s, d: _round(contour_segments(_grid(s, d), LEVELS), 6),
-    "contour_lines": lambda s, d: contour_lines(contour_segments(_grid(s, d), LEVELS)),
 }
 _G = f"""WITH {POSITIONS_SQL}, v0 AS (SELECT floor(lat / 0.001)::bigint AS cy, floor(lon / 0.001)::bigint AS cx, track, avg(value) AS v FROM p GROUP BY ALL), g AS (SELECT cy, cx, avg(v) AS v FROM v0 GROUP BY cy, cx),
 st AS (SELECT i, j, CASE abs(i) + abs(j) WHEN 0 THEN 4 WHEN 1 THEN 2 ELSE 1 END AS w FROM range(-1, 2) a(i), range(-1, 2) b(j))"""

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from dermotrace.functions import geo
-from dermotrace.operators import junctions, places, surfaces
+from dermotrace.operators import isobands, junctions, places, surfaces
 from pyspark.sql import functions as F
 
 
@@ -60,7 +60,7 @@ def test_contours_of_a_hill(spark):
             fy, fx = math.floor(y), math.floor(x)
             v = hill[fy][fx] + (hill[min(fy + 1, n - 1)][fx] - hill[fy][fx]) * (y - fy) if x == fx else hill[fy][fx] + (hill[fy][min(fx + 1, n - 1)] - hill[fy][fx]) * (x - fx)
             assert v == pytest.approx(r.level)
-    lines = {r.level: r for r in surfaces.contour_lines(segments).collect()}
+    lines = {r.level: r for r in isobands.contour_lines(grid(spark, hill), [40.5, 75.5]).collect()}
     assert set(lines) == {40.5, 75.5} and all(r.closed for r in lines.values())
     for level, r in lines.items():
         far = [math.hypot(p.y - 10, p.x - 10) for p in r.points]
@@ -79,12 +79,6 @@ def test_saddles_and_edges(spark):
     assert surfaces.levels(grid(spark, [[3, 1], [2, 4]]), 3) == [2.0, 3.0, 4.0] and surfaces.levels(grid(spark, [[None]]), 3) == []
 
 
-def test_stitched():
-    square = [(0, 0, 0, 1), (1, 1, 0, 1), (1, 1, 1, 0), (0, 0, 1, 0)]
-    lines = surfaces.stitched([*square, (5, 5, 6, 6), (7, 7, 6, 6)])
-    assert sorted(len(x) for x in lines) == [3, 5] and sum(x[0] == x[-1] for x in lines) == 1
-
-
 def tags(spark, pairs, make):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(pairs)], "i int, tags map<string,string>")
     return [r.v for r in df.orderBy("i").select(make(F.col("tags")).alias("v")).collect()]
