@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: A packet's layout (49 bytes, little-endian) and its mark.
 MAGIC = b"BN"
@@ -93,20 +94,70 @@ def settled(readings: DataFrame, seconds: int = 8) -> DataFrame:
     return windowed(readings, "1 second", f"{seconds} seconds").select("device", "start", "n", "mean")
 
 
-def reanalysed(stream: DataFrame, analyse: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None], store: str, seconds: float = 300.0):
-    """A writer that keeps readings in ``store`` and analyses each device's last ``seconds`` anew with every batch.
-
-    Late rows are stored like any other and so change the next analysis. ``analyse`` and ``write`` are the caller's.
+#: A stream's first watermark is 1970: times since a device's start are set a day later, so that none counts as late.
+ORIGIN_MS = 86_400_000
+
+
+class Trailing(StatefulProcessor):
+    """Holds a device's last readings by second and hands them to ``analyse`` as they grow; see ``trailing``."""
+
+    def __init__(self, analyse: Callable[[pd.DataFrame], pd.DataFrame], seconds: float, every_s: float, warmup: int) -> None:
+        self.analyse, self.window, self.every, self.warmup = analyse, int(seconds * 1000), int(every_s * 1000), warmup
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "second long", "ms array<long>, gsr array<double>")
+        self.told = handle.getValueState("told", "last long, told long, seen long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows))
+        new = new[new["ms"].notna()]
+        last, told, seen = self.told.get() if self.told.exists() else (None, None, 0)
+        if len(new):
+            seen += len(new)
+            before, last = last, max(int(new["ms"].max()), -(1 << 62) if last is None else last)
+            # a second is one entry; a reading that comes again replaces the one of its time
+            new = new[new["ms"] >= last - self.window]
+            for second, part in new.groupby(new["ms"] // 1000):
+                at = (int(second),)
+                values = dict(zip(*self.held.getValue(at), strict=True)) if self.held.containsKey(at) else {}
+                values |= zip(part["ms"].astype("int64").tolist(), part["gsr"].astype(float).tolist(), strict=True)
+                self.held.updateValue(at, (list(values), list(values.values())))
+            for (second,) in [k for k in self.held.keys() if k[0] < (last - self.window) // 1000]:
+                self.held.removeKey((second,))
+            if last != before:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(last + self.window + ORIGIN_MS)
+            due = told is None or seen <= self.warmup or last - told >= self.every
+            if due:
+                told = last
+            self.told.update((last, told, seen))
+            if due:
+                rows_ = sorted((ms, gsr) for ms_, gsr_ in self.held.values() for ms, gsr in zip(ms_, gsr_, strict=True) if ms >= last - self.window)
+                out = self.analyse(pd.DataFrame(rows_, columns=["ms", "gsr"]))
+                out.insert(0, "device", key[0])
+                out.insert(1, "at", last)
+                yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """The watermark is a whole window past the last reading: nothing that is held can count again."""
+        self.held.clear()
+        self.told.clear()
+        yield from ()
+
+
+def trailing(readings: DataFrame, analyse: Callable[[pd.DataFrame], pd.DataFrame], schema: str, seconds: float = 300.0, every_s: float = 1.5, warmup: int = 400, late: str = "60 seconds") -> DataFrame:
+    """(device, at, *schema) of a stream (device, ms, gsr): ``analyse`` over each device's last ``seconds``, up to its reading ``at``.
+
+    A batch's readings come first, then at most one analysis of a device: with every batch through its first ``warmup``
+    readings, after that once its readings have gone on by ``every_s``. This is the readings' clock, so that a batch that
+    is run again gives the same rows. Readings of one time replace each other, late ones included, up to the watermark
+    ``late``; one without a time is left out, one without a value is NaN. The state is one window a device and goes once the
+    watermark is a window past its last reading; nothing is read again. Needs the RocksDB state store.
     """
-
-    def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("append").parquet(store)
-        rows = batch.sparkSession.read.parquet(store)
-        last = rows.groupBy("device").agg(F.max("ms").alias("_last"))
-        recent = rows.join(last, "device").where(F.col("ms") > F.col("_last") - seconds * 1000).drop("_last")
-        write(analyse(recent), number)
-
-    return stream.writeStream.foreachBatch(each)
+    timed = readings.select("device", "ms", "gsr", F.timestamp_millis(F.col("ms") + ORIGIN_MS).alias("time")).withWatermark("time", late)
+    return timed.groupBy("device").transformWithStateInPandas(Trailing(analyse, seconds, every_s, warmup), f"device string, at long, {schema}", "append", "EventTime")
 
 
 def windowed(readings: DataFrame, width: str = "10 seconds", late: str = "30 seconds") -> DataFrame:

@@ -80,11 +80,55 @@ def test_latest(spark):
     assert {(r.band, r.level) for r in live.latest_of_bands(df).collect()} == {(1, -60.0), (2, -70.0)}
 
 
-def test_reanalysed(spark, readings, tmp_path):
-    path, schema = readings
-    seen = {}
-    analyse = lambda df: df.groupBy("device").agg(F.count("*").alias("n"), F.min("ms").alias("first"))
-    write = lambda df, number: seen.update({number: {r.device: (r.n, r.first) for r in df.collect()}})
-    query = live.reanalysed(source(spark, path, schema), analyse, write, str(tmp_path / "store"), 30.0).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination(180)
-    assert query.exception() is None and seen[max(seen)] == {"a": (1, 60000), "b": (6, 0)} and len(seen) > 1
+def plain_trailing(batches, seconds, every_s, warmup):
+    held, told, seen, out = {}, {}, {}, []
+    for batch in batches:
+        for device in sorted({r[0] for r in batch}):
+            mine = held.setdefault(device, {})
+            new = [(ms, v) for d, ms, v in batch if d == device]
+            seen[device] = seen.get(device, 0) + len(new)
+            mine.update(new)
+            last = max(mine)
+            for ms in [k for k in mine if k < last - seconds * 1000]:
+                del mine[ms]
+            if device not in told or seen[device] <= warmup or last - told[device] >= every_s * 1000:
+                told[device] = last
+                out.append((device, last, len(mine), min(mine), sum(mine.values())))
+    return sorted(out)
+
+
+def test_trailing(spark, tmp_path):
+    """Late and repeated readings, a device that stops, batch by batch; the state stays within the window."""
+
+    def shape(window):
+        import pandas as pd
+
+        return pd.DataFrame({"n": [len(window)], "first": [int(window["ms"].min())], "total": [float(window["gsr"].sum())]})
+
+    schema, batches = "device string, ms long, gsr double", []
+    for k in range(12):
+        batch = [("a", 1000 * k + 100 * i, float(k)) for i in range(10)]
+        if k == 5:
+            batch += [("a", 3300, 50.0), ("a", 4100, 7.0)]  # late: values of these times are replaced
+        if k < 2:
+            batch += [("b", 1000 * k, 1.0)]
+        batches.append(batch)
+    batches.append([("a", 11900, 9.0)])  # comes again with another value, no time has gone by
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in (batches[:6], batches[6:]):  # the second run goes on from the state of the first
+            for batch in part:
+                spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = live.trailing(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), shape, "n long, first long, total double", 4.0, 1.5, 40, "3 seconds")
+            query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+            query.awaitTermination(180)
+            assert query.exception() is None
+        states = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+    finally:
+        spark.conf.set(provider, old)
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert got == plain_trailing(batches, 4.0, 1.5, 40) and {r[0] for r in got} == {"a", "b"}
+    # five seconds of one device, its counts, its timer in two places: the other device is gone
+    assert states and states[-1]["numRowsTotal"] <= 9
