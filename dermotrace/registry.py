@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES (name -> callable) and ORACLE_SQL (name -> SQL).
-MODULES: tuple[str, ...] = ("operators.windows", "operators.islands", "operators.joins", "operators.statistics", "operators.signal", "operators.trajectory", "operators.indices", "operators.spatial", "operators.enrichment", "operators.spectral", "operators.formats", "operators.quality", "operators.delay", "operators.disconnects", "operators.inference", "operators.surfaces", "operators.isobands", "operators.places", "operators.junctions", "operators.junction_turns", "operators.map_pieces", "operators.revisits", "operators.responses", "operators.radio")
+MODULES: tuple[str, ...] = ("operators.windows", "operators.islands", "operators.joins", "operators.statistics", "operators.signal", "operators.trajectory", "operators.indices", "operators.spatial", "operators.enrichment", "operators.spectral", "operators.formats", "operators.quality", "operators.delay", "operators.disconnects", "operators.inference", "operators.surfaces", "operators.isobands", "operators.discs", "operators.places", "operators.junctions", "operators.junction_turns", "operators.map_pieces", "operators.revisits", "operators.responses", "operators.radio")
 
 
 def _all(attribute: str) -> dict:
