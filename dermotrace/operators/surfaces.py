@@ -51,6 +51,58 @@ def upsampled(grid: DataFrame, factor: int) -> DataFrame:
     return fine.select((F.col("cy") * factor + F.col("i")).alias("cy"), (F.col("cx") * factor + F.col("j")).alias("cx"), v.alias("v"))
 
 
+def smooth(grid: DataFrame, factor: int) -> DataFrame:
+    """``factor`` cells to a side between cells, on the bicubic (Catmull-Rom) surface where all sixteen cells around are there.
+
+    Elsewhere bilinear over those of the four corners that are there, their weights made up to one; nothing where these
+    weigh nothing. A cell whose value is null or NaN isn't there.
+    """
+    around = range(-1, 3)
+    met = _spread(grid.where(F.col("v").isNotNull() & ~F.isnan("v")), [(i, j, 1.0) for i in around for j in around])
+    at = lambda i, j: F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("v"))).alias(f"v{i}{j}")
+    squares = met.groupBy("cy", "cx").agg(F.count("*").alias("n"), *(at(i, j) for i in around for j in around))
+    corners = [(0, 0), (0, 1), (1, 0), (1, 1)]
+    steps = F.sequence(F.lit(0), F.lit(factor - 1))
+    fine = squares.where(F.coalesce(*(F.col(f"v{i}{j}") for i, j in corners)).isNotNull()).withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps))
+    y, x = F.col("_i") / factor, F.col("_j") / factor
+    cubic = lambda t: {-1: (2 * t * t - t * t * t - t) / 2, 0: (3 * t * t * t - 5 * t * t + 2) / 2, 1: (4 * t * t - 3 * t * t * t + t) / 2, 2: (t * t * t - t * t) / 2}
+    linear = lambda t: {0: 1 - t, 1: t}
+    full = sum(F.col(f"v{i}{j}") * cubic(y)[i] * cubic(x)[j] for i in around for j in around)
+    part = sum(F.coalesce(F.col(f"v{i}{j}"), F.lit(0.0)) * linear(y)[i] * linear(x)[j] for i, j in corners)
+    weight = sum(F.when(F.col(f"v{i}{j}").isNotNull(), linear(y)[i] * linear(x)[j]).otherwise(0.0) for i, j in corners)
+    v = F.when(F.col("n") == 16, full).when(weight > 1e-6, part / weight)
+    return fine.select((F.col("cy") * factor + F.col("_i")).alias("cy"), (F.col("cx") * factor + F.col("_j")).alias("cx"), v.alias("v")).where("v is not null")
+
+
+def corridor(points: DataFrame, step_deg: float, reach_m: float, longest_m: float) -> DataFrame:
+    """(cy, cx, d): how far each cell's centre is from the nearest stretch of a walk, for cells within ``reach_m``.
+
+    A stretch joins positions that follow each other in a track; one of over ``longest_m`` is a gap and covers nothing. A
+    lone position counts as itself. Stretches are cut where they are longer than a cell, and each piece reaches the
+    cells around its middle only, so that a long one doesn't cover the whole box that it spans.
+    """
+    w = Window.partitionBy("track").orderBy("t", "idx")
+    ends = points.where("lat is not null and lon is not null").select("lat", "lon", F.lead("lat").over(w).alias("lat2"), (F.col("lon") + geo.lon_difference(F.col("lon"), F.lead("lon").over(w))).alias("lon2"))
+    cell_m = step_deg * geo.DEGREE_M
+    long = geo.distance(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
+    gap = F.coalesce(long > longest_m, F.lit(True))
+    ends = ends.select("lat", "lon", *(F.when(gap, F.col(a)).otherwise(F.col(b)).alias(b) for a, b in (("lat", "lat2"), ("lon", "lon2"))), F.when(gap, 1).otherwise(F.greatest(F.lit(1), F.ceil(long / cell_m))).alias("parts"))
+    ends = ends.distinct()  # a stretch that is walked again is no nearer
+    piece = ends.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("parts").cast("int"))))
+    on = lambda a, b, k: F.col(a) + (F.col(b) - F.col(a)) * (k / F.col("parts"))
+    middle = F.col("k") - 0.5
+    y0, x0 = geo.cell(on("lat", "lat2", middle), on("lon", "lon2", middle), step_deg)
+    ny = math.ceil(reach_m / cell_m + 0.5) + 1
+    nx = F.ceil(ny / F.cos(F.radians(F.least(F.lit(89.9), F.greatest(F.abs("lat"), F.abs("lat2")) + reach_m / geo.DEGREE_M))))
+    near = piece.select("lat", "lon", "lat2", "lon2", y0.alias("y0"), x0.alias("x0"), nx.alias("nx"))
+    # what several pieces of a stretch reach is measured for each; the least is kept before the shuffle
+    near = near.withColumn("cy", F.explode(F.sequence(F.col("y0") - ny, F.col("y0") + ny))).withColumn("cx", F.explode(F.sequence(F.col("x0") - F.col("nx"), F.col("x0") + F.col("nx"))))
+    around = round(360 / step_deg)
+    near = near.withColumn("cx", F.pmod(F.col("cx") + around // 2, F.lit(around)) - around // 2)
+    d = geo.segment_distance((F.col("cy") + 0.5) * step_deg, (F.col("cx") + 0.5) * step_deg, F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
+    return near.withColumn("d", d).where(F.col("d") <= reach_m).groupBy("cy", "cx").agg(F.min("d").alias("d"))
+
+
 def shaded(grid: DataFrame, size_y: float, size_x: float, azimuth: float = SUN, altitude: float = HEIGHT, exaggeration: float = 1.0) -> DataFrame:
     """(cy, cx, shade): light on the surface from 0 to 1, by differences over eight neighbours; a missing neighbour is as high as the cell."""
     met = _spread(grid, [(i, j, 1.0) for i in (-1, 0, 1) for j in (-1, 0, 1)])
@@ -133,6 +185,8 @@ LEVELS = [45.0, 50.0, 55.0]
 QUERIES = {
     "surface_blurred": lambda s, d: _round(blurred(_grid(s, d), 2)),
     "surface_fine": lambda s, d: _round(upsampled(_grid(s, d), 3)),
+    "surface_smooth": lambda s, d: _round(smooth(_grid(s, d), 3)),
+    "surface_corridor": lambda s, d: _round(corridor(positions(s, d), 0.001, 75.0, 300.0), 6),
     "surface_shaded": lambda s, d: _round(shaded(_grid(s, d), 111.0, 69.0)),
     "surface_coverage": lambda s, d: _round(coverage(positions(s, d), 0.001, 75.0)),
     "contour_segments": lambda s, d: _round(contour_segments(_grid(s, d), LEVELS), 6),
@@ -144,6 +198,17 @@ _SQ = "q AS (SELECT g.cy, g.cx, g.v AS a, b.v AS b, c.v AS c, d.v AS d FROM g JO
 ORACLE_SQL = {
     "surface_blurred": f"{_G}, g1 AS {_BLUR.format('g')}, g2 AS {_BLUR.format('g1')} SELECT cy, cx, round(v, 8) AS v FROM g2",
     "surface_fine": f"{_G}, {_SQ} SELECT cy * 3 + i AS cy, cx * 3 + j AS cx, round(a * (1 - i / 3) * (1 - j / 3) + b * (1 - i / 3) * (j / 3) + c * (i / 3) * (j / 3) + d * (i / 3) * (1 - j / 3), 8) AS v FROM q, range(3) x(i), range(3) y(j)",
+    "surface_smooth": f"""{_G}, o AS (SELECT i, j FROM range(-1, 3) a(i), range(-1, 3) b(j)),
+sq AS (SELECT cy - i AS cy, cx - j AS cx, i, j, v FROM g, o), k AS (SELECT t AS n, t / 3 AS t FROM range(3) r(t)),
+w AS (SELECT n, i, CASE i WHEN -1 THEN (2 * t ** 2 - t ** 3 - t) / 2 WHEN 0 THEN (3 * t ** 3 - 5 * t ** 2 + 2) / 2 WHEN 1 THEN (4 * t ** 2 - 3 * t ** 3 + t) / 2 ELSE (t ** 3 - t ** 2) / 2 END AS c, CASE i WHEN 0 THEN 1 - t WHEN 1 THEN t ELSE 0 END AS l FROM k, range(-1, 3) r(i)),
+f AS (SELECT cy * 3 + y.n AS cy, cx * 3 + x.n AS cx, count(*) AS n, sum(v * y.c * x.c) AS cubic, sum(v * y.l * x.l) AS lin, sum(y.l * x.l) AS wt FROM sq JOIN w y ON y.i = sq.i JOIN w x ON x.i = sq.j GROUP BY sq.cy, sq.cx, y.n, x.n)
+SELECT cy, cx, round(CASE WHEN n = 16 THEN cubic ELSE lin / wt END, 8) AS v FROM f WHERE n = 16 OR wt > 1e-6""",
+    "surface_corridor": f"""WITH {POSITIONS_SQL}, l AS (SELECT lat, lon, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM p WINDOW w AS (PARTITION BY track ORDER BY t, idx)),
+s AS (SELECT DISTINCT lat, lon, CASE WHEN near THEN lat2 ELSE lat END AS lat2, CASE WHEN near THEN lon2 ELSE lon END AS lon2 FROM (SELECT *, coalesce(sqrt(((lat2 - lat) * 111320) ** 2 + ((lon2 - lon) * 111320 * cos(radians(lat))) ** 2) <= 300, false) AS near FROM l)),
+y AS (SELECT *, unnest(range(floor(least(lat, lat2) / 0.001)::bigint - 2, floor(greatest(lat, lat2) / 0.001)::bigint + 3)) AS cy FROM s), c AS (SELECT *, unnest(range(floor(least(lon, lon2) / 0.001)::bigint - 3, floor(greatest(lon, lon2) / 0.001)::bigint + 4)) AS cx FROM y),
+a AS (SELECT cy, cx, (lon - (cx + 0.5) * 0.001) * k AS ax, (lat - (cy + 0.5) * 0.001) * 111320 AS ay, (lon2 - lon) * k AS dx, (lat2 - lat) * 111320 AS dy FROM (SELECT *, 111320 * cos(radians((cy + 0.5) * 0.001)) AS k FROM c)),
+d AS (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0, least(1, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) ELSE 0 END AS u FROM a)
+SELECT cy, cx, round(min(sqrt((ax + u * dx) ** 2 + (ay + u * dy) ** 2)), 6) AS d FROM d GROUP BY cy, cx HAVING min(sqrt((ax + u * dx) ** 2 + (ay + u * dy) ** 2)) <= 75""",
     "surface_shaded": f"""{_G}, n AS (SELECT g.cy, g.cx, sum(j * (2 - abs(i)) * (coalesce(h.v, g.v) - g.v)) / (8 * 69) AS dx, sum(i * (2 - abs(j)) * (coalesce(h.v, g.v) - g.v)) / (8 * 111) AS dy FROM g, st LEFT JOIN g h ON h.cy = g.cy + i AND h.cx = g.cx + j GROUP BY g.cy, g.cx)
 SELECT cy, cx, round(greatest(0, (cos(radians(45)) - sin(radians(45)) * (sin(radians(315)) * dx + cos(radians(315)) * dy)) / sqrt(1 + dx * dx + dy * dy)), 8) AS shade FROM n""",
     "surface_coverage": f"""WITH {POSITIONS_SQL}, c AS (SELECT track, lat, lon, floor(lat / 0.001)::bigint + i AS cy, floor(lon / 0.001)::bigint + j AS cx FROM p, range(-2, 3) a(i), range(-4, 5) b(j)),
