@@ -146,3 +146,25 @@ def test_forward_filled(spark):
     df = spark.createDataFrame([(1, 0.0, 0, 5.0, True), (1, 1.0, 1, None, False), (1, 2.0, 2, None, True), (1, 3.0, 3, None, False), (1, 4.0, 4, 7.0, True), (1, 5.0, 5, None, False)], "track long, t double, idx long, v double, here boolean")
     assert [r.v for r in env.forward_filled(df, "v").orderBy("idx").collect()] == [5, 5, 5, 5, 7, 7]
     assert [r.v for r in env.forward_filled(df, "v", F.col("here")).orderBy("idx").collect()] == [5, 5, None, None, 7, 7]
+
+
+def test_places_are_no_small_side_of_a_join(spark, tmp_path):
+    """The plan takes rows of a compressed file, 25 places each, for some bytes; they were sent to the driver whole."""
+    spark.range(3000).selectExpr("id % 7 as track", "id * 1.0D as t", "id as idx", "51.5 + id % 5 * 1e-3 as lat", "-0.1 + id % 5 * 1e-3 as lon").write.parquet(f"{tmp_path}/rows")
+    points = spark.read.parquet(f"{tmp_path}/rows")
+    got = env.metrics(points, env.street_elements(spark))
+    plan, sent = got._jdf.queryExecution().executedPlan().toString().splitlines(), []
+    for i, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            depth = line.index("BroadcastExchange")
+            below = next((k for k in range(i + 1, len(plan)) if len(plan[k]) - len(plan[k].lstrip(" :+-")) <= depth), len(plan))
+            sent += [k for k in plan[i:below] if f"{tmp_path.name}/rows" in k]
+    assert not sent
+    rows = got.collect()
+    assert len(rows) == 3000 and len({r[3:] for r in rows}) <= 5
+
+
+def test_rows_without_a_place_stay(spark):
+    points = spark.createDataFrame([(1, 0.0, 1, None, None), (1, 1.0, 2, 51.5, -0.1), (2, 1.0, 2, 51.5, -0.1)], "track long, t double, idx long, lat double, lon double")
+    got = {(r.track, r.idx): r for r in env.metrics(points, env.street_elements(spark)).collect()}
+    assert len(got) == 3 and got[1, 1].road_class == "none" and got[1, 1].dist_major == 999.0 and got[1, 2][3:] == got[2, 2][3:]
