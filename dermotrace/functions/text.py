@@ -88,8 +88,8 @@ def duration(seconds: Column) -> Column:
 
 
 def distance(metres: Column) -> Column:
-    """Whole metres, or kilometres with one decimal."""
-    far = F.concat(F.format_string("%.1f", metres / 1000), F.lit(" km"))
+    """Whole metres, or kilometres with one decimal, that of the number as it is stored: 10.85 lies under its half."""
+    far = F.concat(F.call_function("format_number", metres / 1000, F.lit("0.0")), F.lit(" km"))
     near = F.concat(F.floor(metres + 0.5).cast("string"), F.lit(" m"))
     return F.when(metres.isNull() | F.isnan(metres) | (metres <= 0), "0 m").when(metres >= 1000, far).otherwise(near)
 

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 import oracle
 from dermotrace import registry
-from dermotrace.functions import geo, stats
+from dermotrace.functions import geo, stats, text
 from dermotrace.operators import islands, joins, signal, statistics, windows
 from dermotrace.streaming import live
 from pyspark.sql import functions as F
@@ -186,3 +186,10 @@ def test_sparse_driver_meets_its_conditions():
     rest = x - np.convolve(d, k)[:120]
     gain = np.array([k[: 120 - i] @ rest[i : i + k.size] for i in range(120)])
     assert (gain <= 0.05 + 1e-3).all() and np.allclose(gain[d > 1e-6], 0.05, atol=1e-3) and (d >= 0).all()
+
+
+def test_distance_is_that_of_the_stored_number(spark):
+    """As printf has it: 10.85 is stored under its half, 17.05 over it, and what is a half goes to the even digit."""
+    metres = [350.0 * 31, 550.0 * 31, 23250.0, 7750.0, 1234567.0, 999.5, 1000.0]
+    got = [r.d for r in spark.createDataFrame([(i, m) for i, m in enumerate(metres)], "i long, m double").select("i", text.distance(F.col("m")).alias("d")).orderBy("i").collect()]
+    assert got == [f"{m / 1000:.1f} km" if m >= 1000 else "1000 m" for m in metres] and got[0] == "10.8 km"
