@@ -170,7 +170,9 @@ def coverage(points: DataFrame, step_deg: float, reach_m: float) -> DataFrame:
     near = near.withColumn("cy", F.explode(F.sequence(F.col("y0") - ny, F.col("y0") + ny))).withColumn("cx", F.explode(F.sequence(F.col("x0") - F.col("nx"), F.col("x0") + F.col("nx"))))
     d = geo.distance(lat, lon, (F.col("cy") + 0.5) * step_deg, (F.col("cx") + 0.5) * step_deg)
     close = near.withColumn("w", 1 - d / reach_m).where("w > 0").groupBy("cy", "cx", "track").agg(F.max("w").alias("w"))
-    return ranked(close.groupBy("cy", "cx").agg(F.sum("w").alias("cover")), "cover").select("cy", "cx", "cover", "rank")
+    # exact sums: those of doubles hang on the order of many thousand walks, which no two runs share
+    cover = F.sum(F.col("w").cast("decimal(20,18)")).cast("double")
+    return ranked(close.groupBy("cy", "cx").agg(cover.alias("cover")), "cover").select("cy", "cx", "cover", "rank")
 
 
 def _grid(spark, d):

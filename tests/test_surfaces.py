@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dermotrace.functions import geo
 from dermotrace.operators import surfaces
@@ -57,3 +58,17 @@ def test_corridor(spark):
                     want[key] = min(d, want.get(key, d))
     assert set(got) == set(want) and all(got[k] == pytest.approx(v, abs=1e-6) for k, v in want.items())
     assert any(cx < 0 for _, cx in got)
+
+
+def test_coverage_is_summed_exactly(spark):
+    """Many walks in a cell: the sum is the rounded exact one, whatever the order of rows, so that equal cells share a rank."""
+    rng = np.random.default_rng(5)
+    rows = [(int(k), float(51.5 + y), float(-0.1 + x)) for k, (y, x) in enumerate(rng.uniform(0, 0.0009, (4000, 2)))]
+    df = spark.createDataFrame(rows, "track long, lat double, lon double")
+    got = [{(r.cy, r.cx): (r.cover, r.rank) for r in surfaces.coverage(df.repartition(n).sortWithinPartitions(F.rand(n)), 0.001, 75.0).collect()} for n in (3, 7)]
+    assert got[0] == got[1] and len(got[0]) > 4
+    each = spark.createDataFrame(rows, "track long, lat double, lon double")
+    for (cy, cx), (cover, _) in got[0].items():
+        d = geo.distance(F.col("lat"), F.col("lon"), F.lit((cy + 0.5) * 0.001), F.lit((cx + 0.5) * 0.001))
+        w = [r.w for r in each.select((1 - d / 75.0).alias("w")).collect() if r.w > 0]
+        assert cover == pytest.approx(math.fsum(w), rel=1e-15)
