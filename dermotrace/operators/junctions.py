@@ -1,15 +1,19 @@
 """Junctions of a road network, passages of walks through them, and responses before and after with permutation tests.
 
 Nodes, passages and responses are equi-joins and windows. A permutation test shuffles within walks, so each walk gives the
-sums of its own permutations and Spark adds them up: no test gathers its items, whatever their number.
+sums of its own permutations, tasks add up those of their walks and Spark those of the tasks: no test gathers its items, whatever their number.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,28 +187,88 @@ def adjusted(items: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("v", F.col("v") - F.avg("v").over(walk) + F.avg("v").over(whole))
 
 
-def _permuted(keys: list[str], seed: int):
-    """One walk's sums of side a over all permutations of its flags, as one row."""
+@lru_cache(maxsize=256)
+def _subsets(n: int, k: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), k)), np.int64).reshape(math.comb(n, k), k)
+
+
+def _side_sums(rng: np.random.Generator, v: np.ndarray, k: int) -> np.ndarray:
+    """The sums of k of the values under ``PERMUTATIONS`` permutations: where there are fewer choices of k, each is summed once and they are drawn from."""
+    if math.comb(v.size, k) <= PERMUTATIONS:
+        sums = v[_subsets(v.size, k)].sum(axis=1)
+        return sums[rng.integers(0, sums.size, PERMUTATIONS)]
+    out, rows = np.empty(PERMUTATIONS), max(1, 1_000_000 // v.size)
+    for i in range(0, PERMUTATIONS, rows):
+        part = out[i : i + rows]
+        part[:] = rng.permuted(np.broadcast_to(v, (part.size, v.size)), axis=1)[:, :k].sum(axis=1)
+    return out
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("in_a", "ascending"), ("v", "ascending")])
-        v, a = table.column("v").to_numpy(), table.column("in_a").to_numpy(zero_copy_only=False)
-        own = zlib.crc32(repr([table.column(c)[0].as_py() for c in (*keys, "track")]).encode())
-        rng, n = np.random.default_rng([seed, own]), int(a.sum())
-        sums = np.array([rng.permutation(v)[:n].sum() for _ in range(PERMUTATIONS)])
-        one = {c: table.column(c).slice(0, 1) for c in keys}
-        return pa.table({**one, "n_a": pa.array([n], pa.int64()), "n": pa.array([v.size], pa.int64()), "sum_a": pa.array([float(v[a].sum())]), "total": pa.array([float(v.sum())]), "sums": pa.array([sums], pa.list_(pa.float64()))})
+
+#: Tests whose sums a task holds at once; more are handed on in parts.
+HELD = 200
+
+
+def _permuted(keys: list[str], seed: int):
+    """A task's walks (rows by keys and track, a walk's together) added up: for each test one row with the sums of side a over all permutations."""
+
+    def run(batches):
+        held: dict[tuple, list] = {}
+        schema = None
+
+        def add(walk: pa.Table):
+            walk = walk.sort_by([("in_a", "ascending"), ("v", "ascending")])
+            v, a = walk.column("v").to_numpy(), walk.column("in_a").to_numpy(zero_copy_only=False)
+            test = tuple(walk.column(c)[0].as_py() for c in keys)
+            own = zlib.crc32(repr([*test, walk.column("track")[0].as_py()]).encode())
+            rng, n = np.random.default_rng([seed, own]), int(a.sum())
+            row = held.setdefault(test, [0, 0, 0, 0.0, 0.0, np.zeros(PERMUTATIONS)])
+            for i, x in enumerate((n, v.size, 1, float(v[a].sum()), float(v.sum()))):
+                row[i] += x
+            row[5] += _side_sums(rng, v, n)
+
+        def handed():
+            rows = list(held.values())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            cols = {c: pa.array([t[i] for t in held], schema.field(c).type) for i, c in enumerate(keys)}
+            cols |= {c: pa.array([r[i] for r in rows], kinds[i]) for i, c in enumerate(("n_a", "n", "walks", "sum_a", "total"))}
+            out = pa.RecordBatch.from_pydict(cols | {"sums": pa.array([r[5] for r in rows], pa.list_(pa.float64()))})
+            held.clear()
+            return out
+
+        rest = None  # the last walk goes on in the next batch, perhaps
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if not table.num_rows:
+                continue
+            schema, table = table.schema, table.combine_chunks()
+            new = np.zeros(table.num_rows, bool)
+            for c in (*keys, "track"):
+                x = table.column(c)
+                new[1:] |= pc.fill_null(pc.not_equal(x.slice(1), x.slice(0, table.num_rows - 1)), True).to_numpy(zero_copy_only=False)
+            ends = np.flatnonzero(new)
+            for i, j in zip([0, *ends[:-1]], ends):
+                add(table.slice(i, j - i))
+                if len(held) >= HELD:
+                    yield handed()
+            rest = table.slice(ends[-1]) if ends.size else table
+        if rest is not None:
+            add(rest)
+        if held:
+            yield handed()
 
     return run
 
 
 def permutation_tests(items: DataFrame, keys: list[str], seed: int = 1) -> DataFrame:
-    """(keys, n_a, n_b, walks, mean_a, mean_b, p) of the difference of means, flags shuffled within walks; p is null with under two on a side."""
+    """(keys, n_a, n_b, walks, mean_a, mean_b, p) of the difference of means, flags shuffled within walks; p is null with under two on a side.
+
+    A task adds up the sums of its walks, so that what is written grows with tasks and tests, and not with walks.
+    """
     kinds = ", ".join(f"{k} {dict(items.dtypes)[k]}" for k in keys)
-    walks = items.select(*keys, "track", "in_a", "v").groupBy(*keys, "track").applyInArrow(_permuted(keys, seed), f"{kinds}, n_a long, n long, sum_a double, total double, sums array<double>")
-    walks = cut(walks)
-    whole = walks.groupBy(*keys).agg(F.sum("n_a").alias("n_a"), (F.sum("n") - F.sum("n_a")).alias("n_b"), F.count("*").alias("walks"), F.sum("sum_a").alias("sum_a"), F.sum("total").alias("total"))
-    each = walks.select(*keys, F.posexplode("sums").alias("i", "s")).groupBy(*keys, "i").agg(F.sum("s").alias("s"))  # combined before the shuffle: some thousand rows a test
+    dealt = items.select(*keys, "track", "in_a", F.col("v").cast("double").alias("v")).repartition(*keys, "track").sortWithinPartitions(*keys, "track")
+    parts = cut(dealt.mapInArrow(_permuted(keys, seed), f"{kinds}, n_a long, n long, walks long, sum_a double, total double, sums array<double>"))
+    whole = parts.groupBy(*keys).agg(F.sum("n_a").alias("n_a"), (F.sum("n") - F.sum("n_a")).alias("n_b"), F.sum("walks").alias("walks"), F.sum("sum_a").alias("sum_a"), F.sum("total").alias("total"))
+    each = parts.select(*keys, F.posexplode("sums").alias("i", "s")).groupBy(*keys, "i").agg(F.sum("s").alias("s"))  # combined before the shuffle: some thousand rows a test
     gap = lambda s: F.try_divide(s, F.col("n_a")) - F.try_divide(F.col("total") - s, F.col("n_b"))
     extreme = each.join(whole, keys).groupBy(*keys).agg(F.count_if(F.abs(gap(F.col("s"))) >= F.abs(gap(F.col("sum_a"))) - 1e-12).alias("extreme"))
     out = whole.join(extreme, keys)
@@ -254,7 +318,7 @@ def paired_tests(records: DataFrame, value: str, seed: int = 1) -> DataFrame:
             return pa.table({"gap": pa.array([], pa.float64()), "gaps": pa.array([], pa.list_(pa.float64()))})
         own = zlib.crc32(repr([table.column(c)[0].as_py() for c in ("track", "key")]).encode())
         rng, n = np.random.default_rng([seed, own]), int(a.sum())
-        sums = np.array([rng.permutation(v)[:n].sum() for _ in range(PERMUTATIONS)])
+        sums = _side_sums(rng, v, n)
         gap = lambda s: s / n - (v.sum() - s) / (v.size - n)
         return pa.table({"gap": pa.array([float(gap(v[a].sum()))]), "gaps": pa.array([gap(sums)], pa.list_(pa.float64()))})
 

@@ -176,3 +176,16 @@ def test_paired(spark):
 def test_verdict(spark):
     r = spark.createDataFrame([(0.01, 0.02), (0.01, 0.2), (0.5, 0.6), (None, None)], "p double, q double").select(junctions.verdict(F.col("p"), F.col("q")).alias("v")).collect()
     assert [x.v for x in r] == ["supported", "suggestive", "none", "none"]
+
+
+def test_a_task_adds_up_its_walks(spark):
+    """One row a test is written by a task, not one with all sums for each walk; and subsets drawn are those permutations give."""
+    rows = [(f"t{k % 2}", k // 2, i % 2 == 0, float((k * 7 + i * i) % 13)) for k in range(400) for i in range(5)]
+    df = spark.createDataFrame(rows, "test string, track long, in_a boolean, v double").coalesce(1).sortWithinPartitions("test", "track")
+    got = df.mapInArrow(junctions._permuted(["test"], 1), "test string, n_a long, n long, walks long, sum_a double, total double, sums array<double>").collect()
+    assert [(r.test, r.walks, r.n, r.n_a) for r in got] == [("t0", 200, 1000, 600), ("t1", 200, 1000, 600)]
+    assert sum(r.total for r in got) == sum(r[3] for r in rows) and sum(r.sum_a for r in got) == sum(r[3] for r in rows if r[2])
+    for v, k in ((np.arange(6.0) ** 2, 3), (np.arange(40.0), 15), (np.arange(3.0), 0), (np.arange(3.0), 3)):
+        sums = junctions._side_sums(np.random.default_rng(1), v, k)
+        spread = math.sqrt(k * (v.size - k) / max(1, v.size - 1) * v.var())
+        assert sums.size == 5000 and abs(sums.mean() - k * v.mean()) <= 5 * spread / math.sqrt(5000) and abs(sums.std() - spread) <= 0.05 * spread + 1e-9
