@@ -56,8 +56,10 @@ def visits(walk: DataFrame, found: DataFrame, near: DataFrame, ways: DataFrame)
     A point on a road meets the nodes of its own way, a point on a pavement, which makes no node, those of any.
     """
     pavements = ways.where(junctions.is_adjunct(F.col("tags"))).select(F.col("id").alias("way"), F.lit(True).alias("_pavement"))
-    met = near.join(walk.select("track", "i", "way", "on"), ["track", "i"]).join(found.select("key", "own_ways"), "key").join(pavements, "way", "left")
-    own = F.coalesce(F.array_contains("own_ways", F.col("way")), F.lit(False)) | F.coalesce("_pavement", F.lit(False))
+    # a node's ways are met as rows: a list of them with each point would grow with points times ways
+    owned = found.select("key", F.explode("own_ways").alias("way")).distinct().withColumn("_owned", F.lit(True))
+    met = near.join(walk.select("track", "i", "way", "on"), ["track", "i"]).join(owned, ["key", "way"], "left").join(pavements, "way", "left")
+    own = F.coalesce("_owned", F.lit(False)) | F.coalesce("_pavement", F.lit(False))
     w = Window.partitionBy("track", "key").orderBy("i")
     runs = met.select("track", "key", "i", "d", (F.col("on") & own & (F.col("d") <= PASS_M)).alias("_hit")).withColumn("_run", F.col("i") - F.row_number().over(w))
     return runs.where("_hit").select("track", "key", F.col("_run").alias("visit"), "i", "d")
@@ -104,17 +106,18 @@ def single(walk: DataFrame, ways: DataFrame, found: DataFrame, near: DataFrame)
     """One passage a visit: its nearest hit with two arms at a node that is a choice of ways or a change of their character."""
     hits = cut(visits(walk, found, near, ways).join(walk.select("track", "i", "s", F.struct(*_ROW).alias("here")), ["track", "i"]))
     armed = hits.join(reached(walk, hits.select("track", "i", "s").distinct()), ["track", "i"]).where(_long_enough(F.col("before"), F.col("s"), F.col("after")))
-    armed = armed.join(found.select("key", "lat", "lon", "junction", "degree", "ways"), "key")
+    armed = armed.join(found.select("key", "lat", "lon", "junction", "degree"), "key")
     nearest = F.row_number().over(Window.partitionBy("track", "key", "visit").orderBy("d", "i"))
     armed = cut(armed.withColumn("_rank", nearest).where("_rank = 1 or degree < 3").drop("_rank"))  # a choice takes the nearest hit as it is
 
     bucket = lambda a, b: F.explode(F.sequence(F.floor(a / ARM_M), F.floor(b / ARM_M))).alias("_bucket")
     runs = way_runs(walk).select("track", F.col("way").alias("_way"), "first", "last", bucket(F.col("s0"), F.col("s1")))
-    arms = armed.select("track", "key", "i", "ways", F.col("before.i").alias("a"), F.col("after.i").alias("b"), bucket(F.col("before.s"), F.col("after.s")))
-    met = arms.join(runs, ["track", "_bucket"]).drop("_bucket").distinct()
+    arms = armed.select("track", "key", "i", F.col("before.i").alias("a"), F.col("after.i").alias("b"), bucket(F.col("before.s"), F.col("after.s")))
+    of = found.select("key", F.explode("ways").alias("_way")).distinct().withColumn("_own", F.lit(True))
+    met = arms.join(runs, ["track", "_bucket"]).drop("_bucket").distinct().join(of, ["key", "_way"], "left").withColumn("_own", F.coalesce("_own", F.lit(False)))
     overlap = lambda a, b: F.greatest(F.lit(0).cast("long"), F.least("last", b) - F.greatest("first", a) + 1)
     sides = {"in": (F.col("a"), F.col("i")), "out": (F.col("i"), F.col("b"))}
-    by_way = met.groupBy("track", "key", "i", "_way", F.array_contains("ways", F.col("_way")).alias("_own")).agg(
+    by_way = met.groupBy("track", "key", "i", "_way", "_own").agg(
         *(F.sum(overlap(a, b)).alias(f"n_{k}") for k, (a, b) in sides.items()), *(F.min(F.when(overlap(a, b) > 0, F.greatest("first", a))).alias(f"at_{k}") for k, (a, b) in sides.items())
     )
     best = lambda k: F.max(F.when(F.col(f"n_{k}") > 0, F.struct("_own", f"n_{k}", -F.col(f"at_{k}"), "_way")))["_way"]

@@ -188,3 +188,12 @@ def test_whole_walk(spark, controls):
 
 def test_nodes_sql(spark):
     oracle.same(junctions.QUERIES["junction_nodes"](spark, SF), junctions.ORACLE_SQL["junction_nodes"], SF)
+
+
+def test_ways_on_one_another_are_no_list_of_each_point(spark):
+    """Visits meet a node's ways as rows: no join carries the list of them along with points."""
+    points, ways = junction_turns.street_walk(spark, SF), junction_turns.streets(spark, SF)
+    walk, found = junction_turns.walked(points), junction_turns.crossings(ways)
+    near = junction_turns.near_nodes(walk, found)
+    plan = junction_turns.visits(walk, found, near, ways)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in plan
