@@ -53,6 +53,7 @@ def _roads_near(points: DataFrame, segs: DataFrame) -> DataFrame:
     """(track, piece, a_lat, a_lon, b_lat, b_lon) of all segments that a route from a piece's candidates can reach, by cells."""
     size = ROUTE_M + SEARCH_M
     step = size / geo.DEGREE_M
+    segs = segs.select("a_lat", "a_lon", "b_lat", "b_lon").distinct()  # ways on one another are one road of the graph
     bands = segs.withColumn("cy", F.explode(F.sequence(F.floor(F.least("a_lat", "b_lat") / step), F.floor(F.greatest("a_lat", "b_lat") / step))))
     across = geo.lon_difference(F.col("a_lon"), F.col("b_lon"))
     west, n = F.when(across >= 0, F.col("a_lon")).otherwise(F.col("b_lon")), geo.band_columns(F.col("cy"), size)
@@ -75,9 +76,13 @@ class _Piece:
 
     def __init__(self, near: pa.Table, roads: pa.Table):
         self.points: list[list[dict]] = []
+        self.places: dict[tuple, tuple] = {}
+        self.found: dict[tuple, tuple[float, dict]] = {}
         for c in near.sort_by([("i", "ascending"), ("rank", "ascending")]).to_pylist():
-            length = _metres(c["a_lat"], c["a_lon"], c["b_lat"], c["b_lon"])
-            c |= {"length": length, "a": _node(c["a_lat"], c["a_lon"]), "b": _node(c["b_lat"], c["b_lon"])}
+            place = (c["a_lat"], c["a_lon"], c["b_lat"], c["b_lon"])
+            if place not in self.places:
+                self.places[place] = (len(self.places), _metres(*place), _node(*place[:2]), _node(*place[2:]))
+            c["place"], c["length"], c["a"], c["b"] = self.places[place]
             if not self.points or self.points[-1][0]["i"] != c["i"]:
                 self.points.append([])
             self.points[-1].append(c)
@@ -103,6 +108,24 @@ class _Piece:
                     heapq.heappush(queue, (n, other))
         return best
 
+    def _ways(self, start: tuple, limit: float) -> dict[tuple, float]:
+        """Nodes within the limit, and some further on: a search is kept as long as it reaches far enough."""
+        if start not in self.found or self.found[start][0] < limit:
+            reach = max(limit, 2 * self.found[start][0] if start in self.found else 0.0)
+            self.found[start] = (reach, self._from(start, reach))
+        return self.found[start][1]
+
+    def _pair(self, p: dict, q: dict, limit: float, same: bool) -> float:
+        """The route from p to q: along their segment if it is the same one of a way, else over the ends of theirs."""
+        if same:
+            return abs(p["share"] - q["share"]) * p["length"]
+        route = math.inf
+        for e, lead in (("a", p["share"]), ("b", 1 - p["share"])):
+            ways = self._ways(p[e], limit)
+            for f, tail in (("a", q["share"]), ("b", 1 - q["share"])):
+                route = min(route, lead * p["length"] + ways.get(q[f], math.inf) + tail * q["length"])
+        return route if route <= limit else math.inf
+
     def moved(self, k: int) -> np.ndarray:
         """Log weights from the candidates of point k - 1 to those of point k; zeros where the walk was interrupted."""
         was, now = self.points[k - 1], self.points[k]
@@ -114,23 +137,18 @@ class _Piece:
         speeds = [x["speed"] for x in (a, b) if x["speed"] is not None]
         allowed = ((sum(speeds) / len(speeds) if speeds else SPEED_MS) + MARGIN_MS) * dt + MARGIN_M if dt > 0 else math.inf
         scale = geo.DEGREE_M * math.cos(math.radians(a["lat"]))
-        ways: dict[tuple, dict[tuple, float]] = {}
         out = np.empty((len(was), len(now)))
+        made: dict[tuple, float] = {}  # ways on one another differ in nothing but their names
         for i, p in enumerate(was):
             for j, q in enumerate(now):
-                if (p["way"], p["seg"]) == (q["way"], q["seg"]):
-                    route = abs(p["share"] - q["share"]) * p["length"]
-                else:
-                    route = math.inf
-                    for e, lead in (("a", p["share"]), ("b", 1 - p["share"])):
-                        if p[e] not in ways:
-                            ways[p[e]] = self._from(p[e], limit)
-                        for f, tail in (("a", q["share"]), ("b", 1 - q["share"])):
-                            route = min(route, lead * p["length"] + ways[p[e]].get(q[f], math.inf) + tail * q["length"])
-                    route = route if route <= limit else math.inf
-                apart = LOST_M if route == math.inf else abs(gone - route) + max(0.0, route - allowed)
-                step = math.hypot((b["lon"] - a["lon"] - q["s_lon"] + p["s_lon"]) * scale, (b["lat"] - a["lat"] - q["s_lat"] + p["s_lat"]) * geo.DEGREE_M)
-                out[i, j] = -(apart + step) / BETA_M - math.log(BETA_M)
+                same = p["way"] == q["way"] and p["seg"] == q["seg"]
+                key = (p["place"], q["place"], same)
+                if key not in made:
+                    route = self._pair(p, q, limit, same)
+                    apart = LOST_M if route == math.inf else abs(gone - route) + max(0.0, route - allowed)
+                    step = math.hypot((b["lon"] - a["lon"] - q["s_lon"] + p["s_lon"]) * scale, (b["lat"] - a["lat"] - q["s_lat"] + p["s_lat"]) * geo.DEGREE_M)
+                    made[key] = -(apart + step) / BETA_M - math.log(BETA_M)
+                out[i, j] = made[key]
         return out
 
 

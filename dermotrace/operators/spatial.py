@@ -75,6 +75,9 @@ def segments(ways: DataFrame) -> DataFrame:
 def candidates(points: DataFrame, segs: DataFrame, reach_m: float = SEARCH_M, most: int = CANDIDATES) -> DataFrame:
     """Segments within reach of each point, the nearest first: a segment lies in the cells its box and reach touch."""
     size = 4 * reach_m
+    if most < 1 << 30:  # of segments on one another, as far from any point, only the first can be among its nearest
+        same = Window.partitionBy("a_lat", "a_lon", "b_lat", "b_lon").orderBy("way", "seg")
+        segs = segs.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= most).drop("_copy")
     step, pad = size / geo.DEGREE_M, reach_m / geo.DEGREE_M
     low, high = F.least("a_lat", "b_lat") - pad, F.greatest("a_lat", "b_lat") + pad
     bands = segs.withColumn("cy", F.explode(F.sequence(F.floor(low / step), F.floor(high / step))))

@@ -96,3 +96,17 @@ def test_whole_walk(spark):
     assert len(got) == n and all(r.off_m <= 40 for r in got)
     true = {(r.track, r.idx): r.way for r in junction_turns.street_walk(spark, sf).collect()}
     assert sum(true[r.track, r.idx] == r.way for r in got) > 0.9 * n
+
+
+def test_ways_on_one_another(spark):
+    """A hundred ways on each street: the nearest ten candidates are those of all, and a piece has each road once."""
+    ways = [(k, [(60 * (k % 3), 60 * x) for x in range(5)]) for k in range(300)]
+    segs = map_pieces.segments(roads(spark, ways))
+    points = fixes(spark, [(1, k, 7.0 * k, 11.0 * k, None) for k in range(20)])
+    got = sorted((r.idx, r["rank"], r.way, r.seg) for r in map_pieces.candidates(points, segs).collect())
+    all_ = map_pieces.candidates(points, segs, most=1 << 30)
+    assert got == sorted((r.idx, r["rank"], r.way, r.seg) for r in all_.where("rank <= 10").collect()) and len(got) == 200
+    pieces = points.selectExpr("track", "0L as piece", "lat", "lon")
+    assert map_pieces._roads_near(pieces, segs).count() == 12
+    bounded = map_pieces.candidates(points, segs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_copy" in bounded
