@@ -1,13 +1,15 @@
 """Per-track recurrences that frames can't express: zero-phase filters, decomposition, peaks, deconvolution.
 
-Each kernel is plain numpy on one track's samples in time order and runs as one Arrow group a track. A track is a
-recording by one device, hours long, so a group is bounded by the recording and not by the number of tracks. Null
-values are carried forward (back at the start); a track without any value gives nulls.
+Each kernel is plain numpy on whole tracks' samples in time order: rows are dealt and sorted by track, and a task hands on
+some whole tracks at a time. A track is a recording by one device, hours long, so what a task holds is bounded by the
+recording and not by the number of tracks. Null values are carried forward (back at the start); a track without any value
+gives nulls.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -348,19 +350,65 @@ def pursue(x: np.ndarray, k: np.ndarray, least: float, most: int | None = None)
     return pursued(x, k, least, most)[0]
 
 
-def per_track(df: DataFrame, column: str, out: dict[str, str], kernel_: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
-    """(track, t, idx) with the columns that the kernel makes from (times, values) of each track in time order."""
+#: Rows that a task gathers before whole tracks go to a kernel.
+GATHERED = 16384
+
+Track = tuple[np.ndarray, np.ndarray]
+
+
+def runs(batches: Iterator[pa.RecordBatch], made: Callable[[list[pa.Table]], pa.Table], key: str = "track", rows: int = GATHERED) -> Iterator[pa.RecordBatch]:
+    """``made`` of the whole tracks in turn, some at a time, of batches in the tracks' order; the last track waits for its end."""
+    kept: list[pa.RecordBatch] = []
+    held = 0
+
+    def split(last: bool) -> list[pa.Table]:
+        table = pa.Table.from_batches(kept).combine_chunks()
+        codes = table.column(key).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), table.num_rows]
+        parts = [table.slice(a, b - a) for a, b in itertools.pairwise(edges)]
+        kept[:] = [] if last else parts.pop().to_batches()
+        return parts
+
+    for batch in batches:
+        if batch.num_rows:
+            kept.append(batch)
+            held += batch.num_rows
+            if held >= rows:
+                if parts := split(False):
+                    yield from made(parts).to_batches()
+                held = 0  # a long track is looked at again after as many new rows
+    if kept:
+        yield from made(split(True)).to_batches()
+
+
+def in_tracks(df: DataFrame, made: Callable[[list[pa.Table]], pa.Table], schema: T.StructType | str, order: tuple[str, ...] = ("t", "idx"), rows: int = GATHERED) -> DataFrame:
+    """``made`` of lists of whole tracks, each in order: one shuffle and one sort, no group call a track.
+
+    The number of partitions is fixed: kernels cost far more than their rows' size tells, by which Spark would join partitions.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, "track").sortWithinPartitions("track", *order).mapInArrow(lambda batches: runs(batches, made, rows=rows), schema)
+
+
+def per_tracks(df: DataFrame, column: str, out: dict[str, str], kernel_: Callable[[list[Track]], list[dict[str, np.ndarray]]]) -> DataFrame:
+    """(track, t, idx) with the columns that the kernel makes from some tracks' (times, values) in time order."""
     schema = T.StructType([*(df.schema[c] for c in ("track", "t", "idx")), *(T.StructField(k, T.DoubleType() if v == "double" else T.BooleanType()) for k, v in out.items())])
+    kinds = {"double": pa.float64(), "boolean": pa.bool_()}
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("t", "ascending"), ("idx", "ascending")])
-        x = filled(table.column(column).to_numpy().astype(float))
-        made = kernel_(table.column("t").to_numpy().astype(float), x) if not np.isnan(x).all() else {}
-        kinds = {"double": pa.float64(), "boolean": pa.bool_()}
-        columns = [pa.array(made[k], kinds[v], from_pandas=True) if k in made else pa.nulls(x.size, kinds[v]) for k, v in out.items()]
-        return pa.table([*(table.column(c) for c in ("track", "t", "idx")), *columns], names=["track", "t", "idx", *out])
+    def run(tracks: list[pa.Table]) -> pa.Table:
+        series = [(part.column("t").to_numpy().astype(float), filled(part.column(column).to_numpy().astype(float))) for part in tracks]
+        some = [i for i, (_, x) in enumerate(series) if not np.isnan(x).all()]
+        found = dict(zip(some, kernel_([series[i] for i in some]), strict=True))
+        columns = [pa.chunked_array([pa.array(found[i][k], kinds[v], from_pandas=True) if i in found and k in found[i] else pa.nulls(x.size, kinds[v]) for i, (_, x) in enumerate(series)]).combine_chunks() for k, v in out.items()]
+        table = pa.concat_tables(tracks)
+        return pa.table([*(table.column(c).combine_chunks() for c in ("track", "t", "idx")), *columns], names=["track", "t", "idx", *out])
 
-    return df.select("track", "t", "idx", column).groupBy("track").applyInArrow(run, schema)
+    return in_tracks(df.select("track", "t", "idx", column), run, schema)
+
+
+def per_track(df: DataFrame, column: str, out: dict[str, str], kernel_: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
+    """(track, t, idx) with the columns that the kernel makes from (times, values) of each track in time order."""
+    return per_tracks(df, column, out, lambda tracks: [kernel_(t, x) for t, x in tracks])
 
 
 def smoothed(df: DataFrame, column: str = "value", window: int = 9) -> DataFrame:

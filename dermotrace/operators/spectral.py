@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import events
-from .signal import filled, kernel, per_track
+from .signal import filled, kernel, per_track, per_tracks
 
 #: Window and hop in seconds, and the band (Hz) of sympathetic activity.
 WINDOW_S, HOP_S, BAND = 64.0, 5.0, (0.045, 0.25)
+#: Windows transformed together; samples that are filtered together, and the fewest tracks worth it.
+BLOCK, FILTERED, TOGETHER = 4096, 1 << 21, 8
 #: Rounds after which the sparse driver of a track counts as not converged.
 ROUNDS = 20000
 
@@ -44,12 +48,25 @@ def resampled(t: np.ndarray, x: np.ndarray, fs: float) -> tuple[np.ndarray, np.n
     return at, np.interp(at, t, x)
 
 
-def band_series(t: np.ndarray, x: np.ndarray, fs: float, window_s: float = WINDOW_S, hop_s: float = HOP_S) -> tuple[np.ndarray, np.ndarray]:
+def window_powers(parts: np.ndarray, fs: float, band: tuple[float, float] = BAND) -> np.ndarray:
+    """Band power of each row, a window: that of its Welch density, all rows transformed together."""
+    size = parts.shape[1]
+    w, f = blackman(size), np.fft.rfftfreq(size, 1 / fs)
+    inside = (f >= band[0]) & (f <= band[1])
+    if inside.sum() < 2:
+        return np.zeros(len(parts))
+    p = np.abs(np.fft.rfft((parts - parts.mean(axis=1, keepdims=True)) * w, axis=1)) ** 2 / (fs * (w @ w))
+    p[:, 1 : (size + 1) // 2] *= 2
+    return np.trapezoid(p[:, inside], f[inside], axis=1)
+
+
+def band_series(t: np.ndarray, x: np.ndarray, fs: float, window_s: float = WINDOW_S, hop_s: float = HOP_S, band: tuple[float, float] = BAND) -> tuple[np.ndarray, np.ndarray]:
     """(centre, band power) of each hop; the whole signal where it is shorter than a window."""
     size, hop = round(window_s * fs), max(1, round(hop_s * fs))
-    starts = range(0, max(1, x.size - size + 1), hop)
-    power = [band_power(*welch(x[s : s + size], fs, size)) for s in starts]
-    return np.array([t[0] + (s + min(size, x.size) / 2) / fs for s in starts]), np.array(power)
+    own = min(size, x.size)
+    windows = np.lib.stride_tricks.sliding_window_view(x, own)[::hop]
+    power = np.concatenate([window_powers(windows[i : i + BLOCK], fs, band) for i in range(0, len(windows), BLOCK)])
+    return t[0] + (np.arange(len(windows)) * hop + own / 2) / fs, power
 
 
 Sections = list[tuple[float, float, float, float, float]]
@@ -103,6 +120,56 @@ def sections(sos: Sections, x: np.ndarray, settled: float | None = None) -> np.n
     return x
 
 
+def sections_of(sos: Sections, xs: list[np.ndarray], settled: bool = False) -> list[np.ndarray]:
+    """``sections`` of each signal, to the bit, from rest or settled at its first sample: all step together, the sections one sample apart."""
+    if len(xs) < TOGETHER:
+        return [sections(sos, x, float(x[0]) if settled else None) for x in xs]
+    n, s, m = max(x.size for x in xs), len(sos), len(xs)
+    rows = np.zeros((n + s - 1, m))
+    for i, x in enumerate(xs):
+        rows[: x.size, i] = x
+    b0, b1, b2, a1, a2 = (np.repeat(np.array(c)[:, None], m, axis=1) for c in zip(*sos, strict=True))  # whole: broadcasting costs more than the sums
+    z1, z2, v, y, part = (np.zeros((s, m)) for _ in range(5))  # v: what each section takes
+    if settled:
+        level = rows[0].copy()
+        for j, (c0, c1, c2, d1, d2) in enumerate(sos):
+            gain = (c0 + c1 + c2) / (1 + d1 + d2)
+            z2[j] = (c2 - d2 * gain) * level
+            z1[j] = (c1 - d1 * gain) * level + z2[j]
+            level *= gain
+    begun = [z1.copy(), z2.copy()]
+    for i in range(n + s - 1):
+        v[0] = rows[i]
+        np.multiply(b0, v, out=y)
+        y += z1
+        np.multiply(b1, v, out=z1)
+        np.multiply(a1, y, out=part)
+        z1 -= part
+        z1 += z2
+        np.multiply(b2, v, out=z2)
+        np.multiply(a2, y, out=part)
+        z2 -= part
+        if i < s - 1:  # a section begins when its first sample arrives
+            z1[i + 1 :], z2[i + 1 :] = begun[0][i + 1 :], begun[1][i + 1 :]
+        else:
+            rows[i - s + 1] = y[-1]
+        v[1:] = y[:-1]
+    return [rows[: x.size, i].copy() for i, x in enumerate(xs)]
+
+
+def both_ways_of(sos: Sections, xs: list[np.ndarray]) -> list[np.ndarray]:
+    """``both_ways`` of each signal."""
+    edges = [min(3 * (2 * len(sos) + 1), x.size - 1) for x in xs]
+    some = [i for i, e in enumerate(edges) if e >= 1]
+    ys = [np.concatenate((2 * x[0] - x[e:0:-1], x, 2 * x[-1] - x[-2 : -e - 2 : -1])) for x, e in ((xs[i], edges[i]) for i in some)]
+    for _ in (0, 1):
+        ys = [y[::-1] for y in sections_of(sos, ys, True)]
+    out = [x.copy() for x in xs]
+    for i, y in zip(some, ys, strict=True):
+        out[i] = y[edges[i] : -edges[i]]
+    return out
+
+
 def both_ways(sos: Sections, x: np.ndarray) -> np.ndarray:
     """Zero phase: forward and back over an oddly reflected signal; a short one is reflected as far as it goes."""
     edge = min(3 * (2 * len(sos) + 1), x.size - 1)
@@ -122,12 +189,18 @@ def to_rate(x: np.ndarray, fs: float, rate: float) -> np.ndarray:
     return np.interp(np.arange(int((x.size - 1) / ratio) + 1) * ratio, np.arange(x.size), x)
 
 
+def chains(xs: list[np.ndarray], fs: float) -> list[np.ndarray]:
+    """The band's own signal at 2 Hz of each: two low-passes at 0.8 Hz (forward, then zero phase), then a zero-phase high-pass at 0.01 Hz."""
+    some = [i for i, x in enumerate(xs) if x.size >= 2]
+    low = both_ways_of(chebyshev(8, 0.05, 0.8, fs), sections_of(chebyshev(8, 1.0, 0.8, fs), [xs[i] for i in some]))
+    out = [x[:0] for x in xs]
+    for i, y in zip(some, both_ways_of(highpass(8, 0.01, 2.0), [to_rate(y, fs, 2.0) for y in low]), strict=True):
+        out[i] = y
+    return out
+
+
 def chain(x: np.ndarray, fs: float) -> np.ndarray:
-    """The band's own signal at 2 Hz: two low-passes at 0.8 Hz (forward, then zero phase), then a zero-phase high-pass at 0.01 Hz."""
-    if x.size < 2:
-        return x[:0]
-    low = both_ways(chebyshev(8, 0.05, 0.8, fs), sections(chebyshev(8, 1.0, 0.8, fs), x))
-    return both_ways(highpass(8, 0.01, 2.0), to_rate(low, fs, 2.0))
+    return chains([x], fs)[0]
 
 
 def sympathetic(x: np.ndarray, fs: float) -> tuple[float, float]:
@@ -197,16 +270,29 @@ def sparse(df: DataFrame, column: str = "value", fs: float = 1.0, penalty: float
     return per_track(df, column, {"driver": "double", "converged": "boolean"}, run)
 
 
+def shared_out(sizes: list[int], most: int = FILTERED) -> Iterator[list[int]]:
+    """Places of series of like lengths, as many as have ``most`` samples when padded to the longest."""
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    while order:
+        n = max(1, most // max(1, sizes[order[0]]))
+        yield order[:n]
+        order = order[n:]
+
+
 def sympathetic_series(df: DataFrame, column: str = "value", fs: float = 1.0) -> DataFrame:
     """``power`` at each sample of a track: band power in hops of the chain's signal, brought back to the samples' times."""
 
-    def run(t, x):
-        at, even = resampled(t - t[0], x, fs)
-        low = chain(even, fs)
-        centre, power = band_series(np.array([0.0]), low, 2.0) if low.size else (np.empty(0), np.empty(0))
-        return {"power": at_samples(centre, power, t - t[0])}
-
-    return per_track(df, column, {"power": "double"}, run)
+    def run(tracks):
+        out = [{} for _ in tracks]
+        for places in shared_out([int((t[-1] - t[0]) * fs) + 1 for t, _ in tracks]):
+            even = [resampled(t - t[0], x, fs)[1] for t, x in (tracks[i] for i in places)]
+            for i, low in zip(places, chains(even, fs), strict=True):
+                t = tracks[i][0]
+                centre, power = band_series(np.array([0.0]), low, 2.0) if low.size else (np.empty(0), np.empty(0))
+                out[i] = {"power": at_samples(centre, power, t - t[0])}
+        return out
+
+    return per_tracks(df, column, {"power": "double"}, run)
 
 
 QUERIES = {"spectral_sympathetic": lambda s, d: sympathetic_series(events(s, d).withColumn("t", F.col("t") / 3600), fs=10.0), "spectral_bands": lambda s, d: banded(events(s, d)), "sparse_driver": lambda s, d: sparse(events(s, d))}

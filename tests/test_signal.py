@@ -337,3 +337,53 @@ def test_wavelet_shrinks_noise():
     assert np.mean((better - clean) ** 2) < 0.3 * np.mean((noisy - clean) ** 2)
     low = np.array(wavelet.SCALING)
     assert low.sum() == pytest.approx(2**0.5) and low @ low == pytest.approx(1) and all(abs(low[2 * k :] @ low[: 6 - 2 * k]) < 1e-12 for k in (1, 2))
+
+
+def test_filters_of_many_signals_are_those_of_each():
+    """Signals of any lengths step together, to the bit as each by itself; windows together have each one's power."""
+    rng = np.random.default_rng(9)
+    xs = [rng.normal(size=n) * 50 for n in (1, 2, 3, 5, 30, 31, 200, 200, 333, 1000)]
+    low = spectral.chebyshev(8, 1.0, 0.8, 10.0)
+    for settled in (False, True):
+        got = spectral.sections_of(low, xs, settled)
+        assert all(np.array_equal(g, spectral.sections(low, x, float(x[0]) if settled else None)) for g, x in zip(got, xs, strict=True))
+    assert all(np.array_equal(g, spectral.both_ways(low, x)) for g, x in zip(spectral.both_ways_of(low, xs), xs, strict=True))
+    assert all(np.array_equal(g, spectral.chain(x, 10.0)) for g, x in zip(spectral.chains(xs, 10.0), xs, strict=True))
+    power = spectral.band_series(np.array([0.0]), xs[-1], 2.0)[1]
+    assert np.allclose(power, [spectral.band_power(*spectral.welch(xs[-1][s : s + 128], 2.0, 128)) for s in range(0, 873, 10)], rtol=1e-9)
+    assert sorted(i for places in spectral.shared_out([5, 100, 7, 3], 20) for i in places) == [0, 1, 2, 3] and max(map(len, spectral.shared_out([5, 100, 7, 3], 20))) == 2
+
+
+@pytest.mark.parametrize("size", [1, 3, 4, 100])
+def test_runs_hand_on_whole_tracks(size):
+    """Of batches cut anywhere; a track that fills several, a null track and single rows stay whole and in order."""
+    import pyarrow as pa
+
+    tracks = [None] * 3 + [1] * 9 + [2] + [3] * 4
+    batches = pa.table({"track": pa.array(tracks, pa.int64()), "i": range(len(tracks))}).to_batches(max_chunksize=size)
+    calls = []
+
+    def made(parts):
+        calls.append([(p.column("track")[0].as_py(), p.num_rows) for p in parts])
+        return pa.concat_tables(parts)
+
+    assert [i for b in signal.runs(iter(batches), made, rows=4) for i in b.column("i").to_pylist()] == list(range(len(tracks)))
+    assert sum(calls, []) == [(None, 3), (1, 9), (2, 1), (3, 4)] and (len(calls) > 1 or size == 100)
+
+
+def test_many_tracks_step_together(spark):
+    """The series of a table of 40 tracks is that of each by itself, and no track is a group call."""
+    from pyspark.sql import functions as F
+
+    from dermotrace.operators.spectral import sympathetic_series
+
+    df = spark.range(40 * 30).select((F.col("id") % 40).alias("track"), (F.floor(F.col("id") / 40) * 5.0 + F.col("id") % 7).alias("t"), F.col("id").alias("idx"), (F.col("id") * 37 % 101).cast("double").alias("value"))
+    got = {(r.track, r.idx): r.power for r in sympathetic_series(df, fs=10.0).collect()}
+    assert len(got) == 1200
+    for track in (0, 7, 39):
+        rows = df.where(f"track = {track}").orderBy("t", "idx").collect()
+        t, x = np.array([r.t for r in rows]), np.array([r.value for r in rows])
+        low = spectral.chain(spectral.resampled(t - t[0], x, 10.0)[1], 10.0)
+        assert np.allclose([got[track, r.idx] for r in rows], spectral.at_samples(*spectral.band_series(np.array([0.0]), low, 2.0), t - t[0]))
+    plan = sympathetic_series(df)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInArrow" not in plan
