@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import events
-from .signal import filled, kernel, per_track, per_tracks
+from .signal import filled, in_tracks, kernel, per_track, per_tracks
 
 #: Window and hop in seconds, and the band (Hz) of sympathetic activity.
 WINDOW_S, HOP_S, BAND = 64.0, 5.0, (0.045, 0.25)
@@ -245,19 +245,20 @@ def sparse_driver(x: np.ndarray, k: np.ndarray, penalty: float, rounds: int = 60
 
 
 def banded(df: DataFrame, column: str = "value", fs: float = 1 / 3600, window_s: float = 64 * 3600.0, hop_s: float = 5 * 3600.0, band: tuple[float, float] = (0.045 / 3600, 0.25 / 3600)) -> DataFrame:
-    """(track, t, power): band power in hops; one Arrow group a track, bounded by a recording's length."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("t", "ascending"), ("idx", "ascending")])
-        t, x = table.column("t").to_numpy().astype(float), filled(table.column(column).to_numpy().astype(float))
-        at, even = resampled(t, x, fs)
-        size, hop = round(window_s * fs), max(1, round(hop_s * fs))
-        starts = range(0, max(1, even.size - size + 1), hop)
-        power = [band_power(*welch(even[s : s + size], fs, size), band) for s in starts]
-        centre = [at[0] + (s + min(size, even.size) / 2) / fs for s in starts]
-        return pa.table({"track": pa.array([table.column("track")[0].as_py()] * len(power), pa.int64()), "t": pa.array(centre, pa.float64()), "power": pa.array(power, pa.float64())})
-
-    return df.where(f"{column} is not null").select("track", "t", "idx", column).groupBy("track").applyInArrow(run, "track long, t double, power double")
+    """(track, t, power): band power in hops, a track's windows transformed together; bounded by a recording's length."""
+
+    def run(tracks: list[pa.Table]) -> pa.Table:
+        names, centres, powers = [], [], []
+        for table in tracks:
+            t, x = table.column("t").to_numpy().astype(float), filled(table.column(column).to_numpy().astype(float))
+            at, even = resampled(t, x, fs)
+            centre, power = band_series(at, even, fs, window_s, hop_s, band)
+            names.append(pa.repeat(table.column("track")[0], power.size))
+            centres.append(centre)
+            powers.append(power)
+        return pa.table({"track": pa.chunked_array(names).combine_chunks(), "t": np.concatenate(centres), "power": np.concatenate(powers)})
+
+    return in_tracks(df.where(f"{column} is not null").select("track", "t", "idx", column), run, "track long, t double, power double")
 
 
 def sparse(df: DataFrame, column: str = "value", fs: float = 1.0, penalty: float = 5.0) -> DataFrame:

@@ -375,7 +375,7 @@ def test_many_tracks_step_together(spark):
     """The series of a table of 40 tracks is that of each by itself, and no track is a group call."""
     from pyspark.sql import functions as F
 
-    from dermotrace.operators.spectral import sympathetic_series
+    from dermotrace.operators.spectral import banded, sympathetic_series
 
     df = spark.range(40 * 30).select((F.col("id") % 40).alias("track"), (F.floor(F.col("id") / 40) * 5.0 + F.col("id") % 7).alias("t"), F.col("id").alias("idx"), (F.col("id") * 37 % 101).cast("double").alias("value"))
     got = {(r.track, r.idx): r.power for r in sympathetic_series(df, fs=10.0).collect()}
@@ -385,5 +385,5 @@ def test_many_tracks_step_together(spark):
         t, x = np.array([r.t for r in rows]), np.array([r.value for r in rows])
         low = spectral.chain(spectral.resampled(t - t[0], x, 10.0)[1], 10.0)
         assert np.allclose([got[track, r.idx] for r in rows], spectral.at_samples(*spectral.band_series(np.array([0.0]), low, 2.0), t - t[0]))
-    plan = sympathetic_series(df)._jdf.queryExecution().toString()
-    assert "MapInArrow" in plan and "FlatMapGroupsInArrow" not in plan
+    plans = [q._jdf.queryExecution().toString() for q in (sympathetic_series(df), banded(df))]
+    assert all("MapInArrow" in p and "FlatMapGroupsInArrow" not in p for p in plans)
