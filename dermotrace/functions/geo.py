@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 #: Metres of a degree of latitude, and the mean radius of the earth.
@@ -203,7 +203,26 @@ def centroid(points: Column) -> Column:
 def smoothed_corners(points: Column, closed: bool = False) -> Column:
     """One pass of corner cutting: each side gives the points at its quarters; an open path keeps its ends."""
     n = F.size(points)
+    ends = F.arrays_zip(F.slice(points, 1, F.greatest(n - 1, F.lit(0))).alias("a"), F.slice(points, 2, F.greatest(n - 1, F.lit(0))).alias("b"))
     mix = lambda a, b, w: F.struct((a["lat"] * (1 - w) + b["lat"] * w).alias("lat"), (a["lon"] * (1 - w) + b["lon"] * w).alias("lon"))
-    sides = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.array(mix(points[i], points[i + 1], 0.25), mix(points[i], points[i + 1], 0.75))))
+    sides = F.flatten(F.transform(ends, lambda s: F.array(mix(s["a"], s["b"], 0.25), mix(s["a"], s["b"], 0.75))))
     out = F.concat(sides, F.slice(sides, 1, 1)) if closed else F.concat(F.slice(points, 1, 1), sides, F.slice(points, -1, 1))
     return F.when(n < 3, points).otherwise(out)
+
+
+def ring_summary(points, order: tuple[str, ...]):
+    """(track, area, lat, lon, n, sum_lat): square degrees of each track's positions as a ring, their mean, and size and sum of latitudes of the path after a pass of corner cutting.
+
+    Each position meets the one after it, so a ring of any length is never one value.
+    """
+    w = Window.partitionBy("track").orderBy(*order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = [F.lead(c).over(w) for c in ("lat", "lon")]
+    side = points.select("track", "lat", "lon", after[0].alias("_lat"), *(F.coalesce(a, F.first(c).over(whole)).alias(f"_{c}2") for a, c in zip(after, ("lat", "lon"), strict=True)), F.lag("lat").over(w).alias("_before"))
+    n = F.count("*")
+    ends = F.sum(F.when(F.col("_lat").isNull() | F.col("_before").isNull(), F.col("lat")).otherwise(0.0))
+    cut = ends + F.coalesce(F.sum(F.col("lat") + F.col("_lat")), F.lit(0.0))  # a side gives its quarters: together its ends
+    return side.groupBy("track").agg(
+        F.when(n < 3, 0.0).otherwise(F.abs(F.sum(F.col("lon") * F.col("_lat2") - F.col("_lon2") * F.col("lat"))) / 2).alias("area"),
+        F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.when(n < 3, n).otherwise(2 * n).alias("n"), F.when(n < 3, F.sum("lat")).otherwise(cut).alias("sum_lat"),
+    )

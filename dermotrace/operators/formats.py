@@ -45,11 +45,7 @@ def _boxes(spark, d):
 
 def _rings(spark, d):
     """All positions of each track as a ring: area, centroid, and the path after a pass of corner cutting."""
-    p = positions(spark, d).withColumn("r", F.expr("row_number() over (partition by track order by t, idx)"))
-    rings = p.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("r", "lat", "lon"))).alias("ring"))  # a ring is one value
-    c, cut = geo.centroid(F.col("ring")), geo.smoothed_corners(F.transform("ring", lambda q: F.struct(q["lat"].alias("lat"), q["lon"].alias("lon"))))
-    sums = F.aggregate(cut, F.lit(0.0), lambda s, q: s + q["lat"])
-    return rings.select("track", F.round(geo.ring_area(F.col("ring")) * 1e6, 8).alias("area"), F.round(c["lat"], 8).alias("lat"), F.round(c["lon"], 8).alias("lon"), F.size(cut).alias("n"), F.round(sums, 8).alias("sum_lat"))
+    return geo.ring_summary(positions(spark, d), ("t", "idx")).select("track", F.round(F.col("area") * 1e6, 8).alias("area"), *(F.round(c, 8).alias(c) for c in ("lat", "lon")), F.col("n").cast("int").alias("n"), F.round("sum_lat", 8).alias("sum_lat"))
 
 
 QUERIES = {"format_labels": _labels, "geo_tiles": _tiles, "geo_boxes": _boxes, "geo_rings": _rings}

@@ -193,3 +193,29 @@ def test_distance_is_that_of_the_stored_number(spark):
     metres = [350.0 * 31, 550.0 * 31, 23250.0, 7750.0, 1234567.0, 999.5, 1000.0]
     got = [r.d for r in spark.createDataFrame([(i, m) for i, m in enumerate(metres)], "i long, m double").select("i", text.distance(F.col("m")).alias("d")).orderBy("i").collect()]
     assert got == [f"{m / 1000:.1f} km" if m >= 1000 else "1000 m" for m in metres] and got[0] == "10.8 km"
+
+
+def test_rings_of_any_length(spark):
+    """Rings of 1, 2, 3 and 2000 positions against plain loops; no ring is gathered into one value."""
+    rng = np.random.default_rng(8)
+    rings = {n: rng.uniform(0, 1, (n, 2)) for n in (1, 2, 3, 2000)}
+    df = spark.createDataFrame([(n, float(i // 2), i, float(y), float(x)) for n, r in rings.items() for i, (y, x) in enumerate(r)], "track long, t double, idx long, lat double, lon double")
+    made = geo.ring_summary(df, ("t", "idx"))
+    got = {r.track: r for r in made.collect()}
+    for n, r in rings.items():
+        y, x = r[:, 0], r[:, 1]
+        area = abs(float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum())) / 2 if n > 2 else 0.0
+        path = [y[0], *(v for a, b in zip(y, y[1:]) for v in (0.75 * a + 0.25 * b, 0.25 * a + 0.75 * b)), y[-1]] if n > 2 else list(y)
+        assert (got[n].area, got[n].lat, got[n].lon, got[n].n, got[n].sum_lat) == (pytest.approx(area), pytest.approx(y.mean()), pytest.approx(x.mean()), len(path), pytest.approx(sum(path)))
+    assert "collect_list" not in registry.queries()["geo_rings"](spark, SF)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_corner_cutting_of_an_array(spark, closed):
+    rows = [(i, [(float(k * k % 7), float(k)) for k in range(i)]) for i in range(6)]
+    df = spark.createDataFrame(rows, "i long, p array<struct<lat:double,lon:double>>").withColumn("c", geo.smoothed_corners(F.col("p"), closed))
+    for r in df.collect():
+        p = [tuple(q) for q in r.p]
+        sides = [tuple(a[j] * (1 - w) + b[j] * w for j in (0, 1)) for a, b in zip(p, p[1:]) for w in (0.25, 0.75)]
+        want = p if len(p) < 3 else [*sides, sides[0]] if closed else [p[0], *sides, p[-1]]
+        assert [tuple(q) for q in r.c] == [pytest.approx(q) for q in want]
