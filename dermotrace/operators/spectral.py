@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import events
-from .signal import filled, in_tracks, kernel, per_track, per_tracks
+from .signal import filled, in_tracks, kernel, per_tracks
 
 #: Window and hop in seconds, and the band (Hz) of sympathetic activity.
 WINDOW_S, HOP_S, BAND = 64.0, 5.0, (0.045, 0.25)
@@ -217,12 +217,14 @@ def at_samples(centre: np.ndarray, power: np.ndarray, t: np.ndarray) -> np.ndarr
     return np.interp(t, centre, power) if centre.size else np.zeros(t.size)
 
 
-def sparse_solved(x: np.ndarray, k: np.ndarray, penalty: float, rounds: int = 60) -> tuple[np.ndarray, bool]:
-    """Non-negative lasso by coordinate descent, and whether it converged: d minimises |x - k * d|^2 / 2 + penalty * sum(d)."""
+def sparse_solved(x: np.ndarray, k: np.ndarray, penalty: float, rounds: int = 60, begun: tuple[int, np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, bool]:
+    """Non-negative lasso by coordinate descent, and whether it converged: d minimises |x - k * d|^2 / 2 + penalty * sum(d).
+
+    ``begun``: rounds done, and the driver, rest and active places after them.
+    """
     n, energy = x.size, np.array([float(k[: x.size - i] @ k[: x.size - i]) for i in range(x.size)])
-    driver, rest = np.zeros(n), x.astype(float).copy()
-    active = np.arange(n)
-    for r in range(rounds):
+    first, driver, rest, active = begun or (0, np.zeros(n), x.astype(float).copy(), np.arange(n))
+    for r in range(first, rounds):
         most = 0.0
         for i in active:
             part = k[: n - i]
@@ -240,6 +242,49 @@ def sparse_solved(x: np.ndarray, k: np.ndarray, penalty: float, rounds: int = 60
     return driver, not n
 
 
+def sparse_solved_of(xs: list[np.ndarray], k: np.ndarray, penalty: float, rounds: int = 60) -> list[tuple[np.ndarray, bool]]:
+    """``sparse_solved`` of each signal: all take the same place of a round together, and leave when they have converged.
+
+    Signals end on the same row, so that a kernel is cut at the same place of all.
+    """
+    out: list[tuple[np.ndarray, bool]] = [(np.empty(0), True)] * len(xs)
+    left = np.array([i for i, x in enumerate(xs) if x.size and np.isfinite(x).all()], np.int64)
+    for i in set(range(len(xs))) - set(left.tolist()):
+        out[i] = sparse_solved(xs[i], k, penalty, rounds)
+    n = max((xs[i].size for i in left), default=0)
+    start = np.array([n - xs[i].size for i in left], np.int64)
+    energy = [float(k[: n - i] @ k[: n - i]) for i in range(n)]
+    rest, driver = np.zeros((n, left.size)), np.zeros((n, left.size))
+    for c, i in enumerate(left):
+        rest[start[c] :, c] = xs[i]
+    own = np.arange(n)[:, None] >= start
+    active, r = own, 0
+    while left.size >= TOGETHER and r < rounds:
+        most = np.zeros(left.size)
+        for i in np.flatnonzero(active.any(axis=1)).tolist():
+            part, was = k[: n - i], driver[i]
+            new = np.fmax(0.0, was + (part @ rest[i : i + part.size] - penalty) / energy[i]) if energy[i] else np.zeros(left.size)
+            new = np.where(active[i], new, was)
+            step = new - was
+            if step.any():
+                rest[i : i + part.size] -= part[:, None] * step
+                driver[i] = new
+                most = np.maximum(most, np.abs(step))
+        settled, some = most < 1e-6, driver > 0
+        done = settled & (active == own).all(axis=0)
+        active = np.where(~settled & some.any(axis=0), some, own) if r % 5 else own
+        r += 1
+        if done.any():
+            for c in np.flatnonzero(done):
+                out[left[c]] = driver[start[c] :, c].copy(), True
+            left, start = left[~done], start[~done]
+            rest, driver, own, active = (np.ascontiguousarray(m[:, ~done]) for m in (rest, driver, own, active))
+    for c, i in enumerate(left):
+        begun = r, *(m[start[c] :, c].copy() for m in (driver, rest)), np.flatnonzero(active[start[c] :, c])
+        out[i] = sparse_solved(xs[i], k, penalty, rounds, begun)
+    return out
+
+
 def sparse_driver(x: np.ndarray, k: np.ndarray, penalty: float, rounds: int = 60) -> np.ndarray:
     return sparse_solved(x, k, penalty, rounds)[0]
 
@@ -261,25 +306,29 @@ def banded(df: DataFrame, column: str = "value", fs: float = 1 / 3600, window_s:
     return in_tracks(df.where(f"{column} is not null").select("track", "t", "idx", column), run, "track long, t double, power double")
 
 
-def sparse(df: DataFrame, column: str = "value", fs: float = 1.0, penalty: float = 5.0) -> DataFrame:
-    k = kernel(fs)
-
-    def run(t, x):
-        driver, converged = sparse_solved(x - x.min(), k, penalty, ROUNDS)
-        return {"driver": driver, "converged": np.full(x.size, converged)}
-
-    return per_track(df, column, {"driver": "double", "converged": "boolean"}, run)
-
-
 def shared_out(sizes: list[int], most: int = FILTERED) -> Iterator[list[int]]:
-    """Places of series of like lengths, as many as have ``most`` samples when padded to the longest."""
+    """Places of series of like lengths (half the longest or more), as many as have ``most`` samples when padded to the longest."""
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     while order:
-        n = max(1, most // max(1, sizes[order[0]]))
+        n = max(1, min(most // max(1, sizes[order[0]]), sum(2 * sizes[i] >= sizes[order[0]] for i in order)))
         yield order[:n]
         order = order[n:]
 
 
+def sparse(df: DataFrame, column: str = "value", fs: float = 1.0, penalty: float = 5.0) -> DataFrame:
+    k = kernel(fs)
+
+    def run(tracks):
+        out = [{} for _ in tracks]
+        for places in shared_out([x.size for _, x in tracks]):
+            solved = sparse_solved_of([tracks[i][1] - tracks[i][1].min() for i in places], k, penalty, ROUNDS)
+            for i, (driver, converged) in zip(places, solved, strict=True):
+                out[i] = {"driver": driver, "converged": np.full(driver.size, converged)}
+        return out
+
+    return per_tracks(df, column, {"driver": "double", "converged": "boolean"}, run)
+
+
 def sympathetic_series(df: DataFrame, column: str = "value", fs: float = 1.0) -> DataFrame:
     """``power`` at each sample of a track: band power in hops of the chain's signal, brought back to the samples' times."""
 

@@ -42,3 +42,13 @@ def test_column(spark, make):
     df = spark.createDataFrame([(1, float(i), i, float(i * 37 % 50)) for i in range(700)], "track long, t double, idx long, value double")
     rows = make(df).collect()
     assert len(rows) == 700 and all(r.converged for r in rows) and max(r.t for r in rows if r.driver) > 650
+
+
+@pytest.mark.parametrize("rounds", [1, 3, 40, spectral.ROUNDS])
+def test_drivers_of_many_signals_are_those_of_each(rounds):
+    """All signals take a place together; lengths, rounds and the hand-over of the last few leave each result as it was."""
+    rng, k = np.random.default_rng(4), signal.kernel(1.0)
+    xs = [np.abs(rng.normal(size=n)) * 60 for n in (1, 2, 5, 11, 12, 40, 41, 60, 67, 80, 99, 99)] + [np.zeros(30), np.full(20, 1.0), np.empty(0)]
+    for got, x in zip(spectral.sparse_solved_of(xs, k, 5.0, rounds), xs, strict=True):
+        want = spectral.sparse_solved(x, k, 5.0, rounds)
+        assert got[1] == want[1] and got[0].size == x.size and np.allclose(got[0], want[0], rtol=0, atol=1e-9)
