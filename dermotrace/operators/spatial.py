@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..sources.tables import POSITIONS_SQL, positions
+from .signal import in_tracks
 
 #: Surface (softening and reach in metres, walks of the prior), hotspots (share, separation), map matching.
 SOFTEN_M, REACH_M, PRIOR = 25.0, 75.0, 3.0
 TOP_SHARE, APART_M = 0.02, 30.0
 SIGMA_M, BETA_M, SEARCH_M, CANDIDATES, BREAK_S, BREAK_M, LOST_M = 4.07, 3.0, 40.0, 10, 30.0, 30.0, 1000.0
 
+#: Searches of routes that a track keeps at a time.
+KEPT = 1024
+
 
 def cell_means(points: DataFrame, degrees: float, value: str = "value") -> DataFrame:
     """(cy, cx, tracks, n, mean): a track's mean in a cell is one vote."""
@@ -104,7 +108,7 @@ def routes(graph: dict, start, limit: float) -> dict:
         d, node = heapq.heappop(queue)
         if d > best.get(node, math.inf):
             continue
-        for other, length in graph.get(node, ()):
+        for other, length in graph.get(node, {}).items():
             if (n := d + length) <= limit and n < best.get(other, math.inf):
                 best[other] = n
                 heapq.heappush(queue, (n, other))
@@ -127,27 +131,45 @@ def viterbi(rows: list[dict], lost_m: float = LOST_M) -> list[dict]:
     A step costs the difference between its route and the distance gone, ``lost_m`` at most and where there is no route;
     so routes are searched up to the distance gone and ``lost_m`` more: a longer one can't cost less.
     """
-    node = lambda c, e: (round(c[f"{e}_lat"], 6), round(c[f"{e}_lon"], 6))
-    graph, points = defaultdict(set), []
+    graph, points, nodes = defaultdict(dict), [], {}
+
+    def node(lat, lon):
+        if (at := nodes.get((lat, lon))) is None:
+            at = nodes[lat, lon] = (round(lat, 6), round(lon, 6))
+        return at
+
     for c in rows:
         s, length, d = _project(c["lat"], c["lon"], c)
-        c |= {"s": s, "length": length, "d": d}
-        graph[node(c, "a")].add((node(c, "b"), length))
-        graph[node(c, "b")].add((node(c, "a"), length))
+        a, b = node(c["a_lat"], c["a_lon"]), node(c["b_lat"], c["b_lon"])
+        c |= {"s": s, "length": length, "d": d, "a": a, "b": b}
+        # a segment has a length for each point near it: the least is every route's
+        if length < graph[a].get(b, math.inf):
+            graph[a][b] = length
+        if length < graph[b].get(a, math.inf):
+            graph[b][a] = length
         if not points or points[-1][0]["idx"] != c["idx"]:
             points.append([])
         points[-1].append(c)
-
-    def route(p, q, limit, cache):
+    found: dict = {}
+
+    def ways_from(start, limit):
+        """Nodes within the limit, and some further on: the last searches are kept as long as they reach far enough."""
+        if start not in found or found[start][0] < limit:
+            reach = max(limit, 1.5 * found[start][0]) if start in found else limit
+            if len(found) >= KEPT:
+                found.clear()
+            found[start] = (reach, routes(graph, start, reach))
+        return found[start][1]
+
+    def route(p, q, limit):
         if (p["way"], p["seg"]) == (q["way"], q["seg"]):
             return abs(p["s"] - q["s"]) * p["length"]
         best = math.inf
         for e, lead in (("a", p["s"]), ("b", 1 - p["s"])):
-            key = node(p, e)
-            if key not in cache:
-                cache[key] = routes(graph, key, limit)
+            ways = ways_from(p[e], limit)
             for f, tail in (("a", q["s"]), ("b", 1 - q["s"])):
-                best = min(best, lead * p["length"] + cache[key].get(node(q, f), math.inf) + tail * q["length"])
+                if (along := ways.get(q[f], math.inf)) <= limit:
+                    best = min(best, lead * p["length"] + along + tail * q["length"])
         return best
 
     emit = lambda c: -0.5 * (c["d"] / SIGMA_M) ** 2 - math.log(SIGMA_M * math.sqrt(2 * math.pi))
@@ -172,12 +194,11 @@ def viterbi(rows: list[dict], lost_m: float = LOST_M) -> list[dict]:
             finish(i)
             score, back = [[emit(c) for c in now]], [[0] * len(now)]
             continue
-        cache: dict = {}
         best, come = [], []
         for q in now:
             ways = []
             for k, p in enumerate(points[i - 1]):
-                r = route(p, q, gone + lost_m, cache)
+                r = route(p, q, gone + lost_m)
                 ways.append(score[-1][k] - min(abs(gone - r), lost_m) / BETA_M - math.log(BETA_M))
             k = max(range(len(ways)), key=lambda k: ways[k])
             best.append(ways[k] + emit(q))
@@ -189,23 +210,31 @@ def viterbi(rows: list[dict], lost_m: float = LOST_M) -> list[dict]:
 
 
 def map_matched(points: DataFrame, ways: DataFrame) -> DataFrame:
-    """(track, idx, way, seg, lat, lon, off_m): hidden Markov map matching, one Arrow group a track over its candidates."""
+    """(track, idx, way, seg, lat, lon, off_m): hidden Markov map matching, whole tracks with their candidates.
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.sort_by([("t", "ascending"), ("idx", "ascending"), ("rank", "ascending")]).to_pylist()
-        got = viterbi(rows)
+    Points are dealt by track before they meet the streets: candidates are more rows, and take longer, than points.
+    """
+    schema = pa.schema([("track", pa.int64()), ("idx", pa.int64()), ("way", pa.int64()), ("seg", pa.int32()), ("lat", pa.float64()), ("lon", pa.float64()), ("off_m", pa.float64())])
+
+    def run(tracks: list[pa.Table]) -> pa.Table:
+        got = [c for table in tracks for c in viterbi(table.to_pylist())]
         cols = {"track": [c["track"] for c in got], "idx": [c["idx"] for c in got], "way": [c["way"] for c in got], "seg": [c["seg"] for c in got]}
         cols |= {x: [c[f"a_{x}"] + c["s"] * (c[f"b_{x}"] - c[f"a_{x}"]) for c in got] for x in ("lat", "lon")} | {"off_m": [c["d"] for c in got]}
-        return pa.table(cols, schema=pa.schema([("track", pa.int64()), ("idx", pa.int64()), ("way", pa.int64()), ("seg", pa.int32()), ("lat", pa.float64()), ("lon", pa.float64()), ("off_m", pa.float64())]))
+        return pa.table(cols, schema=schema)
 
-    near = candidates(points, segments(ways))
-    return near.groupBy("track").applyInArrow(run, "track long, idx long, way long, seg int, lat double, lon double, off_m double")
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = candidates(points.repartition(n, "track"), segments(ways)).select("track", "t", "idx", "rank", "lat", "lon", "way", F.col("seg").cast("int").alias("seg"), "a_lat", "a_lon", "b_lat", "b_lon")
+    return in_tracks(near, run, "track long, idx long, way long, seg int, lat double, lon double, off_m double", ("t", "idx", "rank"))
 
 
 def street_grid(spark) -> DataFrame:
-    """A square grid of ways around the derived coordinates, for the registered query."""
-    line = lambda k, along: [(51.5 + (0.0012 * k if along else 0.0012 * j), -0.1 + (0.0012 * j if along else 0.0012 * k)) for j in range(9)]
-    return spark.createDataFrame([(2 * k + along, line(k, bool(along))) for k in range(9) for along in (0, 1)], "way long, nodes array<struct<lat:double,lon:double>>")
+    """A square grid of ways around the derived coordinates, for the registered query.
+
+    Made by Spark, so that its size is known: streets of unknown size had the points sent to every task, or shuffled to few cells.
+    """
+    k, along = F.expr("id div 2"), F.col("id") % 2 == 1
+    place = lambda j: F.struct((F.lit(51.5) + F.lit(0.0012) * F.when(along, k).otherwise(j)).alias("lat"), (F.lit(-0.1) + F.lit(0.0012) * F.when(along, j).otherwise(k)).alias("lon"))
+    return spark.range(0, 18, 1, 1).select(F.col("id").alias("way"), F.transform(F.sequence(F.lit(0), F.lit(8)), place).alias("nodes"))
 
 
 QUERIES = {

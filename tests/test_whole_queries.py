@@ -86,3 +86,28 @@ def test_map_matched_is_the_likeliest(spark):
         if best is None or score > best[0] + 1e-9:
             best = (score, [(c.way, c.seg) for c in chain])
     assert got == best[1]
+
+
+def test_long_walk_searches_its_streets_once(monkeypatch):
+    """Six rounds of a block, 10 s a point: each node's routes are searched a few times, over one edge a segment, and the path is right."""
+    m, streets = 1 / geo.DEGREE_M, [((0, 0), (0, 100)), ((0, 100), (100, 100)), ((100, 100), (100, 0)), ((100, 0), (0, 0))]
+    walk = [(way, s) for _ in range(6) for way in range(4) for s in range(5, 100, 10)]
+    rows = []
+    for i, (way, s) in enumerate(walk):
+        (ay, ax), (by, bx) = streets[way]
+        y, x = ay + (by - ay) * s / 100 + i % 3, ax + (bx - ax) * s / 100 - i % 2
+        near = sorted((math.hypot(*spatial._project(y * m, x * m, c)[2:]), w, c) for w, c in enumerate({"a_lat": a[0] * m, "a_lon": a[1] * m, "b_lat": b[0] * m, "b_lon": b[1] * m} for a, b in streets))
+        rows += [{"track": 1, "t": 10.0 * i, "idx": i, "rank": r, "lat": y * m, "lon": x * m, "way": w, "seg": 0, **c} for r, (d, w, c) in enumerate(near) if d <= 40]
+    calls, edges, routes = [], [], spatial.routes
+    monkeypatch.setattr(spatial, "routes", lambda graph, start, limit: (calls.append(start), edges.append(sum(map(len, graph.values()))), routes(graph, start, limit))[2])
+    got = spatial.viterbi(rows)
+    assert len(got) == len(walk) and all(c["way"] == way for c, (way, s) in zip(got, walk) if 10 < s < 90)
+    assert len(calls) <= 40 and max(edges) == 8
+
+
+def test_street_grid_has_a_known_size(spark):
+    """Its ways, and that Spark knows they are few: else the points are what is sent to every task."""
+    grid = spatial.street_grid(spark)
+    got = {r.way: [tuple(p) for p in r.nodes] for r in grid.collect()}
+    assert got == {2 * k + a: [(51.5 + 0.0012 * (k if a else j), -0.1 + 0.0012 * (j if a else k)) for j in range(9)] for k in range(9) for a in (0, 1)}
+    assert int(str(grid._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 20
