@@ -359,7 +359,7 @@ Track = tuple[np.ndarray, np.ndarray]
 def runs(batches: Iterator[pa.RecordBatch], made: Callable[[list[pa.Table]], pa.Table], key: str = "track", rows: int = GATHERED) -> Iterator[pa.RecordBatch]:
     """``made`` of the whole tracks in turn, some at a time, of batches in the tracks' order; the last track waits for its end."""
     kept: list[pa.RecordBatch] = []
-    held = 0
+    wait = rows
 
     def split(last: bool) -> list[pa.Table]:
         table = pa.Table.from_batches(kept).combine_chunks()
@@ -372,11 +372,11 @@ def runs(batches: Iterator[pa.RecordBatch], made: Callable[[list[pa.Table]], pa.
     for batch in batches:
         if batch.num_rows:
             kept.append(batch)
-            held += batch.num_rows
-            if held >= rows:
-                if parts := split(False):
+            if sum(b.num_rows for b in kept) >= wait:
+                parts = split(False)
+                wait = max(rows, 2 * sum(b.num_rows for b in kept))  # a long track is put together again when it has doubled
+                if parts:
                     yield from made(parts).to_batches()
-                held = 0  # a long track is looked at again after as many new rows
     if kept:
         yield from made(split(True)).to_batches()
 

@@ -387,3 +387,13 @@ def test_many_tracks_step_together(spark):
         assert np.allclose([got[track, r.idx] for r in rows], spectral.at_samples(*spectral.band_series(np.array([0.0]), low, 2.0), t - t[0]))
     plans = [q._jdf.queryExecution().toString() for q in (sympathetic_series(df), banded(df))]
     assert all("MapInArrow" in p and "FlatMapGroupsInArrow" not in p for p in plans)
+
+
+def test_long_track_is_put_together_a_few_times(monkeypatch):
+    """A track of 1000 batches: each row is copied a few times, not once a batch."""
+    import pyarrow as pa
+
+    copied, together = [], pa.Table.from_batches
+    monkeypatch.setattr(signal, "pa", type("", (), {"Table": type("", (), {"from_batches": staticmethod(lambda kept: (copied.append(sum(b.num_rows for b in kept)), together(kept))[1])})}))
+    batches = pa.table({"track": pa.array([1] * 4000 + [2], pa.int64())}).to_batches(max_chunksize=4)
+    assert [b.num_rows for b in signal.runs(iter(batches), pa.concat_tables, rows=4)] and sum(copied) < 4 * 4001
