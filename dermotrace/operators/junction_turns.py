@@ -238,16 +238,16 @@ def streets(spark, d) -> DataFrame:
     t = _trail(spark, d).groupBy("track", "k").agg(F.min("east").alias("east"), F.min("x").alias("x"), F.min("y").alias("y")).withColumn("n", F.col("track") * 1_000_000 + F.col("k") * 4)
     dx, dy = F.when(F.col("east"), 1).otherwise(0), F.when(F.col("east"), 0).otherwise(1)
 
-    def way(part: int, class_: Column, points: list[tuple[Column, Column]], where: Column) -> DataFrame:
+    def way(part: int, class_: Column, points: list[tuple[Column, Column]], where: Column) -> Column:
         at = [_place(F.col("track"), F.col("x") + a, F.col("y") + b) for a, b in points]
         path = F.array(*(F.struct(a.alias("lat"), b.alias("lon")) for a, b in at))
-        return t.where(where).select((F.col("n") + part).alias("id"), F.create_map(F.lit("highway"), class_).alias("tags"), path.alias("path"))
+        return F.when(where, F.struct((F.col("n") + part).alias("id"), F.create_map(F.lit("highway"), class_).alias("tags"), path.alias("path")))
 
     zero = F.lit(0)
     main = way(0, F.when(F.col("k") % 5 == 4, "footway").otherwise("residential"), [(zero, zero), (dx * 12, dy * 12), (dx * BLOCK_M, dy * BLOCK_M)], F.lit(True))
     corner = way(1, F.lit("service"), [(zero, zero), (-dy * 40, -dx * 40)], (F.col("track") + F.col("k")) % 2 == 0)
     behind = way(2, F.lit("tertiary"), [(dx * 12, dy * 12), (dx * 12 - dy * 40, dy * 12 - dx * 40)], (F.col("track") + F.col("k")) % 3 == 0)
-    return main.unionByName(corner).unionByName(behind)
+    return t.select(F.explode(F.array(main, corner, behind)).alias("way")).where("way is not null").select("way.*")
 
 
 def street_walk(spark, d) -> DataFrame:

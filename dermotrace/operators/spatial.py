@@ -76,12 +76,8 @@ def segments(ways: DataFrame) -> DataFrame:
     return at.select("way", "seg", F.col("a.lat").alias("a_lat"), F.col("a.lon").alias("a_lon"), b.lat.alias("b_lat"), b.lon.alias("b_lon")).where("b_lat is not null")
 
 
-def candidates(points: DataFrame, segs: DataFrame, reach_m: float = SEARCH_M, most: int = CANDIDATES) -> DataFrame:
-    """Segments within reach of each point, the nearest first: a segment lies in the cells its box and reach touch."""
-    size = 4 * reach_m
-    if most < 1 << 30:  # of segments on one another, as far from any point, only the first can be among its nearest
-        same = Window.partitionBy("a_lat", "a_lon", "b_lat", "b_lon").orderBy("way", "seg")
-        segs = segs.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= most).drop("_copy")
+def dealt(segs: DataFrame, size: float, reach_m: float) -> DataFrame:
+    """``segs`` once for each cell (cy, cx) of ``size`` metres that its box and reach touch."""
     step, pad = size / geo.DEGREE_M, reach_m / geo.DEGREE_M
     low, high = F.least("a_lat", "b_lat") - pad, F.greatest("a_lat", "b_lat") + pad
     bands = segs.withColumn("cy", F.explode(F.sequence(F.floor(low / step), F.floor(high / step))))
@@ -89,14 +85,22 @@ def candidates(points: DataFrame, segs: DataFrame, reach_m: float = SEARCH_M, mo
     across = geo.lon_difference(F.col("a_lon"), F.col("b_lon"))
     west = F.when(across >= 0, F.col("a_lon")).otherwise(F.col("b_lon"))
     n = geo.band_columns(F.col("cy"), size)
-    wide = 360 / n / 4
+    wide = 360 / n * (reach_m / size)
     from_, to = F.floor((west - wide + 180) / 360 * n), F.floor((west + F.abs(across) + wide + 180) / 360 * n)
     columns = F.array_distinct(F.transform(F.sequence(from_, F.least(to, from_ + n)), lambda c: F.pmod(c, n)))
-    dealt = bands.withColumn("cx", F.explode(columns))
+    return bands.withColumn("cx", F.explode(columns))
+
+
+def candidates(points: DataFrame, segs: DataFrame, reach_m: float = SEARCH_M, most: int = CANDIDATES) -> DataFrame:
+    """Segments within reach of each point, the nearest first: a segment lies in the cells its box and reach touch."""
+    size = 4 * reach_m
+    if most < 1 << 30:  # of segments on one another, as far from any point, only the first can be among its nearest
+        same = Window.partitionBy("a_lat", "a_lon", "b_lat", "b_lon").orderBy("way", "seg")
+        segs = segs.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= most).drop("_copy")
     band = geo.band_of(F.col("lat"), size)
     pts = points.select("track", "t", "idx", "lat", "lon", band.alias("cy"), geo.column_of(F.col("lon"), band, size).alias("cx"))
     d = geo.segment_distance(*(F.col(c) for c in ("lat", "lon", "a_lat", "a_lon", "b_lat", "b_lon")))
-    near = pts.join(dealt, ["cy", "cx"]).drop("cy", "cx").withColumn("d", d).where(F.col("d") <= reach_m)
+    near = pts.join(dealt(segs, size, reach_m), ["cy", "cx"]).drop("cy", "cx").withColumn("d", d).where(F.col("d") <= reach_m)
     rank = F.row_number().over(Window.partitionBy("track", "idx").orderBy("d", "way", "seg"))
     return near.withColumn("rank", rank).where(F.col("rank") <= most)
 

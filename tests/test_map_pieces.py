@@ -110,3 +110,53 @@ def test_ways_on_one_another(spark):
     assert map_pieces._roads_near(pieces, segs).count() == 12
     bounded = map_pieces.candidates(points, segs)._jdf.queryExecution().optimizedPlan().toString()
     assert "_copy" in bounded
+
+
+def test_pieces_over_tasks_are_one_pass(spark):
+    """Tracks in pieces of any width, dealt to tasks, and whole tracks in one: the same, with stretches off the streets and ways on one another."""
+    rng = random.Random(7)
+    rows = stroll(rng, 150, 1) + stroll(rng, 40, 2) + [(3, k, 5000.0, 5000.0 + k, None) for k in range(9)] + stroll(rng, 1, 4)
+    rows = [(k, t, y + (3000 if 20 <= i % 50 < 23 or 60 < i < 76 else 0), x, v) for i, (k, t, y, x, v) in enumerate(rows)]
+    points, ways = fixes(spark, rows).cache(), roads(spark, GRID + [(100 + k, p) for k, p in GRID[:5]]).cache()
+    off = sum(y > 1000 for _, _, y, _, _ in rows)
+    want = sorted(tuple(r) for r in map_pieces.matched(points, ways).collect())
+    assert len(want) == len(rows) - off and off > 30
+    for width, whole in ((7, 0), (64, 45), (7, 1000)):
+        assert sorted(tuple(r) for r in map_pieces.matched(points, ways, width, whole).collect()) == want, (width, whole)
+
+
+def test_points_go_to_tasks_once_and_roads_with_them(spark):
+    """300 walks on one grid, each street there 30 times: a task gets its points, no candidates, and each place of a road once with ten names."""
+    seen = spark.sparkContext.accumulator(0)
+    most = spark.sparkContext.accumulator(0)
+    was = map_pieces._whole
+
+    def counted(rows, found, width):
+        seen.add(rows.num_rows)
+        most.add(len(found.a) > 112 or len(found.way) > 160 * 7 or int(found.copies.max()) > 10)
+        return was(rows, found, width)
+
+    rng = random.Random(2)
+    rows = [r for k in range(300) for r in stroll(rng, 20, k)]
+    ways = [(100 * copy + k, p) for k, p in GRID for copy in range(30)]
+    map_pieces._whole = counted
+    try:
+        got = map_pieces.matched(fixes(spark, rows), roads(spark, ways)).collect()
+    finally:
+        map_pieces._whole = was
+    assert len(got) == len(rows) == seen.value and most.value == 0
+    assert {r.way // 100 for r in got} <= set(range(10))
+
+
+def test_a_street_across_180_degrees(spark):
+    """The same walk on the same streets gets the same ways at any longitude."""
+    rng = random.Random(5)
+    rows = [(1, 2.0 * k, rng.gauss(0, 5), 4.0 * k - 100, 2.0) for k in range(50)]
+    ways = [(1, [(0, -150), (0, 150)]), (2, [(14, -150), (14, -90), (14, 150)])]
+    wrap = lambda lon: (lon + 180) % 360 - 180
+    found = []
+    for east in (0.0, 180.0):
+        points = spark.createDataFrame([(k, t, i, y * M, wrap(x * M + east), v) for i, (k, t, y, x, v) in enumerate(rows)], POINTS)
+        lines = spark.createDataFrame([(i, [(y * M, wrap(x * M + east)) for y, x in p]) for i, p in ways], "way long, nodes array<struct<lat:double,lon:double>>")
+        found.append([(r.idx, r.way, r.seg) for r in map_pieces.matched(points, lines).orderBy("idx").collect()])
+    assert found[0] == found[1] and {w for _, w, _ in found[0]} == {1}
