@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..plans.lineage import cut, written
-from .spatial import BETA_M, BREAK_M, BREAK_S, CANDIDATES, LOST_M, SEARCH_M, SIGMA_M, candidates, dealt, segments
+from .spatial import BETA_M, BREAK_M, BREAK_S, CANDIDATES, LOST_M, SEARCH_M, SIGMA_M, candidates, dealt, segments  # noqa: F401
 from .windows import by_time
 
 WIDTH = 512
@@ -93,6 +93,7 @@ def _band_columns(band: np.ndarray) -> np.ndarray:
 
 #: Columns that a road's row has its ends in; its bearing is its heading.
 _ENDS = ("lat", "lon", "t", "speed")
+_POINT = ["track", "t", "idx", "lat", "lon", "speed", "heading"]
 #: The number of a way without one.
 _NO_WAY = -(1 << 63)
 _PLACED = pa.schema([("track", pa.int64()), ("idx", pa.int64()), ("way", pa.int64()), ("seg", pa.int32()), ("lat", pa.float64()), ("lon", pa.float64()), ("off_m", pa.float64())])
@@ -144,6 +145,37 @@ class _Roads:
         order = np.argsort(cell, kind="stable")
         return cell[order], of[at][order]
 
+    def near(self, lat: np.ndarray, lon: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(point, segment, metres, share, lat, lon) within reach, by point and distance: of each point those that are among its nearest."""
+        cell, of = self.cells()
+        band = np.floor(lat / (CELL_M / geo.DEGREE_M)).astype(np.int64)
+        n = _band_columns(band)
+        own = (band << 32) + np.floor((lon + 180) / 360 * n).astype(np.int64) % n
+        low = np.searchsorted(cell, own)
+        point, k = _ragged(np.searchsorted(cell, own, "right") - low)
+        road = of[low[point] + k]
+        # the terms and their order are those of geo.segment_projection
+        y, x, s = lat[point], lon[point], scale[point]
+        a_lat, a_lon, across = self.a_lat[road], self.a_lon[road], _short(self.b_lon - self.a_lon)[road]
+        ax, ay, dx, dy = _short(a_lon - x) * s, (a_lat - y) * geo.DEGREE_M, across * s, (self.b_lat[road] - a_lat) * geo.DEGREE_M
+        size = dx * dx + dy * dy
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = np.where(size > 0, np.maximum(0.0, np.minimum(1.0, -(ax * dx + ay * dy) / size)), 0.0)
+        d = np.sqrt((ax + share * dx) ** 2 + (ay + share * dy) ** 2)
+        order = np.flatnonzero(d <= SEARCH_M)
+        order = order[np.lexsort((d[order], point[order]))]
+        point, d = point[order], d[order]
+        # names in front of a segment's: more than enough of them, and it can't be among the nearest
+        before = np.cumsum(self.copies[road[order]]) - self.copies[road[order]]
+        fresh = np.append(True, np.diff(point) != 0)[: point.size]
+        tie = ~fresh & np.append(False, np.diff(d) == 0)[: point.size]
+        start = np.maximum.accumulate(np.where(tie, 0, np.arange(point.size)))
+        own = np.maximum.accumulate(np.where(fresh, np.arange(point.size), 0))
+        keep = before[start] - before[own] < CANDIDATES
+        order, point, d = order[keep], point[keep], d[keep]
+        road, share = road[order], share[order]
+        return point, road, d, share, self.a_lat[road] + share * (self.b_lat[road] - self.a_lat[road]), self.a_lon[road] + share * across[order]
+
     def _from(self, start: int, limit: float) -> dict[int, float]:
         best, queue = {start: 0.0}, [(0.0, start)]
         while queue:
@@ -181,7 +213,7 @@ class _Walks:
     def __init__(self, rows: pa.Table, roads: _Roads, width: int):
         lat, lon, scale = (rows.column(c).to_numpy() for c in ("lat", "lon", "scale"))
         self.roads = roads
-        point, road, self.d, self.share, self.s_lat, self.s_lon = self._near(lat, lon, scale)
+        point, road, self.d, self.share, self.s_lat, self.s_lon = roads.near(lat, lon, scale)
         heading = rows.column("heading")
         off = np.fmod(heading.to_numpy()[point] - roads.bearing[road], 180.0)
         off = np.where(off < 0, np.fmod(off + 180.0, 180.0), off)
@@ -198,38 +230,6 @@ class _Walks:
         if kept.size:
             self._stepped()
 
-    def _near(self, lat: np.ndarray, lon: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(point, segment, metres, share, lat, lon) within reach, by point and distance: of each point those that are among its nearest."""
-        g = self.roads
-        cell, of = g.cells()
-        band = np.floor(lat / (CELL_M / geo.DEGREE_M)).astype(np.int64)
-        n = _band_columns(band)
-        own = (band << 32) + np.floor((lon + 180) / 360 * n).astype(np.int64) % n
-        low = np.searchsorted(cell, own)
-        point, k = _ragged(np.searchsorted(cell, own, "right") - low)
-        road = of[low[point] + k]
-        # the terms and their order are those of geo.segment_projection
-        y, x, s = lat[point], lon[point], scale[point]
-        a_lat, a_lon, across = g.a_lat[road], g.a_lon[road], _short(g.b_lon - g.a_lon)[road]
-        ax, ay, dx, dy = _short(a_lon - x) * s, (a_lat - y) * geo.DEGREE_M, across * s, (g.b_lat[road] - a_lat) * geo.DEGREE_M
-        size = dx * dx + dy * dy
-        with np.errstate(divide="ignore", invalid="ignore"):
-            share = np.where(size > 0, np.maximum(0.0, np.minimum(1.0, -(ax * dx + ay * dy) / size)), 0.0)
-        d = np.sqrt((ax + share * dx) ** 2 + (ay + share * dy) ** 2)
-        order = np.flatnonzero(d <= SEARCH_M)
-        order = order[np.lexsort((d[order], point[order]))]
-        point, d = point[order], d[order]
-        # names in front of a segment's: more than enough of them, and it can't be among the nearest
-        before = np.cumsum(g.copies[road[order]]) - g.copies[road[order]]
-        fresh = np.append(True, np.diff(point) != 0)[: point.size]
-        tie = ~fresh & np.append(False, np.diff(d) == 0)[: point.size]
-        start = np.maximum.accumulate(np.where(tie, 0, np.arange(point.size)))
-        own = np.maximum.accumulate(np.where(fresh, np.arange(point.size), 0))
-        keep = before[start] - before[own] < CANDIDATES
-        order, point, d = order[keep], point[keep], d[keep]
-        road, share = road[order], share[order]
-        return point, road, d, share, g.a_lat[road] + share * (g.b_lat[road] - g.a_lat[road]), g.a_lon[road] + share * across[order]
-
     def _ranked(self, point: np.ndarray, weight: np.ndarray) -> None:
         """Candidates of each point by distance and name: ``place`` counts its segments, ``name`` is the way's."""
         at, k = _ragged(self.roads.copies[self.road])
@@ -373,6 +373,12 @@ def _whole(rows: pa.Table, roads: _Roads, width: int) -> pa.Table:
     return walks.placed(walks.traced(*walks.ends()), np.arange(walks.n.size)) if walks.n.size else _PLACED.empty_table()
 
 
+def _held(rows: pa.Table, roads: _Roads) -> pa.Table:
+    """Points with a road near: the others belong to no piece."""
+    point = roads.near(*(rows.column(c).to_numpy() for c in ("lat", "lon", "scale")))[0]
+    return rows.select(_POINT).take(pa.array(np.unique(point)))
+
+
 def _matrix(rows: pa.Table, roads: _Roads) -> pa.Table:
     """Pieces' matrices, and the weights of their first points."""
     walks = _Walks(rows, roads, 1 << 40)
@@ -476,7 +482,7 @@ def matched(points: DataFrame, ways: DataFrame, width: int = WIDTH, whole: int =
     the distance gone and against what walking allows, and the step on the road against the step of the points. Tracks of
     more than ``whole`` points are matched in pieces of ``width``.
     """
-    segs = cut(segments(ways))
+    segs = segments(ways)
     same = Window.partitionBy("a_lat", "a_lon", "b_lat", "b_lon").orderBy("way", "seg")  # of ways on one another only the first can be among the nearest
     names = segs.dropna(subset=["a_lat", "a_lon", "b_lat", "b_lon"]).withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= CANDIDATES)
     names = names.groupBy("a_lat", "a_lon", "b_lat", "b_lon").agg(F.sort_array(F.collect_list(F.struct(F.col("way").cast("long").alias("way"), F.col("seg").cast("int").alias("seg")))).alias("names"))
@@ -485,14 +491,15 @@ def matched(points: DataFrame, ways: DataFrame, width: int = WIDTH, whole: int =
     walk = headed(walk).where((F.abs("lat") + F.abs("lon") < math.inf) & F.col("track").isNotNull() & F.col("idx").isNotNull())
     walk = written(_begun(walk, "track").withColumns({"part": F.lit(0).cast("long"), "n": F.count("*").over(Window.partitionBy("track"))}))
     out = _solved(walk.where(F.col("n") <= whole), places, lambda rows, roads: _whole(rows, roads, width), _OUT)
-    long = walk.where(F.col("n") > whole).drop("part", "n", "cy", "cx")
+    long = walk.where(F.col("n") > whole).select(*_POINT)
     if long.isEmpty():
         return out
-    found = candidates(long, segs, SEARCH_M, 1).select("track", "idx")  # points without a road near belong to no piece
     number = F.row_number().over(by_time()).cast("long") - 1
+    spans = _begun(long.withColumn("i", number).withColumn("part", F.expr(f"i div {WHOLE}L")).drop("i"), "track", "part")
+    held = _solved(spans, places, _held, "track long, t double, idx long, lat double, lon double, speed double, heading double")
     own = F.expr(f"i div {width}L")
     pieces = F.explode(F.when((F.col("i") % width == 0) & (F.col("i") > 0), F.array(own - 1, own)).otherwise(F.array(own)))  # an end is in both
-    pieces = written(_begun(long.join(found, ["track", "idx"]).withColumn("i", number).withColumn("part", pieces).drop("i"), "track", "part"))
+    pieces = written(_begun(held.withColumn("i", number).withColumn("part", pieces).drop("i"), "track", "part"))
     made = _solved(pieces, places, _matrix, "track long, part long, start array<double>, m array<double>")
     ends = cut(cut(made).groupBy("track").applyInArrow(_folded, "track long, part long, from_ int, to_ int"))
     return out.unionByName(_solved(pieces.join(ends, ["track", "part"]), places, _traced, _OUT, ("from_", "to_")))
