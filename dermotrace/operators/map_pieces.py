@@ -28,8 +28,8 @@ from .spatial import BETA_M, BREAK_M, BREAK_S, CANDIDATES, LOST_M, SEARCH_M, SIG
 from .windows import by_time
 
 WIDTH = 512
-#: Points of a track that one task holds, and of units from one cell that go to a task together; rows that it steps through together; side of a cell in it (metres).
-WHOLE, PLACE, BATCH, CELL_M = 4096, 16_384, 16_384, 2 * SEARCH_M
+#: Points of a track that one task holds, and of units from one cell that go to a task together; rows that it steps through together; pairs that it weighs at a time; side of a cell in it (metres).
+WHOLE, PLACE, BATCH, PAIRS, CELL_M = 4096, 16_384, 16_384, 1 << 17, 2 * SEARCH_M
 #: Chord of a heading (metres, points looked at), angles without penalty and of its width (degrees), its most, slack of a route (metres), speed without a reading, margins of speed and way.
 CHORD_M, CHORD_POINTS, DEAD_DEG, WIDTH_DEG, MOST_PENALTY, SLACK_M, SPEED_MS, MARGIN_MS, MARGIN_M = 6.0, 8, 10.0, 20.0, 6.0, 20.0, 3.0, 1.0, 5.0
 #: A longer route counts as none.
@@ -84,6 +84,15 @@ def _ragged(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(owner.size) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def _slices(counts: np.ndarray) -> Iterator[slice]:
+    """Owners side by side that have ``PAIRS`` rows at most, or one that has more."""
+    total, at = np.append(0, np.cumsum(counts)), 0
+    while at < counts.size:
+        to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, "right")) - 1)
+        yield slice(at, to)
+        at = to
+
+
 def _band_columns(band: np.ndarray) -> np.ndarray:
     """``geo.band_columns`` of cells of ``CELL_M``."""
     step = CELL_M / geo.DEGREE_M
@@ -121,6 +130,7 @@ class _Roads:
         ids: dict[tuple, int] = {}
         self.length, self.a, self.b = np.empty(len(once)), [], []
         self.graph: list[dict[int, float]] = []
+        self.found: dict[int, tuple[float, dict[int, float]]] = {}
         for g, place in enumerate(once):
             a, b = (ids.setdefault(_node(*p), len(ids)) for p in (place[:2], place[2:]))
             self.graph += [{} for _ in range(len(ids) - len(self.graph))]
@@ -152,7 +162,13 @@ class _Roads:
         n = _band_columns(band)
         own = (band << 32) + np.floor((lon + 180) / 360 * n).astype(np.int64) % n
         low = np.searchsorted(cell, own)
-        point, k = _ragged(np.searchsorted(cell, own, "right") - low)
+        count = np.searchsorted(cell, own, "right") - low
+        found = [self._within(of, some.start, lat[some], lon[some], scale[some], low[some], count[some]) for some in _slices(count)]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _within(self, of: np.ndarray, start: int, lat: np.ndarray, lon: np.ndarray, scale: np.ndarray, low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``near`` of some points, from the first of their segments by cells and how many there are."""
+        point, k = _ragged(count)
         road = of[low[point] + k]
         # the terms and their order are those of geo.segment_projection
         y, x, s = lat[point], lon[point], scale[point]
@@ -169,12 +185,12 @@ class _Roads:
         before = np.cumsum(self.copies[road[order]]) - self.copies[road[order]]
         fresh = np.append(True, np.diff(point) != 0)[: point.size]
         tie = ~fresh & np.append(False, np.diff(d) == 0)[: point.size]
-        start = np.maximum.accumulate(np.where(tie, 0, np.arange(point.size)))
+        nearer = np.maximum.accumulate(np.where(tie, 0, np.arange(point.size)))
         own = np.maximum.accumulate(np.where(fresh, np.arange(point.size), 0))
-        keep = before[start] - before[own] < CANDIDATES
+        keep = before[nearer] - before[own] < CANDIDATES
         order, point, d = order[keep], point[keep], d[keep]
         road, share = road[order], share[order]
-        return point, road, d, share, self.a_lat[road] + share * (self.b_lat[road] - self.a_lat[road]), self.a_lon[road] + share * across[order]
+        return point + start, road, d, share, self.a_lat[road] + share * (self.b_lat[road] - self.a_lat[road]), self.a_lon[road] + share * across[order]
 
     def _from(self, start: int, limit: float) -> dict[int, float]:
         best, queue = {start: 0.0}, [(0.0, start)]
@@ -198,8 +214,10 @@ class _Roads:
         for (g, _), m in zip(both, most.tolist(), strict=True):
             for node in (self.a[g], self.b[g]):
                 reach[node] = max(m, reach.get(node, 0.0))
-        found = {node: self._from(node, m) for node, m in reach.items()}
-        out = [[found[e[g]].get(f[h], math.inf) for g, h in both] for e in (self.a, self.b) for f in (self.a, self.b)]
+        for node, m in reach.items():
+            if node not in self.found or self.found[node][0] < m:
+                self.found[node] = (m, self._from(node, m))
+        out = [[self.found[e[g]][1].get(f[h], math.inf) for g, h in both] for e in (self.a, self.b) for f in (self.a, self.b)]
         return np.array(out).reshape(4, -1)[:, of]
 
 
@@ -265,7 +283,7 @@ class _Walks:
 
     def _stepped(self) -> None:
         """Log weights of each step (to point b, from the one before) between the segments of its points: ``along`` one and the same of a way, and from one to the ``other``."""
-        roads, b = self.roads, np.arange(self.n.size)
+        b = np.arange(self.n.size)
         a = np.maximum(b - 1, 0)
         t = self.rows.column("t").to_numpy()
         cos = np.array([math.cos(x) for x in (self.lat * (math.pi / 180)).tolist()])[a]
@@ -280,7 +298,14 @@ class _Walks:
         broken = (dt > BREAK_S) & (gone > BREAK_M)
         count = np.where(self.i > 0, self.n[a] * self.n[b], 0)
         self.offset = np.cumsum(count) - count
+        made = [self._weighed(some.start, count[some], a, gone, limit, allowed, broken, cos) for some in _slices(count)]
+        self.along, self.other = (np.concatenate(x) for x in zip(*made, strict=True))
+
+    def _weighed(self, start: int, count: np.ndarray, a: np.ndarray, gone: np.ndarray, limit: np.ndarray, allowed: np.ndarray, broken: np.ndarray, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``along`` and ``other`` of some steps, from the point ``start`` on."""
+        roads = self.roads
         step, k = _ragged(count)
+        step += start
         p, q = self.first[a][step] + k // self.n[step], self.first[step] + k % self.n[step]
         lead = np.stack((self.share[p], 1 - self.share[p])) * roads.length[self.road[p]]
         tail = np.stack((self.share[q], 1 - self.share[q])) * roads.length[self.road[q]]
@@ -295,7 +320,7 @@ class _Walks:
                 apart = np.where(np.isinf(route), LOST_M, np.abs(gone[step] - route) + np.maximum(0.0, route - allowed[step]))
             return np.where(broken[step], 0.0, -(apart + aside) / BETA_M - math.log(BETA_M))  # an interrupted walk begins anew
 
-        self.along, self.other = weight(along), weight(other)
+        return weight(along), weight(other)
 
     def _moved(self, b: np.ndarray) -> np.ndarray:
         """(from, to, step) of the steps to the points b."""

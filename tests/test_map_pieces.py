@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import pyarrow as pa
 import pytest
 
 from dermotrace.functions import geo
@@ -160,3 +161,20 @@ def test_a_street_across_180_degrees(spark):
         lines = spark.createDataFrame([(i, [(y * M, wrap(x * M + east)) for y, x in p]) for i, p in ways], "way long, nodes array<struct<lat:double,lon:double>>")
         found.append([(r.idx, r.way, r.seg) for r in map_pieces.matched(points, lines).orderBy("idx").collect()])
     assert found[0] == found[1] and {w for _, w, _ in found[0]} == {1}
+
+
+def test_pairs_are_weighed_some_at_a_time(monkeypatch):
+    """On dense streets a point has ten candidates, a step a hundred pairs: no slice has more than it may, and the result is the same."""
+    rng = random.Random(4)
+    n = 60
+    rows = {"track": [0] * n, "part": [0] * n, "idx": list(range(n)), "t": [40.0 * k for k in range(n)], "heading": pa.nulls(n, pa.float64()), "speed": [1.0] * n, "scale": [geo.DEGREE_M] * n}
+    rows = pa.table(rows | {c: [rng.uniform(20, 80) * M for _ in range(n)] for c in ("lat", "lon")})
+    segs = [(10 * k * M, 10 * x * M, 10 * k * M, 10 * (x + 1) * M, 90.0, [{"way": k, "seg": x}]) for k in range(10) for x in range(10)]
+    names = pa.list_(pa.struct([("way", pa.int64()), ("seg", pa.int32())]))
+    ways = pa.table([*(pa.array(c) for c in list(zip(*segs, strict=True))[:5]), pa.array([s[5] for s in segs], names)], names=["lat", "lon", "t", "speed", "heading", "names"])
+    want = map_pieces._whole(rows, map_pieces._Roads(ways), 7)
+    sizes = []
+    monkeypatch.setattr(map_pieces, "PAIRS", 500)
+    monkeypatch.setattr(map_pieces._Walks, "_weighed", lambda self, start, count, *rest, was=map_pieces._Walks._weighed: sizes.append(int(count.sum())) or was(self, start, count, *rest))
+    assert map_pieces._whole(rows, map_pieces._Roads(ways), 7).equals(want) and want.num_rows == n
+    assert len(sizes) > 5 and max(sizes) <= 500 and sum(sizes) == 100 * (n - 1)
